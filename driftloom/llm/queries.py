@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, packing
+from . import bpe, langid, packing, toxicity
 
 #: Which public vocabulary the tokenising queries use; its place is asked for on every machine.
 VOCABULARY = "byte_bpe_50k.json"
@@ -17,16 +18,37 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(folds: int):
+    """Which of ``folds`` parts a document belongs to."""
+    return F.crc32(F.col("doc_id").cast("string")) % folds
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    net = toxicity.fit(docs, _table(spark, sf_dir, "labels").where(fold(4) != 2))
+    scored = toxicity.score(spark, docs, net)
+    return scored.select("doc_id", (fold(4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.SCORE_THRESHOLD).cast("int").alias("predicted"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    models = langid.fit(docs.where(fold(5) != 0))
+    found = langid.predict(spark, docs, models)
+    return found.select("doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op6_bpe": op6_bpe,
+    "op7_language": op7_language,
     "op8_packing": op8_packing,
 }
 
