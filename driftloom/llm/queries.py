@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, toxicity
+from . import bpe, langid, minhash, packing, toxicity
 
 #: Which public vocabulary the tokenising queries use; its place is asked for on every machine.
 VOCABULARY = "byte_bpe_50k.json"
@@ -23,6 +23,10 @@ def fold(folds: int):
     return F.crc32(F.col("doc_id").cast("string")) % folds
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(spark, _table(spark, sf_dir, "documents"), part=85, whole=100)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     net = toxicity.fit(docs, _table(spark, sf_dir, "labels").where(fold(4) != 2))
@@ -46,6 +50,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash": op1_minhash,
     "op2_toxicity": op2_toxicity,
     "op6_bpe": op6_bpe,
     "op7_language": op7_language,
