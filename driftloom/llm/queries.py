@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, packing, toxicity
+from . import bpe, langid, minhash, packing, substring, toxicity
 
 #: Which public vocabulary the tokenising queries use; its place is asked for on every machine.
 VOCABULARY = "byte_bpe_50k.json"
@@ -34,6 +34,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.SCORE_THRESHOLD).cast("int").alias("predicted"))
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest_rows(substring.remove_repeats(spark, _table(spark, sf_dir, "documents")))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -52,6 +56,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_toxicity": op2_toxicity,
+    "op3_substring": op3_substring,
     "op6_bpe": op6_bpe,
     "op7_language": op7_language,
     "op8_packing": op8_packing,

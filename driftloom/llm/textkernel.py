@@ -120,3 +120,29 @@ def windows(hashes: np.ndarray, size: int, base: int = 0xD6E8FEB86659FD93) -> np
     for i in range(size):
         out += hashes[i : i + n] * table[i]
     return mix(out)
+
+
+def least_places(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the leftmost smallest, by the upper 32 bits, of each ``width`` consecutive hashes."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    low = (values & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(values), dtype=np.uint64)
+    reach = 1
+    while reach < width:
+        step = min(reach, width - reach)
+        low = np.minimum(low[step:], low[:-step])
+        reach += step
+    return (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def byte_windows(data: np.ndarray, size: int, base: int = BASE) -> np.ndarray:
+    """Hash of every ``size`` consecutive bytes; across texts too, which the caller leaves out."""
+    n = len(data) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    table = power_table(len(data) + 1, base)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE_CODES[data] * table[: len(data)], out=sums[1:])
+    inverse = power_table(len(data) + 1, pow(base, -1, 1 << 64))
+    return mix((sums[size:] - sums[:-size]) * inverse[:n])
