@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, packing, substring, toxicity
+from . import bpe, langid, minhash, packing, substring, suffix, toxicity
 
 #: Which public vocabulary the tokenising queries use; its place is asked for on every machine.
 VOCABULARY = "byte_bpe_50k.json"
@@ -53,6 +53,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest_rows(suffix.remove_repeats(spark, _table(spark, sf_dir, "documents"), keep="none"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_toxicity": op2_toxicity,
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe": op6_bpe,
     "op7_language": op7_language,
     "op8_packing": op8_packing,
+    "op10_suffix": op10_suffix,
 }
 
 ORACLE_SQL: dict[str, str] = {}
