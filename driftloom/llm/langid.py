@@ -40,7 +40,7 @@ def _folded() -> np.ndarray:
         if not (s := chr(c)).isalpha():
             return 0
         low = ord(s.lower()[0])
-        return (low ^ low >> 16 * 1 if low > 0xFFFF else low) & 0xFFFF or 1
+        return (low ^ low >> 16 if low > 0xFFFF else low) & 0xFFFF or 1
 
     return np.fromiter((one(c) for c in range(0x110000)), np.uint16, 0x110000)
 
@@ -155,7 +155,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> LanguageModels | None:
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample / r["count"]))])
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     learned: dict[str, list[str]] = {}
-    for r in rows.where(place < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0))).select("doc_id", "lang", "text").orderBy("doc_id", "text").toLocalIterator():
+    taken = rows.where(place < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0))).select("doc_id", "lang", "text")
+    for r in sorted(taken.collect(), key=lambda r: (r["doc_id"] or 0, r["text"])):
         learned.setdefault(r["lang"], []).append(r["text"])
     return fit_texts(learned)
 

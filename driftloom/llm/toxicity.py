@@ -237,8 +237,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Convol
     taken = marked.where(place < F.try_element_at(share, F.col("label")))
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     texts = docs.where(f"length(text) <= {SAMPLE_CHARS}").select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang.alias("lang"))
-    rows = texts.join(taken, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(3)), "text")
-    got = [(r["text"], r["label"], r["lang"]) for r in rows.toLocalIterator()]
+    # ids of the sample, about two times ``sample`` rows whatever the input: the texts stay where they are
+    rows = texts.join(F.broadcast(taken), "doc_id").select(F.xxhash64("doc_id", F.lit(3)).alias("order"), "text", "label", "lang")
+    got = [tuple(r)[1:] for r in sorted(rows.collect(), key=lambda r: (r["order"], r["text"]))]
     kept = {k: sum(r[1] == k for r in got) for k in counts}
     return fit_texts(got, {k: n / max(kept[k], 1) for k, n in counts.items()})
 
