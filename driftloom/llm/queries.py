@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, packing, substring, suffix, toxicity
+from . import bpe, langid, minhash, packing, substring, suffix, toxicity, warc
 
 #: Which public vocabulary the tokenising queries use; its place is asked for on every machine.
 VOCABULARY = "byte_bpe_50k.json"
@@ -53,6 +53,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, _table(spark, sf_dir, "pages"))
+
+
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest_rows(suffix.remove_repeats(spark, _table(spark, sf_dir, "documents"), keep="none"))
 
@@ -64,7 +68,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe": op6_bpe,
     "op7_language": op7_language,
     "op8_packing": op8_packing,
+    "op9_warc": op9_warc,
     "op10_suffix": op10_suffix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_warc": """
+        with p as (
+            select page_id, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as digest from pages
+        ), k as (
+            select digest, n, max(page_id) as keeper from p where n >= 1000 group by digest, n
+        )
+        select p.page_id, cast(p.n as bigint) as payload_bytes, p.digest as payload_digest,
+               case when p.page_id < k.keeper then 'revisit' else 'response' end as record_type,
+               case when p.page_id < k.keeper then k.keeper end as refers_to
+        from p left join k on p.digest = k.digest and p.n = k.n
+    """,
+}
