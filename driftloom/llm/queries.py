@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, packing, substring, suffix, toxicity, warc
+from . import bpe, langid, minhash, packing, quality, substring, suffix, toxicity, warc
 
 #: Which public vocabulary the tokenising queries use; its place is asked for on every machine.
 VOCABULARY = "byte_bpe_50k.json"
@@ -38,6 +38,10 @@ def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest_rows(substring.remove_repeats(spark, _table(spark, sf_dir, "documents")))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(spark, _table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_toxicity": op2_toxicity,
     "op3_substring": op3_substring,
+    "op4_quality": op4_quality,
     "op6_bpe": op6_bpe,
     "op7_language": op7_language,
     "op8_packing": op8_packing,
@@ -73,6 +78,72 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_quality": r"""
+        with d as (
+            select row_number() over () as r, doc_id, coalesce(lang, 'und') as language, coalesce(text, '') as text from documents
+        ), w as (
+            select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words,
+                   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+            from d
+        ), windows as (
+            select r, words, unnest(range(1, len(words) - 6)) as i from w where len(words) >= 8
+        ), keyed as (
+            select r, i, count(*) over (partition by r, array_to_string(words[i : i + 7], ' ')) as n from windows
+        ), repeated as (
+            select r, sum(least(coalesce(following - i, 8), 8)) as n_repeat_words
+            from (select r, i, lead(i) over (partition by r order by i) as following from keyed where n > 1) group by r
+        ), base as (
+            select w.r, doc_id, language, cast(len(words) as bigint) as n_words, cast(length(text) as double) as chars,
+                   cast(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) as bigint) as word_chars,
+                   cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]+', '', 'g')) as bigint) as n_symbols,
+                   cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines,
+                   cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words,
+                   length(text) - length(regexp_replace(text, '[a-z]+', '', 'g')) as k1,
+                   length(text) - length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) as k2,
+                   length(text) - length(regexp_replace(text, '[A-Z]+', '', 'g')) as k3,
+                   length(text) - length(regexp_replace(text, '[0-9]+', '', 'g')) as k4,
+                   length(text) - length(regexp_replace(text, '[!-/:-@\[-`{-~]+', '', 'g')) as k5,
+                   words
+            from w left join repeated using (r)
+        ), shorts as (
+            select r, language, lower(word) as word from (select r, language, unnest(words) as word from base) where length(word) <= 4
+        ), totals as (
+            select language, sum(n_words)::double as all_words, sum(chars) as c, sum(k1) / sum(chars) as q1, sum(k2) / sum(chars) as q2,
+                   sum(k3) / sum(chars) as q3, sum(k4) / sum(chars) as q4, sum(k5) / sum(chars) as q5,
+                   sum(chars - k1 - k2 - k3 - k4 - k5) / sum(chars) as q6
+            from base group by language
+        ), common as (
+            select language, word, n from (
+                select language, word, count(*) as n, row_number() over (partition by language order by count(*) desc, word) as place
+                from shorts group by language, word
+            ) where place <= 32
+        ), class_terms as (
+            select r, unnest([k1 / chars, k2 / chars, k3 / chars, k4 / chars, k5 / chars, (chars - k1 - k2 - k3 - k4 - k5) / chars]) as p,
+                   unnest([q1, q2, q3, q4, q5, q6]) as q
+            from base join totals using (language) where chars >= 200 and all_words >= 2000
+        ), met as (
+            select r, word, count(*) as n from shorts group by r, word
+        ), pairs as (
+            select base.r, base.language, common.n as ref, coalesce(met.n, 0) as own
+            from base join common using (language) left join met on met.r = base.r and met.word = common.word
+            where n_words >= 50
+        ), word_terms as (
+            select r, own / n_words as p, ref / all_words as q from pairs join base using (r) join totals on totals.language = pairs.language where all_words >= 2000
+            union all
+            select r, (any_value(n_words) - sum(own)) / any_value(n_words), (any_value(all_words) - sum(ref)) / any_value(all_words)
+            from pairs join base using (r) join totals on totals.language = pairs.language where all_words >= 2000 group by r
+        ), distances as (
+            select r, any_value(kind) as kind, sum(case when p > 0 then p * ln(p / ((p + q) / 2)) else 0 end + case when q > 0 then q * ln(q / ((p + q) / 2)) else 0 end) as total
+            from (select r, p, q, 'char' as kind from class_terms union all select r, p, q, 'word' from word_terms) group by r, kind
+        ), judged as (
+            select base.*, case when a.total is not null then round(sqrt(greatest(a.total / 2 / ln(2), 0)), 6) end as char_distance, case when b.total is not null then round(sqrt(greatest(b.total / 2 / ln(2), 0)), 6) end as word_distance,
+                   n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed
+            from base left join distances a on a.r = base.r and a.kind = 'char' left join distances b on b.r = base.r and b.kind = 'word'
+        )
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               not base_failed and coalesce(char_distance, 0) <= 0.40 and coalesce(word_distance, 0) <= 0.75 as kept, char_distance, word_distance
+        from judged
+    """,
     "op9_warc": """
         with p as (
             select page_id, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as digest from pages
