@@ -164,6 +164,29 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> LanguageModels | None:
 PREDICTED = "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean"
 
 
+def _judged(m: LanguageModels | None, texts: list[str | None]) -> Iterator[tuple]:
+    """(language, score, cross-entropy, rejected) of each text."""
+    at = 0
+    while at < len(texts):
+        block, held = [], 0
+        while at + len(block) < len(texts) and (not block or held < BLOCK_CHARS):
+            block.append(texts[at + len(block)])
+            held += len(block[-1] or "")
+        at += len(block)
+        if m is None:
+            yield from [(UNKNOWN, 0.0, None, True)] * len(block)
+            continue
+        code, begin = normalised(block)
+        letters = np.add.reduceat(code != 0, begin)
+        entropy, n = m.cross_entropy(block)
+        best = entropy.argmin(1)
+        least = entropy.min(1)
+        share = 1 / np.exp((least[:, None] - entropy) * np.minimum(n, SURE_CHARS)[:, None]).sum(1)
+        far = least - m.centre[best] > m.spread[best] / np.sqrt(np.maximum(n, 1))
+        for i in range(len(block)):
+            yield (m.languages[best[i]], float(share[i]), float(least[i]), bool(far[i])) if letters[i] else (UNKNOWN, 0.0, None, True)
+
+
 def predict(spark: SparkSession, docs: DataFrame, models: LanguageModels | None) -> DataFrame:
     """The language of every whole text.
 
@@ -175,31 +198,21 @@ def predict(spark: SparkSession, docs: DataFrame, models: LanguageModels | None)
     shared = spark.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            docs, texts = batch.column(0), batch.column(1).to_pylist()
-            rows: list[tuple] = []
-            at = 0
-            while at < len(texts):
-                block, held = [], 0
-                while at + len(block) < len(texts) and (not block or held < BLOCK_CHARS):
-                    block.append(texts[at + len(block)])
-                    held += len(block[-1] or "")
-                at += len(block)
-                if m is None:
-                    rows += [(UNKNOWN, 0.0, None, True)] * len(block)
-                    continue
-                code, begin = normalised(block)
-                letters = np.add.reduceat(code != 0, begin)
-                entropy, n = m.cross_entropy(block)
-                best = entropy.argmin(1)
-                least = entropy.min(1)
-                share = 1 / np.exp((least[:, None] - entropy) * np.minimum(n, SURE_CHARS)[:, None]).sum(1)
-                far = least - m.centre[best] > m.spread[best] / np.sqrt(np.maximum(n, 1))
-                for i in range(len(block)):
-                    rows.append((m.languages[best[i]], float(share[i]), float(least[i]), bool(far[i])) if letters[i] else (UNKNOWN, 0.0, None, True))
-            cols = list(zip(*rows)) or [[]] * 4
+            cols = list(zip(*_judged(shared.value, batch.column(1).to_pylist()))) or [[]] * 4
             kinds = [pa.string(), pa.float64(), pa.float64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([docs, *(pa.array(list(c), k) for c, k in zip(cols, kinds))], ["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(cols, kinds))], ["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, PREDICTED)
+
+
+def accepted(spark: SparkSession, docs: DataFrame, models: LanguageModels | None) -> DataFrame:
+    """Whole rows of ``docs`` whose language is recognised (``predict`` doesn't reject them)."""
+    shared = spark.sparkContext.broadcast(models)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not x[3] for x in _judged(shared.value, batch.column(at).to_pylist())], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -171,42 +171,25 @@ def _hashed(regions: DataFrame, window: int) -> DataFrame:
     return hits.groupBy("hash", "r1", "r2").agg(F.collect_list(F.when(later, F.col("at"))).alias("earlier"), F.collect_list("at").alias("matched"))
 
 
-def _cut(marked: DataFrame, window: int) -> DataFrame:
-    """Each text without the bytes that its repeated windows cover."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(2)
-            flat, edges = lists.values.to_numpy(), lists.offsets.to_numpy()
-            n, gone, runs, kept = [], [], [], []
-            for a, b, texts in blocks(batch.column(1)):
-                for i in range(b - a):
-                    data = texts.data[texts.offsets[i] : texts.offsets[i + 1]]
-                    own = flat[edges[a + i] : edges[a + i + 1]]
-                    edge = np.zeros(len(data) + 1, np.int64)
-                    np.add.at(edge, own, 1)
-                    np.add.at(edge, own + window, -1)
-                    out = np.cumsum(edge)[:-1] > 0
-                    n.append(len(data))
-                    gone.append(int(out.sum()))
-                    runs.append(int((out & ~np.concatenate([[False], out[:-1]])).sum()) if len(out) else 0)
-                    kept.append(data[~out].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    return marked.select("doc_id", "text", "starts").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-
-
-def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: str = "first", hot: int = HOT_REGIONS) -> DataFrame:
-    """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (the bytes left) of every row.
-
-    A byte goes if a string of ``window`` bytes covers it that also starts anywhere else; texts are
-    judged as given, as UTF-8. ``keep="first"`` spares the first place of every string, by doc_id and
-    position (rows alike in id and text are one document); ``keep="none"`` spares none. Null and empty
-    texts have no bytes; a null doc_id is allowed and comes first; other columns are not read.
-    """
+def _left(column: pa.Array, starts: pa.Array, window: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(bytes, removed, runs, bytes left) of each text without what its repeated windows cover."""
+    flat, edges = starts.values.to_numpy(), starts.offsets.to_numpy()
+    for a, b, texts in blocks(column):
+        for i in range(b - a):
+            data = texts.data[texts.offsets[i] : texts.offsets[i + 1]]
+            own = flat[edges[a + i] : edges[a + i + 1]]
+            edge = np.zeros(len(data) + 1, np.int64)
+            np.add.at(edge, own, 1)
+            np.add.at(edge, own + window, -1)
+            out = np.cumsum(edge)[:-1] > 0
+            runs = int((out & ~np.concatenate([[False], out[:-1]])).sum()) if len(out) else 0
+            yield len(data), int(out.sum()), runs, data[~out].tobytes()
+
+
+def _found(scratch: Scratch, docs: DataFrame, window: int, gram: int, keep: str, hot: int) -> DataFrame:
+    """Starts of the windows to remove, for each key of ``_keyed``."""
     if keep not in ("first", "none"):
         raise ValueError("keep is 'first' or 'none'")
-    scratch = Scratch(spark, "suffix")
     keyed = _keyed(docs)
     anchors = scratch.keep(_anchors(keyed, window, gram), "anchors")
     shared = anchors.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
@@ -238,7 +221,54 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, g
     starts = scratch.keep(starts, "starts")
     for name in ("spots", "regions", "hot"):
         scratch.drop(name)
-    return _cut(keyed.join(starts, ["k", "t"], "left"), window)
+    return starts
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: str = "first", hot: int = HOT_REGIONS) -> DataFrame:
+    """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (the bytes left) of every row.
+
+    A byte goes if a string of ``window`` bytes covers it that also starts anywhere else; texts are
+    judged as given, as UTF-8. ``keep="first"`` spares the first place of every string, by doc_id and
+    position (rows alike in id and text are one document); ``keep="none"`` spares none. Null and empty
+    texts have no bytes; a null doc_id is allowed; other columns are not read.
+    """
+    starts = _found(Scratch(spark, "suffix"), docs, window, gram, keep, hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = list(zip(*_left(batch.column(1), batch.column(2), window))) or [[]] * 4
+            kinds = [pa.int64()] * 3 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(cols, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    marked = _keyed(docs).join(starts, ["k", "t"], "left").select("doc_id", "text", "starts")
+    return marked.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def trimmed(spark: SparkSession, docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: str = "first", hot: int = HOT_REGIONS) -> DataFrame:
+    """Whole rows of ``docs`` with ``text`` cut as by ``remove_repeats``; ``n_chars`` follows it where there is one.
+
+    Characters that a cut splits go. A null text stays null. Documents stay even if no text is left.
+    """
+    starts = _found(Scratch(spark, "suffix"), docs, window, gram, keep, hot)
+    names, schema = docs.columns, docs.schema
+    at = names.index("text")
+    length = names.index("n_chars") if "n_chars" in names else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = batch.column(0)
+            cols = [row.field(i) for i in range(len(names))]
+            left = [x[3].decode("utf-8", "ignore") for x in _left(cols[at], batch.column(1), window)]
+            null = cols[at].is_null().to_pylist()
+            texts = [None if no else t for t, no in zip(left, null)]
+            cols[at] = pa.array(texts, cols[at].type)
+            if length is not None:
+                cols[length] = pa.array([None if t is None else len(t) for t in texts], cols[length].type)
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    rows = rows.select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-1)).alias("k"), F.xxhash64("row.text").alias("t"))
+    return rows.join(starts, ["k", "t"], "left").select("row", "starts").mapInArrow(run, schema)
 
 
 def digest_rows(cut: DataFrame) -> DataFrame:

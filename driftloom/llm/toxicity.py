@@ -72,7 +72,6 @@ class Convolutions:
     scale: float = 1.0
     shift: float = 0.0
     thresholds: dict[str, float] = field(default_factory=dict)
-    common: float = SCORE_THRESHOLD
 
     def __post_init__(self) -> None:
         r = np.random.default_rng(self.seed)
@@ -244,6 +243,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Convol
     return fit_texts(got, {k: n / max(kept[k], 1) for k, n in counts.items()})
 
 
+def _shared(spark: SparkSession, net: Convolutions | None):
+    """The net's tables for all tasks; their size depends on the learning sample alone."""
+    if not net:
+        return spark.sparkContext.broadcast(None)
+    light = Convolutions.__new__(Convolutions)
+    light.__dict__ |= net.__dict__ | {"embedding": None, "filters": None}
+    return spark.sparkContext.broadcast((light, net.tables()))
+
+
+def _scores(held: tuple | None, column: pa.Array) -> np.ndarray:
+    out = np.zeros(len(column))
+    if held:
+        net, tables = held
+        for a, b, texts in blocks(column):
+            out[a:b] = net.scores(net.logits(*word_rows(texts, net.known), tables))
+    return out
+
+
 SCORED = "doc_id long, score double"
 
 
@@ -252,19 +269,27 @@ def score(spark: SparkSession, docs: DataFrame, net: Convolutions | None) -> Dat
 
     Without a learned net all scores are 0. Repeated rows are scored each; other columns aren't read.
     """
-    tables = net.tables() if net else None
-    if net:
-        light = Convolutions.__new__(Convolutions)
-        light.__dict__ |= net.__dict__ | {"embedding": None, "filters": None}
-    shared = spark.sparkContext.broadcast((light, tables) if net else None)
+    shared = _shared(spark, net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
         for batch in batches:
-            out = np.zeros(batch.num_rows)
-            if held:
-                for a, b, texts in blocks(batch.column(1)):
-                    out[a:b] = held[0].scores(held[0].logits(*word_rows(texts, held[0].known), held[1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(shared.value, batch.column(1)))], ["doc_id", "score"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCORED)
+
+
+def accepted(spark: SparkSession, docs: DataFrame, net: Convolutions | None) -> DataFrame:
+    """Whole rows of ``docs`` whose score is below the threshold of their ``lang`` (SCORE_THRESHOLD if it has none)."""
+    shared = _shared(spark, net)
+    at = docs.columns.index("text")
+    lang = docs.columns.index("lang") if "lang" in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = _scores(shared.value, batch.column(at))
+            own = shared.value[0].thresholds if shared.value else {}
+            names = batch.column(lang).to_pylist() if lang is not None else [None] * len(scores)
+            limit = np.array([own.get(x, SCORE_THRESHOLD) for x in names])
+            yield batch.filter(pa.array(scores < limit))
+
+    return docs.mapInArrow(run, docs.schema)
