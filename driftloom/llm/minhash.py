@@ -2,11 +2,11 @@
 
 Signatures are cut into bands; texts that agree on a band are candidates. The signatures of a
 candidate pair are compared a batch of hashes at a time, and the pair is dropped once the posterior
-probability that its similarity reaches the threshold falls below ``MISS``. Survivors are checked on
+probability that its similarity reaches the threshold falls below ``POSTERIOR_MISS``. Survivors are checked on
 their full shingle sets.
 
-Texts with equal sets are one node. Within a bucket, pairs are first tried against one member, then
-against others taken at random, and components are formed after each round; pairs inside a component
+Texts with equal sets are one node. Within a bucket, pairs are first tried against the member that
+shares buckets with the most others (the original among its copies), then against others, and linked nodes are joined after each round; pairs that are joined
 need no test. When few untested pairs are left, all pairs of a bucket that still lie in different
 components are tried, so that no link between components is missed, and a large group of copies costs
 about as many tests as it has members.
@@ -27,13 +27,16 @@ from .scratch import Scratch
 from .textkernel import Texts, Words, blocks, mix, windows
 
 WORDS = 5
-ROWS = 4
-#: Probability that bands, and that posterior bounds, lose a pair at the threshold.
+ROWS = 5
+#: Hashes of a signature; bands take the first ones.
+HASHES = 192
+#: Probability that bands lose a pair at the threshold, and that posterior bounds do.
 MISS = 1e-6
+POSTERIOR_MISS = 1e-5
 STEP = 16
 #: Rounds of stars at most, and untested pairs for each bucket entry up to which all are tried at once.
 STARS = 8
-EASY = 2
+EASY = 8
 
 
 def bands_for(similarity: float, miss: float = MISS) -> int:
@@ -41,7 +44,7 @@ def bands_for(similarity: float, miss: float = MISS) -> int:
     return math.ceil(math.log(miss) / math.log(1 - similarity**ROWS))
 
 
-def least_matches(similarity: float, hashes: int, miss: float = MISS) -> dict[int, int]:
+def least_matches(similarity: float, hashes: int, miss: float = POSTERIOR_MISS) -> dict[int, int]:
     """Matches needed after each batch: fewer make P(similarity >= threshold | matches) less than ``miss`` (uniform prior)."""
     out = {}
     for n in [*range(STEP, hashes, STEP), hashes]:
@@ -78,7 +81,7 @@ def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _signed(docs: DataFrame, size: int, bands: int) -> DataFrame:
     """Set size, 128-bit set key, bands and truncated signature of every text."""
-    n = bands * ROWS
+    n = max(HASHES, bands * ROWS)
     times, plus = _coefficients(n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +98,7 @@ def _signed(docs: DataFrame, size: int, bands: int) -> DataFrame:
                 least = np.zeros((b - a, n), np.uint64)
                 for k in range(n if len(some) else 0):
                     least[some, k] = np.minimum.reduceat(mix32(shingles * times[k] + plus[k]), first[:-1][some])
-                held = windows_of(least, bands)
+                held = windows_of(least[:, : bands * ROWS], bands)
                 short = (least & np.uint64(0xFFFF)).astype("<u2")
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -138,15 +141,17 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, shingles binary")
 
 
-def _plausible(pairs: DataFrame, need: dict[int, int]) -> DataFrame:
-    """Pairs that no batch of their signatures rules out."""
+def _plausible(pairs: DataFrame, need: dict[int, int], part: int, whole: int) -> DataFrame:
+    """Pairs that neither their sizes nor a batch of their signatures rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(batch.num_rows, -1) for i in (2, 3))
-            alive, done, matches = np.arange(batch.num_rows), 0, np.zeros(batch.num_rows, np.int64)
+            m, n = (batch.column(i).to_numpy() for i in (4, 5))
+            alive, done = np.flatnonzero(whole * np.minimum(m, n) >= part * np.maximum(m, n)), 0
+            matches = np.zeros(len(alive), np.int64)
             for n, m in need.items():
                 matches = matches + (left[alive, done:n] == right[alive, done:n]).sum(1)
                 alive, matches, done = alive[matches >= m], matches[matches >= m], n
@@ -186,30 +191,36 @@ def groups(spark: SparkSession, docs: DataFrame, part: int = 80, whole: int = 10
     """
     scratch = Scratch(spark, "minhash")
     bands = bands_for(part / whole)
-    need = least_matches(part / whole, bands * ROWS)
+    need = least_matches(part / whole, max(HASHES, bands * ROWS))
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     base = scratch.keep(_signed(texts, size, bands), "base")
     nodes = base.where("doc_id is not null and n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
     nodes = scratch.keep(nodes, "nodes")
     own = base.withColumnRenamed("doc_id", "node").join(nodes, ["k1", "k2", "node"])
-    signed = scratch.keep(own.select(F.col("node").alias("id"), "signature", "bands"), "signed")
+    signed = scratch.keep(own.select(F.col("node").alias("id"), "n_shingles", "signature", "bands"), "signed")
     entries = signed.select("id", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    entries = scratch.keep(entries.join(shared.select("bucket", "low"), "bucket").distinct(), "entries")
-    wanted = entries.select(F.col("id").alias("doc_id")).distinct()
+    shared = entries.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("others")).where("low < high")
+    entries = scratch.keep(entries.join(shared.select("bucket", "others"), "bucket"), "entries")
+    known = scratch.keep(entries.groupBy("id").agg(F.sum("others").alias("met"), F.collect_set("bucket").alias("keys")), "known")
+    wanted = known.select(F.col("id").alias("doc_id"))
     sets = scratch.keep(_sets(texts.join(wanted, "doc_id"), size), "sets")
-    signatures = signed.select("id", "signature")
+    signatures = signed.select("id", "signature", "n_shingles")
 
     def tested(pairs: DataFrame, label: str) -> DataFrame:
-        both = pairs.join(signatures.toDF("a", "x"), "a").join(signatures.toDF("b", "y"), "b").select("a", "b", "x", "y")
-        both = _plausible(both, need)
+        both = pairs.join(signatures.toDF("a", "x", "m"), "a").join(signatures.toDF("b", "y", "n"), "b").select("a", "b", "x", "y", "m", "n")
+        both = _plausible(both, need, part, whole)
         both = both.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
         return scratch.keep(_linked(both, part, whole).distinct(), label)
 
     again = base.join(nodes, ["k1", "k2"]).select("doc_id", "node")
     several = again.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
-    links = scratch.keep(again.join(several, "doc_id").select("a", F.col("node").alias("b")), "same")
-    pairs = entries.where("id > low").groupBy("id").agg(F.min("low").alias("a")).select("a", F.col("id").alias("b"))
+    links = scratch.keep(several.select("a", F.col("z").alias("b")), "same")
+    if not links.isEmpty():
+        links = scratch.keep(again.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")), "same-all")
+    popular = F.struct(F.col("met"), (-F.col("id")).alias("first"))
+    centres = entries.join(known.select("id", "met"), "id").groupBy("bucket").agg(F.max(popular).alias("centre"))
+    pairs = entries.join(centres, "bucket").groupBy("id").agg((-F.max("centre")["first"]).alias("a")).where("a <> id")
+    pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
     links = links.unionByName(tested(pairs, "star-0"))
     for i in range(1, STARS + 2):
         found = connected(scratch, links, f"round-{i}")
@@ -224,8 +235,10 @@ def groups(spark: SparkSession, docs: DataFrame, part: int = 80, whole: int = 10
         if not open_pairs:
             break
         if i > STARS or open_pairs <= EASY * members:
-            inside = placed.join(mixed.select("bucket"), "bucket")
-            pairs = inside.toDF("bucket", "a", "ca").join(inside.toDF("bucket", "b", "cb"), "bucket").where("ca < cb")
+            inside = placed.join(mixed.select("bucket"), "bucket").join(known.select("id", "keys"), "id").select("bucket", "id", "component", "keys")
+            pairs = inside.toDF("bucket", "a", "ca", "ka").join(inside.toDF("bucket", "b", "cb", "kb"), "bucket").where("ca < cb")
+            # a pair is made in the smallest of the buckets it shares
+            pairs = pairs.where(F.col("bucket") == F.array_min(F.array_intersect("ka", "kb")))
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             links = links.unionByName(tested(pairs, f"all-{i}"))
             break
