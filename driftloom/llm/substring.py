@@ -3,7 +3,7 @@
 Every 35-word window selects the 12-word window of the smallest hash in it; two equal windows select
 equal ones. These selected hashes, about one for every twelve words, go through the log-structured
 index batch by batch. Only windows whose selected hash is repeated can be repeated; they are verified
-as whole windows, by a 128-bit fingerprint of all their words, and the words of the repeated ones go.
+as whole windows, by a 96-bit fingerprint of all their words, and the words of the repeated ones go.
 """
 
 from __future__ import annotations
@@ -60,7 +60,7 @@ def spans(column: pa.Array) -> list[np.ndarray]:
 
 
 def _suspects(marked: DataFrame, window: int, gram: int) -> DataFrame:
-    """128-bit fingerprints of the windows whose selected place is marked."""
+    """96-bit fingerprints of the windows whose selected place is marked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,11 +75,11 @@ def _suspects(marked: DataFrame, window: int, gram: int) -> DataFrame:
                 take = pa.array(a + row)
                 one, two = windows(hashes, window), windows(hashes, window, _SECOND)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array((start - words.first[row]).astype(np.int32)), pa.array(one[start].view(np.int64)), pa.array(two[start].view(np.int64))],
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array((start - words.first[row]).astype(np.int32)), pa.array(one[start].view(np.int64)), pa.array((two[start] >> np.uint64(32)).astype(np.uint32).view(np.int32))],
                     ["k", "t", "start", "one", "two"],
                 )
 
-    return marked.select("k", "t", "text", "places").mapInArrow(run, "k long, t long, start int, one long, two long")
+    return marked.select("k", "t", "text", "places").mapInArrow(run, "k long, t long, start int, one long, two int")
 
 
 def _cut(marked: DataFrame, window: int) -> DataFrame:
@@ -121,10 +121,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, g
     for i in range(batches):
         found = index.add(anchors.where(F.pmod(F.xxhash64("k", "t"), F.lit(batches)) == i).select("hash"))
         hits = found if hits is None else hits.unionByName(found)
+    index.close()
     places = anchors.join(hits.distinct(), "hash").select("k", "t", "place").groupBy("k", "t").agg(F.collect_set("place").alias("places"))
     suspects = scratch.keep(_suspects(keyed.join(places, ["k", "t"]), window, gram), "suspects")
     scratch.drop("anchors")
-    index.close()
     repeated = suspects.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
     starts = suspects.join(repeated, ["one", "two"]).groupBy("k", "t").agg(F.collect_set("start").alias("starts"))
     starts = scratch.keep(starts, "starts")
