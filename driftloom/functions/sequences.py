@@ -12,11 +12,16 @@ RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
 RESIDUES_WIDE = "ACDEFGHIKLMNPQRSTVWYXBZUOJ"
 
 
+def upper(sequence: Column) -> Column:
+    """Letters a to z in upper case; others as they are, so that lengths stay."""
+    return F.translate(sequence, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
 def translate(sequence: Column, frame: int = 0, strip: str = "one") -> Column:
     """Amino acids of a nucleotide sequence; unknown codons are X. ``strip`` takes one, all or no stops off the end."""
     codons = {a + b + c: AMINO_ACIDS[16 * i + 4 * j + k] for i, a in enumerate(BASES) for j, b in enumerate(BASES) for k, c in enumerate(BASES)}
     table = F.create_map(*[F.lit(x) for pair in codons.items() for x in pair])
-    clean = F.translate(F.upper(sequence), "U", "T")
+    clean = F.translate(upper(sequence), "U", "T")
     starts = F.sequence(F.lit(1 + frame), F.length(clean) - 2, F.lit(3))
     letters = F.transform(starts, lambda i: F.coalesce(F.try_element_at(table, F.substring(clean, i, F.lit(3))), F.lit("X")))
     protein = F.when(F.length(clean) >= 3 + frame, F.array_join(letters, "")).otherwise("")
@@ -43,7 +48,7 @@ def hamming(one: Column, two: Column) -> Column:
 
 def valid_residues(sequence: Column) -> Column:
     """Letters of the plain alphabet."""
-    return F.length(F.regexp_replace(F.upper(sequence), f"[^{RESIDUES}]", ""))
+    return F.length(F.regexp_replace(upper(sequence), f"[^{RESIDUES}]", ""))
 
 
 def is_protein(sequence: Column) -> Column:

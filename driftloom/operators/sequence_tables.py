@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequences import upper
 from ..functions.simplex import over
 
 
@@ -47,7 +48,7 @@ def diversity(sequences: DataFrame) -> DataFrame:
 def nucleotide_like(records: DataFrame, first: int = 100, share: float = 0.97) -> DataFrame:
     """Whether the first records are nearly all made of nucleotide letters: one row."""
     some = records.where(F.col("record_index") < first)
-    letters = F.sum(F.length(F.regexp_replace(F.upper("sequence"), "[^ACGTUN]", "")))
+    letters = F.sum(F.length(F.regexp_replace(upper(F.col("sequence")), "[^ACGTUN]", "")))
     return some.agg(letters.alias("nucleotide_letters"), F.sum(F.length("sequence")).alias("letters")).withColumn(
         "is_nucleotide", F.coalesce(F.try_divide("nucleotide_letters", "letters") >= share, F.lit(False))
     )

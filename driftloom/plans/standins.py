@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.sequences import upper
 from . import windows
 
 TRAIN_START = date(1995, 1, 1)
@@ -55,12 +56,12 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as sequence records."""
     header = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 5 == 0, "|NA|").otherwise("|HA|"), F.col("lang"), F.lit("|"), F.col("source"))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_index"), header.alias("header"), F.upper("text").alias("sequence"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_index"), header.alias("header"), upper(F.col("text")).alias("sequence"))
 
 
 def fixed_sequences(spark: SparkSession, sf_dir: str, length: int = 64) -> DataFrame:
     """Sequences of one length: the first letters A to Z of each document that has enough."""
-    letters = F.regexp_replace(F.upper("text"), "[^A-Z]", "")
+    letters = F.regexp_replace(upper(F.col("text")), "[^A-Z]", "")
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_index"), "lang", letters.alias("letters"))
     return rows.where(F.length("letters") >= length).select("record_index", "lang", F.substring("letters", 1, length).alias("sequence"))
 
