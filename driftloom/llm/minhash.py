@@ -5,11 +5,11 @@ candidate pair are compared a batch of hashes at a time, and the pair is dropped
 probability that its similarity reaches the threshold falls below ``POSTERIOR_MISS``. Survivors are checked on
 their full shingle sets.
 
-Texts with equal sets are one node. Within a bucket, pairs are first tried against the member that
-shares buckets with the most others (the original among its copies), then against others, and linked nodes are joined after each round; pairs that are joined
-need no test. When few untested pairs are left, all pairs of a bucket that still lie in different
-components are tried, so that no link between components is missed, and a large group of copies costs
-about as many tests as it has members.
+Texts with equal sets are one node. Within a bucket, members are first tried against the one that
+shares buckets with the most others (the original among its copies), and linked nodes form components.
+Then all members of a bucket that lie in different components are compared by signature, block against
+block inside a task, and only plausible pairs leave it. So no link between components is missed, and a
+large group of copies costs about as many tests as it has members.
 """
 
 from __future__ import annotations
@@ -34,9 +34,10 @@ HASHES = 192
 MISS = 1e-6
 POSTERIOR_MISS = 1e-5
 STEP = 16
-#: Rounds of stars at most, and untested pairs for each bucket entry up to which all are tried at once.
-STARS = 8
-EASY = 8
+#: Members of a bucket compared with others at once.
+BLOCK = 256
+#: Shingles of a pair that may share 32-bit hashes by chance; more than this many never do.
+SLACK = 8
 
 
 def bands_for(similarity: float, miss: float = MISS) -> int:
@@ -131,14 +132,17 @@ def windows_of(least: np.ndarray, bands: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
+    """Full sets as sorted 64-bit hashes, and ``short`` ones of 32 bits to tell most pairs apart."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in blocks(batch.column(1)):
                 shingles, first = _shingles(texts, size)
-                own = [np.unique(shingles[first[i] : first[i + 1]]).tobytes() for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(own, pa.binary())], ["id", "shingles"])
+                own = [np.unique(shingles[first[i] : first[i + 1]]) for i in range(b - a)]
+                short = [np.unique(x >> np.uint64(32)).astype("<u4").tobytes() for x in own]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(short, pa.binary())], ["id", "shingles", "short"])
 
-    return docs.mapInArrow(run, "id long, shingles binary")
+    return docs.mapInArrow(run, "id long, shingles binary, short binary")
 
 
 def _plausible(pairs: DataFrame, need: dict[int, int], part: int, whole: int) -> DataFrame:
@@ -160,20 +164,63 @@ def _plausible(pairs: DataFrame, need: dict[int, int], part: int, whole: int) ->
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _linked(pairs: DataFrame, part: int, whole: int) -> DataFrame:
-    """Pairs with whole * intersection >= part * union, on full sets."""
+def _blocks(entries: DataFrame, need: dict[int, int], part: int, whole: int) -> DataFrame:
+    """Plausible pairs of different components in each bucket (bucket, id, component, n_shingles, signature)."""
+    sizes = entries.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    own = entries.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    rows = own.select("*", other)
+    rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.struct("block", "id", "component", "n_shingles", "signature").alias("m"))
+    lists = rows.groupBy("bucket", "i", "j").agg(F.collect_list("m").alias("own"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, lists = batch.column(0).to_pylist(), batch.column(1)
+            fields, edges = lists.values, lists.offsets.to_pylist()
+            block, ids, component, n = (fields.field(c).to_numpy() for c in ("block", "id", "component", "n_shingles"))
+            found = []
+            for i, a, b in zip(first, edges, edges[1:]):
+                low = block[a:b] == i
+                left = np.flatnonzero(low) + a
+                right = left if low.all() else np.flatnonzero(~low) + a
+                held = np.frombuffer(b"".join(fields.field("signature").slice(a, b - a).to_pylist()), "<u2").reshape(b - a, -1)
+                x, y = np.meshgrid(left, right, indexing="ij")
+                go = component[x] < component[y] if right is left else component[x] != component[y]
+                go &= whole * np.minimum(n[x], n[y]) >= part * np.maximum(n[x], n[y])
+                x, y = x[go], y[go]
+                done, matches = 0, np.zeros(len(x), np.int64)
+                for size, least in need.items():
+                    matches = matches + (held[x - a, done:size] == held[y - a, done:size]).sum(1)
+                    x, y, matches, done = x[matches >= least], y[matches >= least], matches[matches >= least], size
+                if len(x):
+                    found.append((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b"])
+
+    return lists.select("i", "own").mapInArrow(run, "a long, b long").distinct()
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    if len(a) > len(b):
+        a, b = b, a
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) else 0
+
+
+def _linked(pairs: DataFrame, part: int, whole: int, kind: str) -> DataFrame:
+    """Pairs with whole * intersection >= part * union, on full sets ("<u8").
+
+    On short sets ("<u4") equal hashes of different shingles only add to what is common, or take from
+    both sizes; pairs that SLACK such cases could lift over the threshold stay.
+    """
+    slack = 0 if kind == "<u8" else SLACK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                if whole * min(len(a), len(b)) < part * max(len(a), len(b)) or not len(a):
-                    continue
-                if len(a) > len(b):
-                    a, b = b, a
-                common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-                if whole * common >= part * (len(a) + len(b) - common):
+                a, b = (np.frombuffer(v.as_buffer(), kind) for v in (x, y))
+                common = _common(a, b) + slack
+                if len(a) and len(b) and whole * common >= part * (len(a) + len(b) - common):
                     good.append(i)
             yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
@@ -201,16 +248,17 @@ def groups(spark: SparkSession, docs: DataFrame, part: int = 80, whole: int = 10
     entries = signed.select("id", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("others")).where("low < high")
     entries = scratch.keep(entries.join(shared.select("bucket", "others"), "bucket"), "entries")
-    known = scratch.keep(entries.groupBy("id").agg(F.sum("others").alias("met"), F.collect_set("bucket").alias("keys")), "known")
+    known = scratch.keep(entries.groupBy("id").agg(F.sum("others").alias("met")), "known")
     wanted = known.select(F.col("id").alias("doc_id"))
     sets = scratch.keep(_sets(texts.join(wanted, "doc_id"), size), "sets")
     signatures = signed.select("id", "signature", "n_shingles")
 
-    def tested(pairs: DataFrame, label: str) -> DataFrame:
-        both = pairs.join(signatures.toDF("a", "x", "m"), "a").join(signatures.toDF("b", "y", "n"), "b").select("a", "b", "x", "y", "m", "n")
-        both = _plausible(both, need, part, whole)
-        both = both.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-        return scratch.keep(_linked(both, part, whole).distinct(), label)
+    def linked(pairs: DataFrame, label: str) -> DataFrame:
+        for column, kind in (("short", "<u4"), ("shingles", "<u8")):
+            own = sets.select("id", column)
+            both = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select("a", "b", "x", "y")
+            pairs = scratch.keep(_linked(both, part, whole, kind), f"{label}-{column}")
+        return pairs
 
     again = base.join(nodes, ["k1", "k2"]).select("doc_id", "node")
     several = again.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
@@ -221,30 +269,15 @@ def groups(spark: SparkSession, docs: DataFrame, part: int = 80, whole: int = 10
     centres = entries.join(known.select("id", "met"), "id").groupBy("bucket").agg(F.max(popular).alias("centre"))
     pairs = entries.join(centres, "bucket").groupBy("id").agg((-F.max("centre")["first"]).alias("a")).where("a <> id")
     pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-    links = links.unionByName(tested(pairs, "star-0"))
-    for i in range(1, STARS + 2):
-        found = connected(scratch, links, f"round-{i}")
-        placed = entries.select("bucket", "id").join(found.toDF("id", "component"), "id", "left")
-        placed = placed.select("bucket", "id", F.coalesce("component", "id").alias("component"))
-        parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", F.lit(i))).alias("pick"))
-        mixed = parts.groupBy("bucket").agg(
-            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"), F.max(F.struct("n", "component", "pick")).alias("top"), F.count("*").alias("parts")
-        ).where("parts > 1")
-        mixed = scratch.keep(mixed.select("bucket", "n", "inside", "top.component", "top.pick"), f"mixed-{i}")
-        open_pairs, members = mixed.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        if not open_pairs:
-            break
-        if i > STARS or open_pairs <= EASY * members:
-            inside = placed.join(mixed.select("bucket"), "bucket").join(known.select("id", "keys"), "id").select("bucket", "id", "component", "keys")
-            pairs = inside.toDF("bucket", "a", "ca", "ka").join(inside.toDF("bucket", "b", "cb", "kb"), "bucket").where("ca < cb")
-            # a pair is made in the smallest of the buckets it shares
-            pairs = pairs.where(F.col("bucket") == F.array_min(F.array_intersect("ka", "kb")))
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            links = links.unionByName(tested(pairs, f"all-{i}"))
-            break
-        pairs = placed.join(mixed.select("bucket", F.col("component").alias("top"), "pick"), "bucket").where("component <> top")
-        pairs = pairs.select(F.least("id", "pick").alias("a"), F.greatest("id", "pick").alias("b")).distinct()
-        links = links.unionByName(tested(pairs, f"star-{i}"))
+    both = pairs.join(signatures.toDF("a", "x", "m"), "a").join(signatures.toDF("b", "y", "n"), "b").select("a", "b", "x", "y", "m", "n")
+    links = links.unionByName(linked(_plausible(both, need, part, whole), "centres"))
+    found = connected(scratch, links, "round")
+    placed = entries.select("bucket", "id").join(found.toDF("id", "component"), "id", "left")
+    placed = scratch.keep(placed.select("bucket", "id", F.coalesce("component", "id").alias("component")), "placed")
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    inside = placed.join(mixed.select("bucket"), "bucket").join(signatures, "id")
+    pairs = scratch.keep(_blocks(inside, need, part, whole), "pairs")
+    links = links.unionByName(linked(pairs, "rest"))
     found = connected(scratch, links, "last")
     out = base.select("doc_id", "n_shingles", "k1", "k2").join(nodes, ["k1", "k2"], "left")
     out = out.withColumn("node", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("node")))
