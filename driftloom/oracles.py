@@ -311,6 +311,18 @@ ORACLE_SQL: dict[str, str] = {
     "forecast_changepoint": f"with {_PAST}, {_CPS} select window_id, h, branch, round(value, 6) as value from cps",
     "changepoint_diagnostics": f"""with {_PAST}, {_CPS} select window_id, any_value(split) as split, round(any_value(change_score), 6) as change_score, round(max(norm), 6) as slope_norm, max(bins) as regime_bins
         from capped join splits using (window_id) group by window_id""",
+    "count_trend_features": f"""with {_PAST}, {_MODELS['C-B2']}, f as (
+            select window_id, branch, cast(sum(case when t = 0 then n else 0 end) as bigint) as current_count, cast(sum(case when t < 13 then n else 0 end) as bigint) as recent_count,
+                   cast(sum(case when t >= 13 then n else 0 end) as bigint) as previous_count, least(greatest(avg(case when t < 13 then case when n > 0 then 1.0 else 0.0 end end), 1e-6), 1 - 1e-6) as q
+            from look group by all
+        ), g as (
+            select *, current_count / sum(current_count) over w as cs, recent_count / sum(recent_count) over w as rs, previous_count / sum(previous_count) over w as ps from f window w as (partition by window_id)
+        )
+        select g.window_id, g.branch, current_count, recent_count, previous_count, round(ln(cs + 1e-9), 6) as log_current_share, round(ln(1 + recent_count), 6) as log_recent_count,
+               round(ln(recent_count + 0.5) - ln(previous_count + 0.5), 6) as log_count_growth, round(ln(rs + 1e-9) - ln(ps + 1e-9), 6) as log_share_growth,
+               round(ln(q) - ln(1 - q), 6) as logit_presence, round(coalesce(growth, 0), 6) as composition_slope
+        from g left join c_b2_g using (window_id, branch)""",
+    "surrogate_scores": f"with {_FIXED} select record_index, round(length(regexp_replace(sequence, '[^AVILMFWY]', '', 'g')) / length(sequence), 6) as score from fixed",
     "metrics_six_model": f"with {_EVAL} select {_DETAIL} from metrics",
     "top1_accuracy": f"with {_EVAL} select model, window_id, round(top1_accuracy, 6) as top1_accuracy from top1",
     "rolling_six_model_detail": f"with {_EVAL} select {_DETAIL}, round(top1_accuracy, 6) as top1_accuracy from detail",

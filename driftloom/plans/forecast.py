@@ -230,3 +230,45 @@ MODELS = {
 def all_models(counts: DataFrame, names: tuple[str, ...] = SHARE_MODELS + COUNT_MODELS) -> DataFrame:
     """Forecasts of several models, one below the other."""
     return reduce(DataFrame.unionByName, [MODELS[n](counts) for n in names])
+
+
+#: Bins whose counts make up the recent period of the trend features.
+RECENT_BINS = 13
+TINY = 1e-9
+
+
+def trend_features(counts: DataFrame, lookback: int = LOOKBACK, recent: int = RECENT_BINS, pseudo: float = COUNT_PSEUDO) -> DataFrame:
+    """Features of every branch at the cutoff: counts, log growth of counts and shares, presence, and slope.
+
+    The recent period is the last ``recent`` bins of the lookback, the previous one those before it; a window
+    without a previous period takes the last bin's shares for it.
+    """
+    past = history(counts)
+    rows = _lookback(past, lookback)
+    late, before = F.col("t") < recent, (F.col("t") >= recent) & (F.col("t") < 2 * recent)
+    sums = rows.groupBy("window_id", "branch").agg(
+        F.sum(F.when(F.col("t") == 0, F.col("n")).otherwise(0)).alias("current_count"),
+        F.sum(F.when(late, F.col("n")).otherwise(0)).alias("recent_count"),
+        F.sum(F.when(before, F.col("n")).otherwise(0)).alias("previous_count"),
+        F.avg(F.when(late, F.when(F.col("n") > 0, 1.0).otherwise(0.0))).alias("presence"),
+    )
+    part = over("window_id")
+    shares = {c: F.coalesce(F.try_divide(F.col(f"{c}_count").cast("double"), F.sum(f"{c}_count").over(part)), 1.0 / F.count("*").over(part)) for c in ("current", "recent")}
+    sums = sums.withColumns({f"{c}_share": s for c, s in shares.items()})
+    total = F.sum("previous_count").over(part)
+    sums = sums.withColumn("previous_share", F.when(total > 0, F.col("previous_count") / F.when(total > 0, total)).otherwise(F.col("current_share")))
+    presence = F.greatest(F.least("presence", F.lit(1 - SHARE_PSEUDO)), F.lit(SHARE_PSEUDO))
+    out = sums.join(count_growth(past, lookback, pseudo), ["window_id", "branch"], "left")
+    return out.select(
+        "window_id",
+        "branch",
+        "current_count",
+        "recent_count",
+        "previous_count",
+        F.log(F.col("current_share") + TINY).alias("log_current_share"),
+        F.log1p("recent_count").alias("log_recent_count"),
+        (F.log(F.col("recent_count") + pseudo) - F.log(F.col("previous_count") + pseudo)).alias("log_count_growth"),
+        (F.log(F.col("recent_share") + TINY) - F.log(F.col("previous_share") + TINY)).alias("log_share_growth"),
+        (F.log(presence) - F.log1p(-presence)).alias("logit_presence"),
+        F.coalesce("growth", F.lit(0.0)).alias("composition_slope"),
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import labels, sequences
 from .functions.simplex import over
-from .operators import audit, joins, scores, sequence_tables, signals
+from .operators import audit, fits, joins, panels, scores, sequence_tables, signals
 from .plans import evaluate, forecast, standins, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -321,11 +321,57 @@ def score_resume_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.pending(work, standins.table(spark, sf_dir, "labels"), ["doc_id"])
 
 
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _distances(spark, sf_dir)
+    return signals.branch_features(rows, rows, standins.cutoffs(spark))
+
+
+def ridge_share_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fits.ridge_share_change(_features(spark, sf_dir)).select("window_id", "branch", F.round("predicted", 6).alias("predicted"), "train_windows", "status")
+
+
+def _corrected(objective: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        counts = standins.window_counts(spark, sf_dir).persist()
+        base = forecast.count_renewal(counts).select("window_id", "h", "branch", F.col("value").alias("base"))
+        actual = forecast.holdout(counts)
+        if objective == "poisson":
+            steps = base.join(actual.select("window_id", "h", "branch", F.col("n").cast("double").alias("observed")), ["window_id", "h", "branch"])
+        else:
+            share = F.col("base") / F.sum("base").over(over("window_id", "h"))
+            steps = base.withColumn("base", share).join(actual.select("window_id", "h", "branch", "observed"), ["window_id", "h", "branch"])
+        found = fits.corrected(steps, _features(spark, sf_dir), ("escape_excess", "fitness_excess"), objective)
+        return found.select("window_id", "h", "branch", F.round("value", 5).alias("value"), "status")
+
+    return run
+
+
+def mlr_point_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(fits.logistic_trend(standins.window_counts(spark, sf_dir), 12), 5)
+
+
+def coreset_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = standins.fixed_sequences(spark, sf_dir)
+    day = F.date_add(F.lit(standins.TRAIN_START), (F.col("record_index") * 37 % 1500).cast("int"))
+    strains = rows.select(F.col("record_index").alias("query_id"), "sequence", day.alias("date"), (1 + F.col("record_index") % 5).cast("double").alias("weight"))
+    return _rounded(panels.panel(strains, standins.cutoffs(spark), 30))
+
+
+def surrogate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = standins.fixed_sequences(spark, sf_dir)
+    return rows.join(scores.scored(rows), "sequence").select("record_index", F.round("score", 6).alias("score"))
+
+
+def count_trend_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(forecast.trend_features(standins.window_counts(spark, sf_dir)))
+
+
 QUERIES: dict[str, Query] = {
     "label_fallback_nextclade": _fallback("nextclade"),
     "label_fallback_legacy": _fallback("legacy"),
     **{f"forecast_{m.lower().replace('-', '_')}": _forecast(m) for m in forecast.MODELS if m != "CPS"},
     "forecast_changepoint": _forecast("CPS"),
+    **{f"c_b2_correction_{o}": _corrected(o) for o in ("top1", "distribution", "poisson")},
 }
 for _f in (
     header_first_date, header_fields, bin_counts, bin_share_dense, branch_first_seen_order, bin_counts_pivot, lineitem_bin_counts, event_daily_bins,
@@ -335,6 +381,6 @@ for _f in (
     window_aligned_counts, unique_accession_join, frozen_panel_inequality, past_strain_antijoin, instance_expansion_unique_hit, metrics_six_model,
     top1_accuracy, rolling_six_model_detail, rolling_six_model_summary, window_wins, changepoint_diagnostics, score_ranking, score_completeness,
     score_summary_by_year_clade, score_by_date_bin, branch_signal_window, signal_correlations, signal_leaders, branch_features, distance_signal,
-    pair_weighted_summary, score_resume_antijoin,
+    pair_weighted_summary, score_resume_antijoin, ridge_share_change, mlr_point_forecast, coreset_panel, surrogate_scores, count_trend_features,
 ):
     QUERIES[_f.__name__] = _f
