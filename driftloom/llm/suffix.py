@@ -4,7 +4,7 @@ Every window of ``window`` bytes selects the ``gram``-byte string of the smalles
 anchor; equal windows select equal anchors. Windows whose anchor occurs once cannot repeat. The others
 of one anchor form a region of the text; equal regions are counted and stand once, at their first
 place. Regions that share anchors meet in a shard, where the suffixes at all window starts are sorted
-by prefix doubling up to the length of a window, ties by place. In that order the neighbour before an
+by prefix doubling (tripling where three ranks fit a key) up to the length of a window, ties by place. In that order the neighbour before an
 entry that shares its whole window is its previous smaller position, so it has a longest previous
 factor of at least a window; the neighbour after it is a later match.
 
@@ -28,7 +28,7 @@ from .textkernel import Texts, blocks, byte_windows, least_places
 WINDOW = 400
 GRAM = 32
 #: Bytes of regions for each shard, about, and different regions of an anchor from which they are hot.
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 1_200_000
 HOT_REGIONS = 4_000
 _SECOND = 0xC2B2AE3D27D4EB4F
 
@@ -87,31 +87,36 @@ def _regions(marked: DataFrame, window: int, gram: int) -> DataFrame:
 def suffix_order(data: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """``starts`` in the order of the ``window`` bytes there, ties by place, and whether each shares them with the one before.
 
-    Ranks by the first 8 bytes of all places are doubled; only places that still share their rank are sorted again.
+    Ranks by the first 8 bytes of all places are joined with those further on; only places that still share their rank are sorted again.
     """
     n = len(data)
     padded = np.concatenate([data, np.zeros(window + 8, np.uint8)])
-    first = np.lib.stride_tricks.sliding_window_view(padded, 8)[:n]
-    order = np.argsort(np.ascontiguousarray(first).view(">u8").ravel().astype(np.uint64), kind="stable")
-    words = np.ascontiguousarray(first).view(">u8").ravel()[order]
+    words = np.zeros(n, np.uint64)
+    for i in range(8):
+        words = words << np.uint64(8) | padded[i : i + n]
+    order = np.argsort(words)
+    words = words[order]
     fresh = np.concatenate([[True], words[1:] != words[:-1]])
     rank = np.zeros(n + window, np.int64)
     rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0)) + 1
     tied = order[~(fresh & np.append(fresh[1:], True))]
     done = min(8, window)
+    three = n + 1 < 1 << 21  # three ranks fit a key, else two
     while done < window and len(tied):
-        step = min(done, window - done)
-        tied = np.sort(tied)
-        own, next_rank = rank[tied], rank[tied + step]
-        by = np.argsort(own * np.int64(n + 1) + next_rank, kind="stable")
+        own, reach = rank[tied], min(done, window - done)
+        next_rank = rank[tied + reach]
+        if three:
+            reach = min(2 * done, window - done)
+            next_rank = next_rank << 21 | rank[tied + reach]
+        by = np.argsort(own << 42 | next_rank if three else own * np.int64(n + 1) + next_rank)
         tied, own, next_rank = tied[by], own[by], next_rank[by]
         new_class = np.concatenate([[True], own[1:] != own[:-1]])
         fresh = new_class | np.concatenate([[True], next_rank[1:] != next_rank[:-1]])
         place = np.arange(len(tied))
         rank[tied] = own + np.maximum.accumulate(np.where(fresh, place, 0)) - np.maximum.accumulate(np.where(new_class, place, 0))
         tied = tied[~(fresh & np.append(fresh[1:], True))]
-        done += step
-    order = starts[np.argsort(rank[starts], kind="stable")]
+        done += reach
+    order = starts[np.argsort(rank[starts] * np.int64(n + 1) + starts)]
     ranked = rank[order]
     return order, np.concatenate([[False], ranked[1:] == ranked[:-1]]) if len(order) else np.zeros(0, bool)
 
@@ -126,11 +131,24 @@ def previous_factors(data: np.ndarray, starts: np.ndarray, window: int) -> tuple
     return earlier, later
 
 
-_MATCHED = "hash long, r1 long, r2 long, earlier array<int>, matched array<int>"
+_MATCHED = "hash long, r1 long, r2 long, runs array<long>"
 
 
-def _sharded(regions: DataFrame, window: int) -> DataFrame:
-    """Window starts in each region with an earlier match, and with any."""
+def runs_of(hit: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of marked places, cut at every ``first``: begin and end by turns, and how many numbers each part has."""
+    edge = hit & ~np.concatenate([[False], hit[:-1]])
+    edge[first] = hit[first]
+    begin = np.flatnonzero(edge)
+    stop = hit & ~np.concatenate([hit[1:], [False]])
+    last = np.append(first[1:], len(hit)) - 1
+    stop[last] = hit[last]
+    end = np.flatnonzero(stop) + 1
+    part = np.searchsorted(first, begin, "right") - 1
+    return np.stack([begin - first[part], end - first[part]], 1).ravel(), 2 * np.bincount(part, minlength=len(first))
+
+
+def _sharded(regions: DataFrame, window: int, keep: str) -> DataFrame:
+    """Runs of window starts in each region that have an earlier match, or any."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("fk", "ascending"), ("ft", "ascending"), ("fs", "ascending"), ("hash", "ascending")])
@@ -141,17 +159,15 @@ def _sharded(regions: DataFrame, window: int) -> DataFrame:
         first = np.cumsum(count) - count
         starts = np.repeat(edge - first, count) + np.arange(int(count.sum()))
         earlier, later = previous_factors(np.frombuffer(b"".join(content), np.uint8), starts, window)
-        local = (starts - np.repeat(edge, count)).astype(np.int32)
-        lists = []
-        for hit in (earlier, earlier | later):
-            ends = np.concatenate([[0], np.cumsum(hit)])[np.append(first, len(hit))]
-            lists.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(local[hit])))
-        return pa.Table.from_arrays([*(table[c] for c in ("hash", "r1", "r2")), *lists], names=["hash", "r1", "r2", "earlier", "matched"])
+        runs, sizes = runs_of(earlier if keep == "first" else earlier | later, first)
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(runs))
+        return pa.Table.from_arrays([*(table[c] for c in ("hash", "r1", "r2")), lists], names=["hash", "r1", "r2", "runs"])
 
     return regions.groupBy("shard").applyInArrow(run, _MATCHED)
 
 
-def _hashed(regions: DataFrame, window: int) -> DataFrame:
+def _hashed(regions: DataFrame, window: int, keep: str) -> DataFrame:
     """The same for regions of hot anchors, a row for each window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,8 +183,10 @@ def _hashed(regions: DataFrame, window: int) -> DataFrame:
     place = F.struct("fk", "ft", (F.col("fs") + F.col("at")).alias("p"))
     classes = rows.groupBy("one", "two").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
     hits = rows.join(classes, ["one", "two"])
-    later = place != F.col("first")
-    return hits.groupBy("hash", "r1", "r2").agg(F.collect_list(F.when(later, F.col("at"))).alias("earlier"), F.collect_list("at").alias("matched"))
+    if keep == "first":
+        hits = hits.where(place != F.col("first"))
+    run = F.array(F.col("at").cast("long"), F.col("at").cast("long") + 1)
+    return hits.groupBy("hash", "r1", "r2").agg(F.flatten(F.collect_list(run)).alias("runs"))
 
 
 def _left(column: pa.Array, starts: pa.Array, window: int) -> Iterator[tuple[int, int, int, bytes]]:
@@ -179,15 +197,15 @@ def _left(column: pa.Array, starts: pa.Array, window: int) -> Iterator[tuple[int
             data = texts.data[texts.offsets[i] : texts.offsets[i + 1]]
             own = flat[edges[a + i] : edges[a + i + 1]]
             edge = np.zeros(len(data) + 1, np.int64)
-            np.add.at(edge, own, 1)
-            np.add.at(edge, own + window, -1)
+            np.add.at(edge, own[::2], 1)
+            np.add.at(edge, own[1::2] + window - 1, -1)
             out = np.cumsum(edge)[:-1] > 0
             runs = int((out & ~np.concatenate([[False], out[:-1]])).sum()) if len(out) else 0
             yield len(data), int(out.sum()), runs, data[~out].tobytes()
 
 
 def _found(scratch: Scratch, docs: DataFrame, window: int, gram: int, keep: str, hot: int) -> DataFrame:
-    """Starts of the windows to remove, for each key of ``_keyed``."""
+    """Runs of starts of the windows to remove (begin and end by turns), for each key of ``_keyed``."""
     if keep not in ("first", "none"):
         raise ValueError("keep is 'first' or 'none'")
     keyed = _keyed(docs)
@@ -201,25 +219,24 @@ def _found(scratch: Scratch, docs: DataFrame, window: int, gram: int, keep: str,
     regions = spots.groupBy(*region).agg(F.count("*").alias("n"), F.min(F.struct("k", "t", "start")).alias("first"), F.first("content").alias("content"))
     regions = regions.select(*region, "n", F.col("first.k").alias("fk"), F.col("first.t").alias("ft"), F.col("first.start").alias("fs"), "content")
     regions = scratch.keep(regions, "regions")
+    where = scratch.keep(spots.select("k", "t", "start", *region, (F.length("content") - window + 1).cast("long").alias("windows")), "where")
+    scratch.drop("spots")
     sizes = regions.groupBy("hash").agg(F.count("*").alias("different"))
     sizes = scratch.keep(sizes.where(f"different > {hot}").select("hash"), "hot")
     total = regions.agg(F.coalesce(F.sum(F.length("content")), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_BYTES))
     usual = regions.join(sizes, "hash", "left_anti").withColumn("shard", F.pmod(F.xxhash64("hash"), F.lit(shards)))
-    matched = _sharded(usual, window).unionByName(_hashed(regions.join(sizes, "hash", "left_semi"), window))
-    where = spots.select("k", "t", "start", *region, (F.length("content") - window).alias("last"))
+    matched = _sharded(usual, window, keep).unionByName(_hashed(regions.join(sizes, "hash", "left_semi"), window, keep))
+    matched = scratch.keep(matched.where("size(runs) > 0"), "matched")
     where = where.join(regions.select(*region, "n", "fk", "ft", "fs"), region).join(matched, region, "left")
-    whole = F.sequence(F.lit(0), F.col("last"))
-    if keep == "none":
-        own = F.when(F.col("n") > 1, whole).otherwise(F.coalesce("matched", F.array().cast("array<int>")))
-    else:
-        is_first = (F.col("k") == F.col("fk")) & (F.col("t") == F.col("ft")) & (F.col("start") == F.col("fs"))
-        own = F.when(~is_first, whole).otherwise(F.coalesce("earlier", F.array().cast("array<int>")))
+    is_first = (F.col("k") == F.col("fk")) & (F.col("t") == F.col("ft")) & (F.col("start") == F.col("fs"))
+    every = F.col("n") > 1 if keep == "none" else ~is_first
+    own = F.when(every, F.array(F.lit(0).cast("long"), F.col("windows"))).otherwise(F.col("runs"))
     own = F.transform(own, lambda x: x + F.col("start"))
-    starts = where.select("k", "t", own.alias("own")).where("size(own) > 0")
-    starts = starts.groupBy("k", "t").agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias("starts"))
+    starts = where.select("k", "t", own.alias("own")).where("own is not null")
+    starts = starts.groupBy("k", "t").agg(F.flatten(F.collect_list("own")).alias("starts"))
     starts = scratch.keep(starts, "starts")
-    for name in ("spots", "regions", "hot"):
+    for name in ("regions", "hot", "where", "matched"):
         scratch.drop(name)
     return starts
 
