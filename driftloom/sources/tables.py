@@ -36,7 +36,7 @@ def read_annotations(spark: SparkSession, path: str, mode: str = "nextclade", re
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of all tables under a path with their file and place: ``line`` 0 is the header of a file read by one task."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.tsv").text(path)
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.tsv").text(path, wholetext=True)
     text = F.regexp_replace(F.regexp_replace("value", "^﻿", ""), "\r", "")
     return rows.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.regexp_replace(text, "\n$", ""), "\n")).alias("line", "value"))
 
