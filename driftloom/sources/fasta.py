@@ -24,10 +24,12 @@ def read_fasta(spark: SparkSession, path: str, on_orphan: str = "error", on_empt
     """
     if on_orphan not in ("error", "drop") or on_empty not in ("error", "keep", "drop"):
         raise ValueError("on_orphan is error or drop, on_empty is error, keep or drop")
-    rows = spark.read.option("lineSep", "\n>").text(path).withColumn("record_index", F.monotonically_increasing_id())
-    text = F.regexp_replace(F.regexp_replace(F.col("value"), "^﻿", ""), "\r", "")
-    starts = (F.col("_metadata.file_block_start") == 0) & (F.lag("value").over(_in_split()).isNull())
-    rows = rows.select("record_index", text.alias("text"), starts.alias("first"))
+    rows = spark.read.option("lineSep", "\n>").text(path)
+    rows = rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("record_index"))
+    # a row for each file: where its first record is
+    firsts = rows.where("block = 0").groupBy("file").agg(F.min("record_index").alias("record_index")).select("record_index", F.lit(True).alias("first"))
+    text = F.regexp_replace(F.regexp_replace(F.col("value"), "^\ufeff", ""), "\r", "")
+    rows = rows.join(firsts, "record_index", "left").select("record_index", text.alias("text"), F.coalesce("first", F.lit(False)).alias("first"))
     marked = F.when(F.col("first"), F.regexp_extract("text", r"(?s)^\s*>(.*)$", 1)).otherwise(F.col("text"))
     orphan = F.col("first") & ~F.col("text").rlike(r"(?s)^\s*(>.*)?$")
     if on_orphan == "error":
@@ -46,12 +48,6 @@ def read_fasta(spark: SparkSession, path: str, on_orphan: str = "error", on_empt
     return out
 
 
-def _in_split():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("_metadata.file_path", "_metadata.file_block_start").orderBy("record_index")
-
-
 def isolate_headers(records: DataFrame) -> DataFrame:
     """Headers of exactly 15 pipe fields as columns, with the collection date as a date."""
     fields = F.split("header", r"\|")
