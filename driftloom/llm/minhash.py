@@ -29,7 +29,7 @@ from .textkernel import Texts, Words, blocks, mix, windows
 WORDS = 5
 ROWS = 5
 #: Hashes of a signature; bands take the first ones.
-HASHES = 192
+HASHES = 256
 #: Probability that bands lose a pair at the threshold, and that posterior bounds do.
 MISS = 1e-6
 POSTERIOR_MISS = 1e-5
@@ -164,22 +164,25 @@ def _plausible(pairs: DataFrame, need: dict[int, int], part: int, whole: int) ->
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _blocks(entries: DataFrame, need: dict[int, int], part: int, whole: int) -> DataFrame:
-    """Plausible pairs of different components in each bucket (bucket, id, component, n_shingles, signature)."""
+def _blocks(entries: DataFrame, need: dict[int, int], part: int, whole: int, bands: int) -> DataFrame:
+    """Plausible pairs of different components in each bucket (bucket, place, id, component, n_shingles, signature).
+
+    A pair that shares several bands is made in the first of them.
+    """
     sizes = entries.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     own = entries.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     rows = own.select("*", other)
-    rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.struct("block", "id", "component", "n_shingles", "signature").alias("m"))
-    lists = rows.groupBy("bucket", "i", "j").agg(F.collect_list("m").alias("own"))
+    rows = rows.select("bucket", "place", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.struct("block", "id", "component", "n_shingles", "signature").alias("m"))
+    lists = rows.groupBy("bucket", "place", "i", "j").agg(F.collect_list("m").alias("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first, lists = batch.column(0).to_pylist(), batch.column(1)
+            first, places, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
             fields, edges = lists.values, lists.offsets.to_pylist()
             block, ids, component, n = (fields.field(c).to_numpy() for c in ("block", "id", "component", "n_shingles"))
             found = []
-            for i, a, b in zip(first, edges, edges[1:]):
+            for i, place, a, b in zip(first, places, edges, edges[1:]):
                 low = block[a:b] == i
                 left = np.flatnonzero(low) + a
                 right = left if low.all() else np.flatnonzero(~low) + a
@@ -193,11 +196,14 @@ def _blocks(entries: DataFrame, need: dict[int, int], part: int, whole: int) ->
                     matches = matches + (held[x - a, done:size] == held[y - a, done:size]).sum(1)
                     x, y, matches, done = x[matches >= least], y[matches >= least], matches[matches >= least], size
                 if len(x):
+                    agree = held[x - a, : bands * ROWS] == held[y - a, : bands * ROWS]
+                    own = agree.reshape(len(x), bands, ROWS).all(2).argmax(1) == place
+                    x, y = x[own], y[own]
                     found.append((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b"])
 
-    return lists.select("i", "own").mapInArrow(run, "a long, b long").distinct()
+    return lists.select("i", "place", "own").mapInArrow(run, "a long, b long").distinct()
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -245,7 +251,7 @@ def groups(spark: SparkSession, docs: DataFrame, part: int = 80, whole: int = 10
     nodes = scratch.keep(nodes, "nodes")
     own = base.withColumnRenamed("doc_id", "node").join(nodes, ["k1", "k2", "node"])
     signed = scratch.keep(own.select(F.col("node").alias("id"), "n_shingles", "signature", "bands"), "signed")
-    entries = signed.select("id", F.explode("bands").alias("bucket"))
+    entries = signed.select("id", F.posexplode("bands").alias("place", "bucket"))
     shared = entries.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("others")).where("low < high")
     entries = scratch.keep(entries.join(shared.select("bucket", "others"), "bucket"), "entries")
     known = scratch.keep(entries.groupBy("id").agg(F.sum("others").alias("met")), "known")
@@ -272,11 +278,11 @@ def groups(spark: SparkSession, docs: DataFrame, part: int = 80, whole: int = 10
     both = pairs.join(signatures.toDF("a", "x", "m"), "a").join(signatures.toDF("b", "y", "n"), "b").select("a", "b", "x", "y", "m", "n")
     links = links.unionByName(linked(_plausible(both, need, part, whole), "centres"))
     found = connected(scratch, links, "round")
-    placed = entries.select("bucket", "id").join(found.toDF("id", "component"), "id", "left")
-    placed = scratch.keep(placed.select("bucket", "id", F.coalesce("component", "id").alias("component")), "placed")
+    placed = entries.select("bucket", "place", "id").join(found.toDF("id", "component"), "id", "left")
+    placed = scratch.keep(placed.select("bucket", "place", "id", F.coalesce("component", "id").alias("component")), "placed")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     inside = placed.join(mixed.select("bucket"), "bucket").join(signatures, "id")
-    pairs = scratch.keep(_blocks(inside, need, part, whole), "pairs")
+    pairs = scratch.keep(_blocks(inside, need, part, whole, bands), "pairs")
     links = links.unionByName(linked(pairs, "rest"))
     found = connected(scratch, links, "last")
     out = base.select("doc_id", "n_shingles", "k1", "k2").join(nodes, ["k1", "k2"], "left")
