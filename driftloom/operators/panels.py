@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.simplex import over
 
-#: Strains of one (window, stratum) a coreset is chosen from; more are first thinned evenly by a hash.
-GROUP_LIMIT = 20_000
-
 
 def seats(sizes: dict[int, int], panel: int, strata: int) -> dict[int, int]:
     """Seats of each stratum: equal parts, the remainder to the first ones, spare seats to the largest rest."""
@@ -58,8 +58,8 @@ def coreset(strains: pd.DataFrame, size: int, outlying: float = 0.25) -> pd.Data
 def panel(strains: DataFrame, cutoffs: DataFrame, size: int, months: int = 6, years: int = 3, outlying: float = 0.25) -> DataFrame:
     """A panel for each cutoff: strains (query_id, sequence, date, weight; equal lengths) in strata of ``months``.
 
-    Seats are dealt by the strata's sizes, a row each; a stratum's coreset is chosen in one task, from
-    at most GROUP_LIMIT strains, the ones with the smallest hashes if there are more.
+    Seats are dealt by the strata's sizes, a row each. Strains are chosen as by ``coreset``, one in every
+    stratum at a time, from all its strains; only the chosen ones reach the driver. ``query_id`` is a key.
     """
     strata = -(-12 * years // months)
     if size < strata:
@@ -71,16 +71,64 @@ def panel(strains: DataFrame, cutoffs: DataFrame, size: int, months: int = 6, ye
     sizes = rows.groupBy("window_id", "stratum").agg(F.count("*").alias("n"))
     counted = sizes.groupBy("window_id").agg(F.map_from_entries(F.collect_list(F.struct("stratum", "n"))).alias("sizes")).collect()
     dealt = [(r["window_id"], s, n, r["sizes"][s]) for r in counted for s, n in seats(r["sizes"], size, strata).items()]
-    spark = strains.sparkSession
-    allotted = spark.createDataFrame(dealt, "window_id int, stratum int, seats int, pool long")
-    kept = rows.join(F.broadcast(allotted), ["window_id", "stratum"])
-    kept = kept.where(F.pmod(F.xxhash64("query_id"), F.greatest(F.ceil(F.col("pool") / GROUP_LIMIT), F.lit(1))) == 0)
-    schema = "window_id int, stratum int, query_id long, date date, weight double, reference_weight double"
+    group, spark = ["window_id", "stratum"], strains.sparkSession
+    wanted = {(w, t): n for w, t, n, _ in dealt if n}
+    pools = {(w, t): pool for w, t, _, pool in dealt}
+    few = [k for k, n in wanted.items() if pools[k] <= n]
+    rows = rows.select(*group, "query_id", "sequence", "date", "weight").persist(StorageLevel.DISK_ONLY)
+    chosen: dict[tuple, list] = {k: [] for k in wanted}
+    try:
+        if few:
+            keys = spark.createDataFrame(few, "window_id int, stratum int")
+            for r in rows.join(F.broadcast(keys), group).collect():  # at most as many as there are seats
+                chosen[r["window_id"], r["stratum"]].append(r)
+        sentinels = {k: min(n - 1, int(round(n * outlying))) for k, n in wanted.items()}
+        for i in range(max(wanted.values(), default=0)):
+            due = {k: [r["sequence"] for r in chosen[k]] for k, n in wanted.items() if i < n and k not in few}
+            if not due:
+                break
+            plain = {k for k in due if i >= wanted[k] - sentinels[k]}
+            taken = {k: {r["query_id"] for r in chosen[k]} for k in due}
+            for r in _farthest(rows, due, plain, taken).collect():  # a row for each window and stratum
+                chosen[r["window_id"], r["stratum"]].append(r["best"])
+        near = _nearest(rows, {k: [r["sequence"] for r in c] for k, c in chosen.items() if k not in few})
+        mass = {(r["window_id"], r["stratum"], r["owner"]): r["mass"] for r in near.groupBy(*group, "owner").agg(F.sum("weight").alias("mass")).collect()}
+    finally:
+        rows.unpersist()
+    out = []
+    for k, c in chosen.items():
+        own = [float(r["weight"]) if k in few else mass.get((*k, i), 0.0) for i, r in enumerate(c)]
+        out += [(*k, r["query_id"], r["date"], float(r["weight"]), m / sum(own)) for r, m in zip(c, own)]
+    found = spark.createDataFrame(out, "window_id int, stratum int, query_id long, date date, weight double, reference_weight double")
+    total = F.sum("reference_weight").over(over("window_id"))
+    return found.withColumn("reference_weight", F.col("reference_weight") / total)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        found = coreset(group, int(group["seats"].iloc[0]), outlying)
-        return found[["window_id", "stratum", "query_id", "date", "weight", "reference_weight"]]
 
-    chosen = kept.groupBy("window_id", "stratum").applyInPandas(run, schema)
-    total = F.sum("reference_weight").over(over("window_id"))
-    return chosen.withColumn("reference_weight", F.col("reference_weight") / total)
+def _nearest(rows: DataFrame, centres: dict[tuple, list[str]]) -> DataFrame:
+    """Rows of the groups in ``centres``, with the place of the nearest centre and its distance (1 without centres)."""
+    letters = {k: np.array([list(s.encode()) for s in c], dtype=np.uint8) for k, c in centres.items()}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, own in batch.groupby(["window_id", "stratum"]):
+                if key not in letters:
+                    continue
+                nearest, owner = np.ones(len(own)), np.zeros(len(own), dtype=np.int32)
+                if len(letters[key]):
+                    held = np.array([list(s.encode()) for s in own["sequence"]], dtype=np.uint8)
+                    apart = np.stack([(held != c).sum(1) for c in letters[key]], 1)
+                    nearest, owner = apart.min(1).astype(float), apart.argmin(1).astype(np.int32)
+                yield own.assign(nearest=nearest, owner=owner)
+
+    return rows.mapInPandas(run, "window_id int, stratum int, query_id long, sequence string, date date, weight double, nearest double, owner int")
+
+
+def _farthest(rows: DataFrame, centres: dict[tuple, list[str]], plain: set[tuple], taken: dict[tuple, set]) -> DataFrame:
+    """The next strain of each group, ties as in ``coreset``: the first heaviest one, then the highest score."""
+    spark = rows.sparkSession
+    about = [(*k, bool(c), k in plain, sorted(taken[k])) for k, c in centres.items()]
+    about = spark.createDataFrame(about, "window_id int, stratum int, begun boolean, plain boolean, taken array<long>")
+    near = _nearest(rows, centres).join(F.broadcast(about), ["window_id", "stratum"]).where(~F.array_contains("taken", F.col("query_id")))
+    score = F.when(~F.col("begun"), 0.0).when(F.col("plain"), F.col("nearest")).otherwise(F.col("nearest") * F.sqrt("weight"))
+    order = F.struct(score, F.col("weight"), -F.unix_date("date"), -F.col("query_id"))
+    return near.groupBy("window_id", "stratum").agg(F.max_by(F.struct("query_id", "sequence", "date", "weight"), order).alias("best"))
