@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +67,22 @@ def by_year_and_clade(rows: DataFrame) -> DataFrame:
     )
 
 
+def ranked(rows: DataFrame, key: str, value: str, last: str) -> DataFrame:
+    """Every row with its ``rank`` in ``key`` by falling ``value``, then ``last``, the unique key.
+
+    Rows are sorted in ranges, numbered inside them, and moved by the counts of the ranges before, so
+    that no key is sorted in one task.
+    """
+    order = [F.col(key), F.desc(value), F.col(last)]
+    sorted_ = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    before = F.sum("n").over(Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    # a row for each range and key, at most the ranges and keys together
+    counts = sorted_.groupBy(key, "part").agg(F.count("*").alias("n")).select(F.col(key).alias("k"), F.col("part").alias("at"), F.coalesce(before, F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("part", key).orderBy(F.desc(value), last))
+    numbered = sorted_.withColumn("own", own).join(F.broadcast(counts), F.col(key).eqNullSafe(F.col("k")) & (F.col("part") == F.col("at")))
+    return numbered.withColumn("rank", F.col("own") + F.col("before")).drop("part", "own", "k", "at", "before")
+
+
 def weighted_summary(pairs: DataFrame, keys: list[str], value: str = "distance", weight: str = "weight") -> DataFrame:
     """Weighted mean and lower empirical quantiles, range and number of references of each query."""
     part = Window.partitionBy(*keys)

@@ -252,6 +252,11 @@ def score_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("branch", "obs_id", "score", rank.alias("rank")).where("rank <= 100")
 
 
+def score_ranking_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ranks; ``score_ranking`` ends at 100, as its SQL does."""
+    return scores.ranked(standins.coarse(spark, sf_dir), "branch", "score", "obs_id").select("branch", "obs_id", "score", "rank")
+
+
 def _partial_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standins.observations(spark, sf_dir).select("obs_id", "collection_date", F.col("coarse").alias("branch"), "clade", F.col("legacy").alias("source"), F.when(F.col("obs_id") % 4 != 0, F.col("score")).alias("score"))
 
@@ -379,7 +384,7 @@ for _f in (
     position_diversity, hamming_to_consensus, valid_residue_count, length_distribution, nucleotide_detection, audit_status_counts, audit_status_by,
     audit_metric_summary, audit_top_values, audit_lineage_table, audit_run_transitions, error_categories, repeated_keys, cutoff_table,
     window_aligned_counts, unique_accession_join, frozen_panel_inequality, past_strain_antijoin, instance_expansion_unique_hit, metrics_six_model,
-    top1_accuracy, rolling_six_model_detail, rolling_six_model_summary, window_wins, changepoint_diagnostics, score_ranking, score_completeness,
+    top1_accuracy, rolling_six_model_detail, rolling_six_model_summary, window_wins, changepoint_diagnostics, score_ranking, score_ranking_all, score_completeness,
     score_summary_by_year_clade, score_by_date_bin, branch_signal_window, signal_correlations, signal_leaders, branch_features, distance_signal,
     pair_weighted_summary, score_resume_antijoin, ridge_share_change, mlr_point_forecast, coreset_panel, surrogate_scores, count_trend_features,
 ):
