@@ -6,7 +6,8 @@ deleted and the two neighbouring ranks refreshed. Many words of like length stan
 pair of arrays, so a round of numpy calls does one merge of each. Scanning is quadratic, so
 pre-tokens above ``SCAN_LIMIT`` bytes keep the same ranks in a heap over linked parts; the order of
 merging is the same. Texts are cut into pre-tokens in numpy as well, a block of texts at a time, and
-each worker remembers the ids of the words it has met.
+each worker remembers the ids of the words it has met. Words are found by a hash and compared letter by
+letter; should two of one hash differ, the memory starts anew with another one.
 """
 
 from __future__ import annotations
@@ -24,9 +25,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .textkernel import stretch_hashes
+
 SCAN_LIMIT = 192
-#: Words remembered by each Python worker (about 50 bytes each); when full, the memory starts anew.
-MEMORY_WORDS = 3_000_000
+#: Words and their letters remembered by each Python worker (about 50 and 4 bytes each); when full, the memory starts anew.
+MEMORY_WORDS = 1_500_000
+MEMORY_LETTERS = 24_000_000
 #: Words merged together, and characters of text cut together.
 ROWS = 4096
 BLOCK_CHARS = 2_000_000
@@ -35,7 +39,6 @@ NONE = np.iinfo(np.int64).max
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 # The characters with the Unicode property White_Space.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 @lru_cache(maxsize=1)
@@ -119,6 +122,7 @@ class BytePairs:
         self.token_length = np.array([len(t) for t in self.token_bytes], dtype=np.int64)
         self.token_offset = np.cumsum(self.token_length) - self.token_length
         self.token_flat = np.frombuffer(b"".join(self.token_bytes), np.uint8)
+        self.seed = 0
         self.forget()
 
     def forget(self) -> None:
@@ -127,6 +131,10 @@ class BytePairs:
         self.count = np.zeros(0, np.int64)
         self.flat = np.zeros(1 << 16, np.uint32)
         self.filled = 0
+        self.letters = np.zeros(1 << 16, np.uint32)
+        self.letters_filled = 0
+        self.letter_at = np.zeros(0, np.int64)
+        self.letter_count = np.zeros(0, np.int64)
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of parts, NONE where there is no merge (or a part is missing, -1)."""
@@ -223,8 +231,30 @@ class BytePairs:
         where = np.empty(len(size), np.int64)
         where[order] = self.filled + np.cumsum(count[order]) - count[order]
         self.filled += len(new)
+        if self.letters_filled + len(chars) > len(self.letters):
+            self.letters = np.concatenate([self.letters[: self.letters_filled], np.zeros(2 * (self.letters_filled + len(chars)), np.uint32)])
+        self.letters[self.letters_filled : self.letters_filled + len(chars)] = chars
+        letter_at = self.letters_filled + np.cumsum(length) - length
+        self.letters_filled += len(chars)
         into = np.searchsorted(self.known, keys)
         self.known, self.where, self.count = np.insert(self.known, into, keys), np.insert(self.where, into, where), np.insert(self.count, into, count)
+        self.letter_at, self.letter_count = np.insert(self.letter_at, into, letter_at), np.insert(self.letter_count, into, length)
+
+    def _remembered(self, points: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray | None:
+        """Where each word stands in the memory, new ones added; None if two words of one hash differ."""
+        keys = stretch_hashes(points.view(np.uint8), 4 * start, 4 * length, self.seed)
+        keys, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        if len(self.known) + len(keys) > MEMORY_WORDS or self.letters_filled > MEMORY_LETTERS:
+            self.forget()
+        at = np.minimum(np.searchsorted(self.known, keys), max(len(self.known) - 1, 0))
+        new = self.known[at] != keys if len(self.known) else np.ones(len(keys), bool)
+        if new.any():
+            self._learn(keys[new], points, start[first[new]], length[first[new]])
+            at = np.searchsorted(self.known, keys)
+        at = at[which]
+        if (self.letter_count[at] != length).any() or (self.letters[_spread(self.letter_at[at], length)] != points).any():
+            return None
+        return at
 
     def _words(self, segments: list[str]) -> list[bytes]:
         """Ids of texts without special tokens."""
@@ -237,21 +267,11 @@ class BytePairs:
         opens[edge[size > 0]] = True
         start = word_starts(points, opens)
         length = np.diff(start, append=len(points))
-        power = np.multiply.accumulate(np.full(int(length.max()), _BASE, np.uint64))
-        mixed = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= power[np.arange(len(points)) - np.repeat(start, length)]
-        keys = np.add.reduceat(mixed, start) ^ length.astype(np.uint64)
-        keys, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.known) + len(keys) > MEMORY_WORDS:
+        while (at := self._remembered(points, start, length)) is None:
+            self.seed += 1
             self.forget()
-        at = np.minimum(np.searchsorted(self.known, keys), max(len(self.known) - 1, 0))
-        new = self.known[at] != keys if len(self.known) else np.ones(len(keys), bool)
-        if new.any():
-            self._learn(keys[new], points, start[first[new]], length[first[new]])
-            at = np.searchsorted(self.known, keys)
-        count = self.count[at][which]
-        ids = self.flat[_spread(self.where[at][which], count)].astype("<u4").tobytes()
+        count = self.count[at]
+        ids = self.flat[_spread(self.where[at], count)].astype("<u4").tobytes()
         so_far = np.concatenate([[0], np.cumsum(count)])[np.searchsorted(start, np.append(edge, len(points)))] * 4
         return [ids[a:b] for a, b in zip(so_far[:-1].tolist(), so_far[1:].tolist())]
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,14 +19,27 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where the setting is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, a temporary one if driver and executors are one machine, else an error."""
     found = spark.conf.get(_SETTING, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{_SETTING} must name a folder that the whole cluster shares")
         found = "file://" + tempfile.mkdtemp(prefix="driftloom-")
         spark.conf.set(_SETTING, found)
     return found.rstrip("/")
 
 
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of queries that run inside go as soon as each is done."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 class Scratch:
     """A folder of its own for one run of an operator."""
 
@@ -37,15 +52,12 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return the table read back, its lineage cut."""
-        before = self.spark.conf.get(_CLEANUP)
-        self.spark.conf.set(_CLEANUP, "true")
-        try:
+        with cleaned(self.spark):
             df.write.mode("overwrite").parquet(self.path(name))
-        finally:
-            self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        """Remove a table that no later step reads."""
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+    def drop(self, *names: str) -> None:
+        """Remove tables that no later step reads."""
+        for name in names:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)

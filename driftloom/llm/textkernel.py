@@ -1,21 +1,23 @@
 """Words of UTF-8 texts as numpy arrays: a block of texts at a time, straight from Arrow buffers.
 
 A word is a maximal run of bytes outside ``\\x20\\x09-\\x0D``; these bytes never occur inside a longer
-UTF-8 character, so bytes give the same words as characters. Hashes are 64-bit polynomials of the
-bytes, mixed at the end; both the base and the table of bytes are fixed.
+UTF-8 character, so bytes give the same words as characters. Hashes are chains and trees of a mixing
+step that isn't linear, so that no regular text (a polynomial of a Thue-Morse word, say) makes many of
+them meet; long words are hashed by BLAKE2.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 2_000_000
-BASE = 0x9E3779B97F4A7C15
+#: Longest stretch of bytes hashed in numpy, eight at a time; longer ones go through BLAKE2.
+CHAINED = 64
 _GAP = np.zeros(256, bool)
 _GAP[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -29,20 +31,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64))
-
-
-@lru_cache(maxsize=4)
-def powers(n: int, base: int = BASE) -> np.ndarray:
-    """base ** 0 … base ** (n - 1), modulo 2 ** 64."""
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def power_table(n: int, base: int = BASE) -> np.ndarray:
-    """At least ``n`` powers; sizes are rounded up so that few tables are made."""
-    return powers(1 << max(10, (n - 1).bit_length()), base)
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two hashes in this order; for either one fixed it is a bijection of the other."""
+    x = a * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x += b
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return x
+
+
+def stretch_hashes(data: np.ndarray, start: np.ndarray, length: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of the ``length`` bytes at every ``start``."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    out = length.astype(np.uint64) + np.uint64(seed << 32)
+    place = np.arange(8)
+    live = np.flatnonzero(length <= CHAINED)
+    for done in range(0, CHAINED, 8):
+        live = live[length[live] > done]
+        if not len(live):
+            break
+        chunk = padded[start[live, None] + (done + place)]
+        chunk[place >= (length[live] - done)[:, None]] = 0
+        out[live] = join(out[live], chunk.view("<u8")[:, 0])
+    for i in np.flatnonzero(length > CHAINED).tolist():
+        own = data[start[i] : start[i] + length[i]].tobytes()
+        out[i] = np.frombuffer(hashlib.blake2b(own, digest_size=8, key=seed.to_bytes(8, "little")).digest(), "<u8")[0]
+    return mix(out)
 
 
 class Texts:
@@ -95,31 +110,41 @@ class Words:
     def per_text(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self, base: int = BASE) -> np.ndarray:
+    def hashes(self) -> np.ndarray:
         """64-bit hash of each word."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        length = self.end - self.start
-        table = power_table(int(length.max()) + 1, base)
-        gap = np.diff(np.append(self.start, len(self.texts.data)))
-        at = np.arange(len(self.texts.data) - self.start[0]) - np.repeat(self.start - self.start[0], gap)
-        inside = at < np.repeat(length, gap)
-        coded = BYTE_CODES[self.texts.data[self.start[0] :]]
-        coded *= table[np.where(inside, at, 0)]
-        coded[~inside] = 0
-        return mix(np.add.reduceat(coded, self.start - self.start[0]) + length.astype(np.uint64))
-
-
-def windows(hashes: np.ndarray, size: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:
+        return stretch_hashes(self.texts.data, self.start, self.end - self.start)
+
+
+    def joined(self) -> tuple[bytes, np.ndarray]:
+        """All words in turn with one blank after each, and where each begins (one more for the end)."""
+        length = self.end - self.start + 1
+        edge = np.concatenate([[0], np.cumsum(length)])
+        at = np.repeat(self.start - edge[:-1], length) + np.arange(int(edge[-1]))
+        out = np.append(self.texts.data, np.uint8(32))[at]
+        out[edge[1:] - 1] = 32
+        return out.tobytes(), edge
+
+
+def _tree(part: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every ``size`` consecutive hashes: blocks of 1, 2, 4 … of them, joined from the left."""
+    n = len(part) - size + 1
+    out, covered, width = None, 0, 1
+    while True:
+        if size & width:
+            own = part[covered : covered + n]
+            out = own if out is None else join(out, own)
+            covered += width
+        if 2 * width > size - covered:
+            return out
+        part = join(part[:-width], part[width:])
+        width *= 2
+
+
+def windows(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     """Hash of every ``size`` consecutive words; across texts too, which the caller leaves out."""
-    n = len(hashes) - size + 1
-    if n <= 0:
+    if len(hashes) < size:
         return np.zeros(0, np.uint64)
-    table = powers(size, base)
-    out = np.zeros(n, np.uint64)
-    for i in range(size):
-        out += hashes[i : i + n] * table[i]
-    return mix(out)
+    return mix(_tree(hashes ^ np.uint64(seed) if seed else hashes, size))
 
 
 def least_places(values: np.ndarray, width: int) -> np.ndarray:
@@ -136,13 +161,24 @@ def least_places(values: np.ndarray, width: int) -> np.ndarray:
     return (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def byte_windows(data: np.ndarray, size: int, base: int = BASE) -> np.ndarray:
-    """Hash of every ``size`` consecutive bytes; across texts too, which the caller leaves out."""
-    n = len(data) - size + 1
-    if n <= 0:
+def byte_windows(data: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
+    """Hash of every ``size`` (a multiple of 8) consecutive bytes; across texts too, which the caller leaves out."""
+    if size % 8:
+        raise ValueError("size must be a multiple of 8")
+    if len(data) < size:
         return np.zeros(0, np.uint64)
-    table = power_table(len(data) + 1, base)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODES[data] * table[: len(data)], out=sums[1:])
-    inverse = power_table(len(data) + 1, pow(base, -1, 1 << 64))
-    return mix((sums[size:] - sums[:-size]) * inverse[:n])
+    part = data.astype(np.uint64)
+    for width in (1, 2, 4):
+        part = part[:-width] | part[width:] << np.uint64(8 * width)
+    if seed:
+        part = part ^ np.uint64(seed)
+    n, out, covered, width = len(data) - size + 1, None, 0, 8
+    while True:
+        if size & width:
+            own = part[covered : covered + n]
+            out = own if out is None else join(out, own)
+            covered += width
+        if 2 * width > size - covered:
+            return mix(out)
+        part = join(part[:-width], part[width:])
+        width *= 2
