@@ -66,7 +66,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.digest_rows(suffix.remove_repeats(spark, _table(spark, sf_dir, "documents"), keep="none"))
+    return suffix.digest_rows(suffix.remove_repeats(spark, _table(spark, sf_dir, "documents"), keep="none"), text=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -142,12 +142,17 @@ ORACLE_SQL: dict[str, str] = {
             from (select r, p, q, 'char' as kind from class_terms union all select r, p, q, 'word' from word_terms) group by r, kind
         ), judged as (
             select base.*, case when a.total is not null then round(sqrt(greatest(a.total / 2 / ln(2), 0)), 6) end as char_distance, case when b.total is not null then round(sqrt(greatest(b.total / 2 / ln(2), 0)), 6) end as word_distance,
-                   n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed
+                   n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, length(bin(n_words)) as bits
             from base left join distances a on a.r = base.r and a.kind = 'char' left join distances b on b.r = base.r and b.kind = 'word'
+        ), limits as (
+            select language, bits, case when count(char_distance) >= 50 then quantile_cont(char_distance, 0.5) + 6 * greatest(quantile_cont(char_distance, 0.75) - quantile_cont(char_distance, 0.25), 0.02) end as c,
+                   case when count(word_distance) >= 50 then quantile_cont(word_distance, 0.5) + 6 * greatest(quantile_cont(word_distance, 0.75) - quantile_cont(word_distance, 0.25), 0.02) end as w
+            from judged group by grouping sets ((language, bits), (language))
         )
         select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-               not base_failed and coalesce(char_distance, 0) <= 0.40 and coalesce(word_distance, 0) <= 0.75 as kept, char_distance, word_distance
-        from judged
+               not base_failed and not coalesce(char_distance > coalesce(own.c, every.c) + 1e-9, false) and not coalesce(word_distance > coalesce(own.w, every.w) + 1e-9, false) as kept,
+               char_distance, word_distance
+        from judged left join limits own on own.language = judged.language and own.bits = judged.bits left join limits every on every.language = judged.language and every.bits is null
     """,
     "op9_warc": """
         with p as (
