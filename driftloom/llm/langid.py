@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 ORDER = 4
-#: Learning documents per language, at most about; longer ones than this many characters aren't learned from.
+#: Learning documents per language, at most about. Longer ones than this many characters are learned from
+#: only, about LONG_DOCS of them, where a language has no others.
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 40_000
-#: Languages with the most learning documents; the table of probabilities grows with their number.
+LONG_DOCS = 4
+#: The most languages, since the table of probabilities grows with their number; more are an error.
 MAX_LANGUAGES = 256
 BLOCK_CHARS = 1_000_000
 #: Length from which more characters don't make the score surer.
@@ -148,14 +150,19 @@ def fit_texts(learned: dict[str, list[str]]) -> LanguageModels | None:
 
 def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> LanguageModels | None:
     """Learn from ``text`` by ``lang`` (nulls left out): about ``sample`` documents of each language, taken by a hash of doc_id."""
-    rows = docs.where("text is not null and lang is not null and length(text) <= %d" % SAMPLE_CHARS)
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    rows = docs.where("text is not null and lang is not null").withColumn("long", F.length("text") > SAMPLE_CHARS)
+    counts = rows.groupBy("lang").agg(F.count_if(~F.col("long")).alias("short"), F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
     if not counts:
         return None
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample / r["count"]))])
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"there are more than {MAX_LANGUAGES} languages")
+    share = {r["lang"]: min(1.0, sample / r["short"]) if r["short"] else min(1.0, LONG_DOCS / r["n"]) for r in counts}
+    no_other = [r["lang"] for r in counts if not r["short"]]
+    wanted = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    rows = rows.where((~F.col("long")) | F.col("lang").isin(no_other))
     learned: dict[str, list[str]] = {}
-    taken = rows.where(place < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0))).select("doc_id", "lang", "text")
+    taken = rows.where(place < F.try_element_at(wanted, F.col("lang"))).select("doc_id", "lang", "text")
     for r in sorted(taken.collect(), key=lambda r: (r["doc_id"] or 0, r["text"])):
         learned.setdefault(r["lang"], []).append(r["text"])
     return fit_texts(learned)

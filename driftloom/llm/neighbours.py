@@ -52,8 +52,9 @@ def _valid(rows: DataFrame) -> DataFrame:
                 if i is None or label is None or not v.is_valid or v.values.null_count or not len(v.values):
                     continue
                 own = v.values.to_numpy(zero_copy_only=False).astype("<f8") + 0.0
-                norm = np.sqrt(own @ own)
-                if np.isfinite(own).all() and norm > 0 and np.isfinite(norm):
+                if np.isfinite(own).all() and own.any():
+                    # a power of two takes the largest component near 1, exactly, so that no norm overflows or vanishes
+                    own = np.ldexp(own, -int(np.frexp(np.abs(own).max())[1])) + 0.0
                     ids.append(i)
                     labels.append(label)
                     held.append(own.tobytes())
@@ -310,7 +311,8 @@ def groups(spark: SparkSession, vectors: DataFrame) -> DataFrame:
     or vector, an empty or zero vector, or null or non-finite components link with nothing; vectors of
     different sizes don't either. Equal rows are separate vectors, linked with each other. vec_id is
     taken as a key: rows that share it but differ count as one node of their component. Other columns
-    are not read; an empty table gives an empty result.
+    are not read; an empty table gives an empty result. ``audited_recall`` is the share of the audited
+    linked vectors of the row's label that have all their links, null where none of them has a link.
     """
     scratch = Scratch(spark, "neighbours")
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("label").cast("string").alias("label"), "embedding")
@@ -360,7 +362,10 @@ def groups(spark: SparkSession, vectors: DataFrame) -> DataFrame:
     known = known.groupBy("id").agg(
         F.max(F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.min(F.coalesce("component", "node")).alias("component")
     )
-    out = rows.select("id").join(known, "id", "left").select(
-        F.col("id").alias("vec_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id")
+    # a row for each label
+    recall = scratch.keep(audit(checked, found).groupBy("label").agg(F.min("recall").alias("audited_recall")), "recall")
+    out = rows.select("id", "label").join(known, "id", "left").join(recall, "label", "left").select(
+        F.col("id").alias("vec_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"), "audited_recall"
     )
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return out.select("vec_id", "n_links", "component_id", kept, "audited_recall")
