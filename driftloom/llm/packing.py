@@ -9,7 +9,7 @@ their rank within their length, which tasks count on their own and a small table
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +47,26 @@ def fullest(rest: int, left: list[int], lengths: list[int]) -> dict[int, int]:
     return used
 
 
+def longest(rest: int, left: list[int], lengths: list[int]) -> dict[int, int]:
+    """Counts by length of what fits into ``rest``, the longest piece first."""
+    used = {}
+    for size in lengths:
+        if n := min(left[size], rest // size):
+            used[size] = n
+            rest -= n * size
+    return used
+
+
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """Patterns: how many bins, and how many pieces of each length in one of them."""
+    """Patterns: how many bins, and how many pieces of each length in one of them.
+
+    Filling bins to the brim may use up the short pieces too early. Where taking the longest piece that
+    fits needs fewer bins, these are the plan.
+    """
+    return min((_patterns(histogram, capacity, fill) for fill in (fullest, longest)), key=lambda made: sum(times for times, _ in made))
+
+
+def _patterns(histogram: dict[int, int], capacity: int, fill: Callable[[int, list[int], list[int]], dict[int, int]]) -> list[tuple[int, dict[int, int]]]:
     left = [0] * (capacity + 1)
     for size, n in histogram.items():
         left[size] = n
@@ -57,7 +75,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int,
     while lengths:
         top = lengths[0]
         left[top] -= 1
-        used = fullest(capacity - top, left, lengths)
+        used = fill(capacity - top, left, lengths)
         left[top] += 1
         used[top] = used.get(top, 0) + 1
         times = min(left[s] // n for s, n in used.items())
