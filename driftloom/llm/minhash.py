@@ -7,15 +7,18 @@ their full shingle sets.
 
 Texts with equal sets are one node. Within a bucket, members are first tried against the one that
 shares buckets with the most others (the original among its copies), and linked nodes form components.
-Then all members of a bucket that lie in different components are compared by signature, block against
-block inside a task, and only plausible pairs leave it. So no link between components is missed, and a
-large group of copies costs about as many tests as it has members.
+Then the members of a bucket that lie in different components are compared, block against block inside
+a task: first by signature, which leaves the members with a plausible partner, then these on their full
+sets. A task returns only links that join what its links so far have not, fewer than it has members. So
+no link between components is missed, and the rows of every step grow with the members of a group, not
+with its pairs; a bucket's largest component is not compared with itself.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +39,6 @@ POSTERIOR_MISS = 1e-5
 STEP = 16
 #: Members of a bucket compared with others at once.
 BLOCK = 256
-#: Shingles of a pair that may share 32-bit hashes by chance; more than this many never do.
-SLACK = 8
 
 
 def bands_for(similarity: float, miss: float = MISS) -> int:
@@ -132,17 +133,16 @@ def windows_of(least: np.ndarray, bands: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """Full sets as sorted 64-bit hashes, and ``short`` ones of 32 bits to tell most pairs apart."""
+    """Full sets as sorted 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in blocks(batch.column(1)):
                 shingles, first = _shingles(texts, size)
-                own = [np.unique(shingles[first[i] : first[i + 1]]) for i in range(b - a)]
-                short = [np.unique(x >> np.uint64(32)).astype("<u4").tobytes() for x in own]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(short, pa.binary())], ["id", "shingles", "short"])
+                own = [np.unique(shingles[first[i] : first[i + 1]]).tobytes() for i in range(b - a)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(own, pa.binary())], ["id", "shingles"])
 
-    return docs.mapInArrow(run, "id long, shingles binary, short binary")
+    return docs.mapInArrow(run, "id long, shingles binary")
 
 
 def _plausible(pairs: DataFrame, need: dict[int, int], part: int, whole: int) -> DataFrame:
@@ -164,70 +164,123 @@ def _plausible(pairs: DataFrame, need: dict[int, int], part: int, whole: int) ->
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _blocks(entries: DataFrame, need: dict[int, int], part: int, whole: int, bands: int) -> DataFrame:
-    """Plausible pairs of different components in each bucket (bucket, place, id, component, n_shingles, signature).
+class Rule(NamedTuple):
+    """When texts are near, the matches each batch of a signature needs, and how many bands it has."""
 
-    A pair that shares several bands is made in the first of them.
+    part: int
+    whole: int
+    need: dict[int, int]
+    bands: int
+
+
+def _cells(entries: DataFrame, *columns: str) -> DataFrame:
+    """Lists of the members of each two blocks of a bucket that hold different components (``i`` is the first block).
+
+    Blocks of the largest component come after the others and meet only these.
     """
-    sizes = entries.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    own = entries.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    rows = own.select("*", other)
-    rows = rows.select("bucket", "place", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.struct("block", "id", "component", "n_shingles", "signature").alias("m"))
-    lists = rows.groupBy("bucket", "place", "i", "j").agg(F.collect_list("m").alias("own"))
+    sizes = entries.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"))
+    sizes = sizes.select("bucket", F.col("main.component").alias("main"), F.ceil((F.col("all") - F.col("main.n")) / BLOCK).alias("small"), F.ceil(F.col("main.n") / BLOCK).alias("large"))
+    own = entries.join(sizes, "bucket").withColumn("apart", F.col("component") != F.col("main"))
+    block = F.when(F.col("apart"), F.pmod(F.xxhash64("id"), "small")).otherwise(F.col("small") + F.pmod(F.xxhash64("id"), "large"))
+    last = F.when(F.col("apart"), F.col("small") + F.col("large")).otherwise(F.col("small")) - 1
+    rows = own.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    rows = rows.select("bucket", "place", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.struct("block", "id", "component", *columns).alias("m"))
+    return rows.groupBy("bucket", "place", "i", "j").agg(F.collect_list("m").alias("own")).select("bucket", "i", "own", "place")
+
+
+def _sides(block: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
+    low = block == i
+    left = np.flatnonzero(low)
+    return left, left if low.all() else np.flatnonzero(~low)
+
+
+def _likely(held: np.ndarray, n: np.ndarray, component: np.ndarray, left: np.ndarray, right: np.ndarray, place: int, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different components that neither their sizes nor a batch of their signatures rule out, if ``place`` is the first band they share."""
+    x, y = np.meshgrid(left, right, indexing="ij")
+    go = component[x] < component[y] if right is left else component[x] != component[y]
+    go &= rule.whole * np.minimum(n[x], n[y]) >= rule.part * np.maximum(n[x], n[y])
+    x, y = x[go], y[go]
+    done, matches = 0, np.zeros(len(x), np.int64)
+    for size, least in rule.need.items():
+        matches = matches + (held[x, done:size] == held[y, done:size]).sum(1)
+        x, y, matches, done = x[matches >= least], y[matches >= least], matches[matches >= least], size
+    agree = held[x, : rule.bands * ROWS] == held[y, : rule.bands * ROWS]
+    first = agree.reshape(len(x), rule.bands, ROWS).all(2).argmax(1) == place
+    return x[first], y[first]
+
+
+def _partnered(cells: DataFrame, rule: Rule) -> DataFrame:
+    """Members of a bucket with a plausible partner in another component: bucket, id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first, places, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-            fields, edges = lists.values, lists.offsets.to_pylist()
+            buckets, found = [], []
+            fields, edges = batch.column(2).values, batch.column(2).offsets.to_pylist()
             block, ids, component, n = (fields.field(c).to_numpy() for c in ("block", "id", "component", "n_shingles"))
-            found = []
-            for i, place, a, b in zip(first, places, edges, edges[1:]):
-                low = block[a:b] == i
-                left = np.flatnonzero(low) + a
-                right = left if low.all() else np.flatnonzero(~low) + a
+            for bucket, i, place, a, b in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), edges, edges[1:]):
                 held = np.frombuffer(b"".join(fields.field("signature").slice(a, b - a).to_pylist()), "<u2").reshape(b - a, -1)
-                x, y = np.meshgrid(left, right, indexing="ij")
-                go = component[x] < component[y] if right is left else component[x] != component[y]
-                go &= whole * np.minimum(n[x], n[y]) >= part * np.maximum(n[x], n[y])
-                x, y = x[go], y[go]
-                done, matches = 0, np.zeros(len(x), np.int64)
-                for size, least in need.items():
-                    matches = matches + (held[x - a, done:size] == held[y - a, done:size]).sum(1)
-                    x, y, matches, done = x[matches >= least], y[matches >= least], matches[matches >= least], size
-                if len(x):
-                    agree = held[x - a, : bands * ROWS] == held[y - a, : bands * ROWS]
-                    own = agree.reshape(len(x), bands, ROWS).all(2).argmax(1) == place
-                    x, y = x[own], y[own]
-                    found.append((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])))
+                own = np.unique(np.concatenate(_likely(held, n[a:b], component[a:b], *_sides(block[a:b], i), place, rule)))
+                buckets += [bucket] * len(own)
+                found.append(ids[a + own])
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(np.concatenate(found))], ["bucket", "id"])
 
-    return lists.select("i", "place", "own").mapInArrow(run, "a long, b long").distinct()
+    return cells.mapInArrow(run, "bucket long, id long").distinct()
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
+def _joining(cells: DataFrame, rule: Rule) -> DataFrame:
+    """Confirmed links of each cell that join components its earlier ones don't: fewer than its members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            fields, edges = batch.column(2).values, batch.column(2).offsets.to_pylist()
+            block, ids, component, n = (fields.field(c).to_numpy() for c in ("block", "id", "component", "n_shingles"))
+            shingles = fields.field("shingles")
+            for i, place, a, b in zip(*(batch.column(k).to_pylist() for k in (1, 3)), edges, edges[1:]):
+                held = np.frombuffer(b"".join(fields.field("signature").slice(a, b - a).to_pylist()), "<u2").reshape(b - a, -1)
+                x, y = _likely(held, n[a:b], component[a:b], *_sides(block[a:b], i), place, rule)
+                parent = {c: c for c in component[a:b].tolist()}
+
+                def root(c: int, parent: dict[int, int] = parent) -> int:
+                    while parent[c] != c:
+                        parent[c] = c = parent[parent[c]]
+                    return c
+
+                sets: dict[int, np.ndarray] = {}
+                for p, q in zip((a + x).tolist(), (a + y).tolist()):
+                    one, two = root(int(component[p])), root(int(component[q]))
+                    if one == two:
+                        continue
+                    for m in (p, q):
+                        if m not in sets:
+                            sets[m] = np.frombuffer(shingles[m].as_buffer(), "<u8")
+                    if _near(sets[p], sets[q], rule.part, rule.whole):
+                        parent[max(one, two)] = min(one, two)
+                        found.append((int(min(ids[p], ids[q])), int(max(ids[p], ids[q]))))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return cells.mapInArrow(run, "a long, b long")
+
+
+def _near(a: np.ndarray, b: np.ndarray, part: int, whole: int) -> bool:
+    """whole * intersection >= part * union of two sorted sets."""
+    if not len(a) or not len(b):
+        return False
     if len(a) > len(b):
         a, b = b, a
-    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) else 0
-
+    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return whole * common >= part * (len(a) + len(b) - common)
 
-def _linked(pairs: DataFrame, part: int, whole: int, kind: str) -> DataFrame:
-    """Pairs with whole * intersection >= part * union, on full sets ("<u8").
 
-    On short sets ("<u4") equal hashes of different shingles only add to what is common, or take from
-    both sizes; pairs that SLACK such cases could lift over the threshold stay.
-    """
-    slack = 0 if kind == "<u8" else SLACK
+def _linked(pairs: DataFrame, part: int, whole: int) -> DataFrame:
+    """Pairs whose full sets are near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                a, b = (np.frombuffer(v.as_buffer(), kind) for v in (x, y))
-                common = _common(a, b) + slack
-                if len(a) and len(b) and whole * common >= part * (len(a) + len(b) - common):
-                    good.append(i)
+            sets = ((np.frombuffer(v.as_buffer(), "<u8") for v in pair) for pair in zip(batch.column(2), batch.column(3)))
+            good = [i for i, (a, b) in enumerate(sets) if _near(a, b, part, whole)]
             yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
     return pairs.mapInArrow(run, "a long, b long")
@@ -244,7 +297,7 @@ def groups(spark: SparkSession, docs: DataFrame, part: int = 80, whole: int = 10
     """
     scratch = Scratch(spark, "minhash")
     bands = bands_for(part / whole)
-    need = least_matches(part / whole, max(HASHES, bands * ROWS))
+    rule = Rule(part, whole, least_matches(part / whole, max(HASHES, bands * ROWS)), bands)
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     base = scratch.keep(_signed(texts, size, bands), "base")
     nodes = base.where("doc_id is not null and n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
@@ -253,19 +306,13 @@ def groups(spark: SparkSession, docs: DataFrame, part: int = 80, whole: int = 10
     signed = scratch.keep(own.select(F.col("node").alias("id"), "n_shingles", "signature", "bands"), "signed")
     entries = signed.select("id", F.posexplode("bands").alias("place", "bucket"))
     shared = entries.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("others")).where("low < high")
-    entries = scratch.keep(entries.join(shared.select("bucket", "others"), "bucket"), "entries")
+    shared = scratch.keep(shared.select("bucket", "others"), "shared")
+    entries = scratch.keep(entries.join(shared, "bucket"), "entries")
+    scratch.drop("shared")
     known = scratch.keep(entries.groupBy("id").agg(F.sum("others").alias("met")), "known")
     wanted = known.select(F.col("id").alias("doc_id"))
     sets = scratch.keep(_sets(texts.join(wanted, "doc_id"), size), "sets")
     signatures = signed.select("id", "signature", "n_shingles")
-
-    def linked(pairs: DataFrame, label: str) -> DataFrame:
-        for column, kind in (("short", "<u4"), ("shingles", "<u8")):
-            own = sets.select("id", column)
-            both = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select("a", "b", "x", "y")
-            pairs = scratch.keep(_linked(both, part, whole, kind), f"{label}-{column}")
-        return pairs
-
     again = base.join(nodes, ["k1", "k2"]).select("doc_id", "node")
     several = again.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
     links = scratch.keep(several.select("a", F.col("z").alias("b")), "same")
@@ -276,15 +323,21 @@ def groups(spark: SparkSession, docs: DataFrame, part: int = 80, whole: int = 10
     pairs = entries.join(centres, "bucket").groupBy("id").agg((-F.max("centre")["first"]).alias("a")).where("a <> id")
     pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
     both = pairs.join(signatures.toDF("a", "x", "m"), "a").join(signatures.toDF("b", "y", "n"), "b").select("a", "b", "x", "y", "m", "n")
-    links = links.unionByName(linked(_plausible(both, need, part, whole), "centres"))
+    pairs = scratch.keep(_plausible(both, rule.need, part, whole), "pairs")
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    links = links.unionByName(scratch.keep(_linked(both, part, whole), "centres"))
     found = connected(scratch, links, "round")
     placed = entries.select("bucket", "place", "id").join(found.toDF("id", "component"), "id", "left")
     placed = scratch.keep(placed.select("bucket", "place", "id", F.coalesce("component", "id").alias("component")), "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    inside = placed.join(mixed.select("bucket"), "bucket").join(signatures, "id")
-    pairs = scratch.keep(_blocks(inside, need, part, whole, bands), "pairs")
-    links = links.unionByName(linked(pairs, "rest"))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    inside = placed.join(scratch.keep(mixed, "mixed"), "bucket").join(signatures, "id")
+    partnered = scratch.keep(_partnered(_cells(inside, "n_shingles", "signature"), rule), "partnered")
+    again = placed.join(partnered, ["bucket", "id"]).join(signatures, "id").join(sets, "id")
+    joining = _joining(_cells(again, "n_shingles", "signature", "shingles"), rule)
+    links = links.unionByName(scratch.keep(joining.distinct(), "joining"))
+    scratch.drop("signed", "entries", "known", "sets", "pairs", "placed", "mixed", "partnered")
     found = connected(scratch, links, "last")
+    scratch.drop("centres", "joining")
     out = base.select("doc_id", "n_shingles", "k1", "k2").join(nodes, ["k1", "k2"], "left")
     out = out.withColumn("node", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("node")))
     out = out.join(found, "node", "left").withColumn("component_id", F.coalesce("component", "node", "doc_id"))
