@@ -2,18 +2,22 @@
 
 Every window of ``window`` bytes selects the ``gram``-byte string of the smallest hash in it, its
 anchor; equal windows select equal anchors. Windows whose anchor occurs once cannot repeat. The others
-of one anchor form a region of the text; equal regions are counted and stand once, at their first
-place. Regions that share anchors meet in a shard, where the suffixes at all window starts are sorted
-by prefix doubling (tripling where three ranks fit a key) up to the length of a window, ties by place. In that order the neighbour before an
-entry that shares its whole window is its previous smaller position, so it has a longest previous
-factor of at least a window; the neighbour after it is a later match.
-
-An anchor with very many different regions would make a shard grow with the input; windows of such
-regions are matched by 128-bit hashes in Spark's aggregation instead, to the same result.
+of one anchor form a region of the text; equal regions (by BLAKE2 of their bytes) are counted and stand
+once, at their first place. Regions that share anchors meet in a shard, where the suffixes at all window
+starts are sorted by prefix doubling (tripling where three ranks fit a key) up to the length of a
+window, ties by place. The ranks of every step stay, and give the common length of any two suffixes.
+The previous and the next smaller position of every entry in that order hold its earlier matches, and
+the longer of the two is its longest previous factor; a window is a later copy where that reaches the
+window. Where no copy is to stay, the entry that has an equal one after it goes as well.
+
+An anchor with very many different regions would make a shard grow with the input. Its windows are
+grouped in Spark by their bytes instead (those whose hash occurs once are left out before), which
+names the same first places: the least position of a class of equal windows has no previous factor.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,15 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .substring import _keyed
+from .substring import keyed, spans
 from .textkernel import Texts, blocks, byte_windows, least_places
 
 WINDOW = 400
 GRAM = 32
 #: Bytes of regions for each shard, about, and different regions of an anchor from which they are hot.
-SHARD_BYTES = 1_200_000
+SHARD_BYTES = 1_000_000
 HOT_REGIONS = 4_000
-_SECOND = 0xC2B2AE3D27D4EB4F
 
 
 def _selected(texts: Texts, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,7 +48,7 @@ def _selected(texts: Texts, window: int, gram: int) -> tuple[np.ndarray, np.ndar
     return start, at[start], values
 
 
-def _anchors(keyed: DataFrame, window: int, gram: int) -> DataFrame:
+def _anchors(rows: DataFrame, window: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, _, texts in blocks(batch.column(2)):
@@ -55,7 +58,7 @@ def _anchors(keyed: DataFrame, window: int, gram: int) -> DataFrame:
                 take = pa.array(a + row)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(own - texts.offsets[row]), pa.array(values[own].view(np.int64))], ["k", "t", "place", "hash"])
 
-    return keyed.select("k", "t", "text").mapInArrow(run, "k long, t long, place long, hash long")
+    return rows.select("k", "t", "text").mapInArrow(run, "k long, t long, place long, hash long")
 
 
 def _regions(marked: DataFrame, window: int, gram: int) -> DataFrame:
@@ -75,60 +78,115 @@ def _regions(marked: DataFrame, window: int, gram: int) -> DataFrame:
                 lo, hi, anchor = start[head[own]], start[tail[own]], at[head[own]]
                 row = np.searchsorted(texts.offsets, lo, "right") - 1
                 content = [texts.data[x:y].tobytes() for x, y in zip(lo.tolist(), (hi + window).tolist())]
+                digest = np.frombuffer(b"".join([hashlib.blake2b(c, digest_size=16).digest() for c in content]), np.int64).reshape(-1, 2)
                 take = pa.array(a + row)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(lo - texts.offsets[row]), pa.array(values[anchor].view(np.int64)), pa.array(content, pa.binary())],
-                    ["k", "t", "start", "hash", "content"],
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(lo - texts.offsets[row]), pa.array(values[anchor].view(np.int64)), *(pa.array(digest[:, i]) for i in (0, 1)), pa.array(content, pa.binary())],
+                    ["k", "t", "start", "hash", "r1", "r2", "content"],
                 )
 
-    return marked.select("k", "t", "text", "places").mapInArrow(run, "k long, t long, start long, hash long, content binary")
+    return marked.select("k", "t", "text", "places").mapInArrow(run, "k long, t long, start long, hash long, r1 long, r2 long, content binary")
+
+
+class SuffixOrder:
+    """``starts`` in the order of the ``window`` bytes there, ties by place.
+
+    Ranks by the first 8 bytes of all places are joined with those further on; only places that still
+    share their rank are sorted again. ``levels`` holds (length, ranks by so many bytes) of every step.
+    """
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, window: int):
+        if window < 8:
+            raise ValueError("a window has 8 bytes at least")
+        self.window = window
+        n = len(data)
+        padded = np.concatenate([data, np.zeros(window + 8, np.uint8)])
+        words = np.zeros(n, np.uint64)
+        for i in range(8):
+            words = words << np.uint64(8) | padded[i : i + n]
+        self.words = words
+        order = np.argsort(words)
+        words = words[order]
+        fresh = np.concatenate([[True], words[1:] != words[:-1]])
+        rank = np.zeros(n + window, np.int64)
+        rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0)) + 1
+        tied = order[~(fresh & np.append(fresh[1:], True))]
+        done = 8
+        self.levels = [(done, rank.astype(np.int32))]
+        three = n + 1 < 1 << 21  # three ranks fit a key, else two
+        while done < window and len(tied):
+            own, reach = rank[tied], min(done, window - done)
+            next_rank = rank[tied + reach]
+            if three:
+                reach = min(2 * done, window - done)
+                next_rank = next_rank << 21 | rank[tied + reach]
+            by = np.argsort(own << 42 | next_rank if three else own * np.int64(n + 1) + next_rank)
+            tied, own, next_rank = tied[by], own[by], next_rank[by]
+            new_class = np.concatenate([[True], own[1:] != own[:-1]])
+            fresh = new_class | np.concatenate([[True], next_rank[1:] != next_rank[:-1]])
+            place = np.arange(len(tied))
+            rank[tied] = own + np.maximum.accumulate(np.where(fresh, place, 0)) - np.maximum.accumulate(np.where(new_class, place, 0))
+            tied = tied[~(fresh & np.append(fresh[1:], True))]
+            done += reach
+            self.levels.append((done, rank.astype(np.int32)))
+        self.order = starts[np.argsort(rank[starts] * np.int64(n + 1) + starts)]
+        ranked = rank[self.order]
+        self.same = np.concatenate([[False], ranked[1:] == ranked[:-1]]) if len(starts) else np.zeros(0, bool)
+
+    def common(self) -> np.ndarray:
+        """Bytes that each entry of the order shares with the one before, ``window`` at most; 0 for the first."""
+        out = np.where(self.same, self.window, 0)
+        at = np.flatnonzero(~self.same)[1:]
+        one, two = self.order[at - 1], self.order[at]
+        length = np.zeros(len(at), np.int64)
+        for step, rank in reversed(self.levels):
+            live = np.arange(len(at))
+            while len(live):
+                x, y = one[live] + length[live], two[live] + length[live]
+                live = live[(rank[x] == rank[y]) & (length[live] + step <= self.window)]
+                length[live] += step
+        # the first byte that differs within the next eight
+        last = len(self.words) - 1
+        differ = self.words[np.minimum(one + length, last)] ^ self.words[np.minimum(two + length, last)]
+        for i in range(8):
+            length += differ >> np.uint64(56 - 8 * i) == 0
+        out[at] = np.minimum(length, self.window)
+        return out
 
 
 def suffix_order(data: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """``starts`` in the order of the ``window`` bytes there, ties by place, and whether each shares them with the one before.
+    """``starts`` in order, and whether each shares its ``window`` bytes with the one before."""
+    found = SuffixOrder(data, starts, window)
+    return found.order, found.same
+
+
+def _smaller(place: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """What each entry shares with the nearest one before it that has a smaller place (0 if none has).
 
-    Ranks by the first 8 bytes of all places are joined with those further on; only places that still share their rank are sorted again.
+    ``common`` is what each shares with the one before. Entries point at the one before them and follow
+    its pointer while that has a larger place; the least on the way goes along.
     """
-    n = len(data)
-    padded = np.concatenate([data, np.zeros(window + 8, np.uint8)])
-    words = np.zeros(n, np.uint64)
-    for i in range(8):
-        words = words << np.uint64(8) | padded[i : i + n]
-    order = np.argsort(words)
-    words = words[order]
-    fresh = np.concatenate([[True], words[1:] != words[:-1]])
-    rank = np.zeros(n + window, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0)) + 1
-    tied = order[~(fresh & np.append(fresh[1:], True))]
-    done = min(8, window)
-    three = n + 1 < 1 << 21  # three ranks fit a key, else two
-    while done < window and len(tied):
-        own, reach = rank[tied], min(done, window - done)
-        next_rank = rank[tied + reach]
-        if three:
-            reach = min(2 * done, window - done)
-            next_rank = next_rank << 21 | rank[tied + reach]
-        by = np.argsort(own << 42 | next_rank if three else own * np.int64(n + 1) + next_rank)
-        tied, own, next_rank = tied[by], own[by], next_rank[by]
-        new_class = np.concatenate([[True], own[1:] != own[:-1]])
-        fresh = new_class | np.concatenate([[True], next_rank[1:] != next_rank[:-1]])
-        place = np.arange(len(tied))
-        rank[tied] = own + np.maximum.accumulate(np.where(fresh, place, 0)) - np.maximum.accumulate(np.where(new_class, place, 0))
-        tied = tied[~(fresh & np.append(fresh[1:], True))]
-        done += reach
-    order = starts[np.argsort(rank[starts] * np.int64(n + 1) + starts)]
-    ranked = rank[order]
-    return order, np.concatenate([[False], ranked[1:] == ranked[:-1]]) if len(order) else np.zeros(0, bool)
+    to, shared = np.arange(len(place)) - 1, common.copy()
+    live = np.flatnonzero((to >= 0) & (place[to] > place))
+    while len(live):
+        via = to[live]
+        shared[live] = np.minimum(shared[live], shared[via])
+        to[live] = to[via]
+        live = live[(to[live] >= 0) & (place[to[live]] > place[live])]
+    return np.where(to >= 0, shared, 0)
 
 
 def previous_factors(data: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each of the ascending ``starts``: is its longest previous factor, or its longest later one, at least ``window``."""
-    order, same = suffix_order(data, starts, window)
-    at = np.searchsorted(starts, order)
-    earlier, later = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
-    earlier[at] = same
-    later[at] = np.append(same[1:], False) if len(same) else same
-    return earlier, later
+    """For each of the ascending ``starts``: the length of its longest previous factor, ``window`` at most, and whether an equal window follows."""
+    found = SuffixOrder(data, starts, window)
+    common = found.common()
+    before = _smaller(found.order, common)
+    after = _smaller(found.order[::-1], np.append(common[1:], 0)[::-1])[::-1]
+    at = np.searchsorted(starts, found.order)
+    factors, later = np.zeros(len(starts), np.int64), np.zeros(len(starts), bool)
+    factors[at] = np.maximum(before, after)
+    later[at] = np.append(found.same[1:], False) if len(starts) else found.same
+    return factors, later
 
 
 _MATCHED = "hash long, r1 long, r2 long, runs array<long>"
@@ -158,7 +216,8 @@ def _sharded(regions: DataFrame, window: int, keep: str) -> DataFrame:
         count = size - window + 1
         first = np.cumsum(count) - count
         starts = np.repeat(edge - first, count) + np.arange(int(count.sum()))
-        earlier, later = previous_factors(np.frombuffer(b"".join(content), np.uint8), starts, window)
+        factors, later = previous_factors(np.frombuffer(b"".join(content), np.uint8), starts, window)
+        earlier = factors >= window
         runs, sizes = runs_of(earlier if keep == "first" else earlier | later, first)
         ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(runs))
@@ -167,26 +226,40 @@ def _sharded(regions: DataFrame, window: int, keep: str) -> DataFrame:
     return regions.groupBy("shard").applyInArrow(run, _MATCHED)
 
 
-def _hashed(regions: DataFrame, window: int, keep: str) -> DataFrame:
-    """The same for regions of hot anchors, a row for each window."""
+_PLACED = "hash long, r1 long, r2 long, fk long, ft long, fs long, at int"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _grouped(scratch: Scratch, regions: DataFrame, window: int, keep: str) -> DataFrame:
+    """The same for regions of hot anchors: windows grouped by their bytes, if their hash occurs twice."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, c in enumerate(batch.column(6).to_pylist()):
-                data = np.frombuffer(c, np.uint8)
-                one, two = byte_windows(data, window), byte_windows(data, window, _SECOND)
-                take = pa.array(np.full(len(one), i))
-                cols = [batch.column(j).take(take) for j in range(6)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.arange(len(one), dtype=np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], [*batch.schema.names[:6], "at", "one", "two"])
+                one = byte_windows(np.frombuffer(c, np.uint8), window)
+                cols = [batch.column(j).take(pa.array(np.full(len(one), i))) for j in range(6)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.arange(len(one), dtype=np.int32)), pa.array(one.view(np.int64))], [*batch.schema.names[:6], "at", "one"])
 
-    rows = regions.select("hash", "r1", "r2", "fk", "ft", "fs", "content").mapInArrow(run, "hash long, r1 long, r2 long, fk long, ft long, fs long, at int, one long, two long")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = spans(batch.column(7))
+            for i, c in enumerate(batch.column(6).to_pylist()):
+                at = np.asarray(places[i])
+                cols = [batch.column(j).take(pa.array(np.full(len(at), i))) for j in range(6)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(at.astype(np.int32)), pa.array([c[x : x + window] for x in at.tolist()], pa.binary())], [*batch.schema.names[:6], "at", "bytes"])
+
+    region = ["hash", "r1", "r2"]
+    rows = scratch.keep(regions.select(*region, "fk", "ft", "fs", "content").mapInArrow(hashed, f"{_PLACED}, one long"), "windows")
+    twice = scratch.keep(rows.groupBy("one").agg(F.count("*").alias("n")).where("n > 1").select("one"), "twice")
+    places = rows.join(twice, "one").groupBy(*region).agg(F.collect_list("at").alias("places"))
+    rows = regions.join(places, region).select(*region, "fk", "ft", "fs", "content", "places").mapInArrow(cut, f"{_PLACED}, bytes binary")
+    rows = scratch.keep(rows, "bytes")
     place = F.struct("fk", "ft", (F.col("fs") + F.col("at")).alias("p"))
-    classes = rows.groupBy("one", "two").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
-    hits = rows.join(classes, ["one", "two"])
+    classes = rows.groupBy("bytes").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
+    hits = rows.join(scratch.keep(classes.select("bytes", "first"), "classes"), "bytes")
     if keep == "first":
         hits = hits.where(place != F.col("first"))
     run = F.array(F.col("at").cast("long"), F.col("at").cast("long") + 1)
-    return hits.groupBy("hash", "r1", "r2").agg(F.flatten(F.collect_list(run)).alias("runs"))
+    return hits.groupBy(*region).agg(F.flatten(F.collect_list(run)).alias("runs"))
 
 
 def _left(column: pa.Array, starts: pa.Array, window: int) -> Iterator[tuple[int, int, int, bytes]]:
@@ -205,16 +278,17 @@ def _left(column: pa.Array, starts: pa.Array, window: int) -> Iterator[tuple[int
 
 
 def _found(scratch: Scratch, docs: DataFrame, window: int, gram: int, keep: str, hot: int) -> DataFrame:
-    """Runs of starts of the windows to remove (begin and end by turns), for each key of ``_keyed``."""
+    """Runs of starts of the windows to remove (begin and end by turns), for each key of ``keyed``."""
     if keep not in ("first", "none"):
         raise ValueError("keep is 'first' or 'none'")
-    keyed = _keyed(docs)
-    anchors = scratch.keep(_anchors(keyed, window, gram), "anchors")
-    shared = anchors.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    rows = keyed(docs)
+    anchors = scratch.keep(_anchors(rows, window, gram), "anchors")
+    # a table of its own, so that the join may split a hash with very many places
+    shared = scratch.keep(anchors.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "shared")
     places = anchors.join(shared, "hash").groupBy("k", "t").agg(F.collect_set("place").alias("places"))
-    spots = _regions(keyed.join(places, ["k", "t"]), window, gram)
-    spots = scratch.keep(spots.select("*", F.xxhash64("content").alias("r1"), F.xxhash64(F.lit(1), "content").alias("r2")), "spots")
-    scratch.drop("anchors")
+    spots = _regions(rows.join(places, ["k", "t"]), window, gram)
+    spots = scratch.keep(spots, "spots")
+    scratch.drop("anchors", "shared")
     region = ["hash", "r1", "r2"]
     regions = spots.groupBy(*region).agg(F.count("*").alias("n"), F.min(F.struct("k", "t", "start")).alias("first"), F.first("content").alias("content"))
     regions = regions.select(*region, "n", F.col("first.k").alias("fk"), F.col("first.t").alias("ft"), F.col("first.start").alias("fs"), "content")
@@ -226,8 +300,11 @@ def _found(scratch: Scratch, docs: DataFrame, window: int, gram: int, keep: str,
     total = regions.agg(F.coalesce(F.sum(F.length("content")), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_BYTES))
     usual = regions.join(sizes, "hash", "left_anti").withColumn("shard", F.pmod(F.xxhash64("hash"), F.lit(shards)))
-    matched = _sharded(usual, window, keep).unionByName(_hashed(regions.join(sizes, "hash", "left_semi"), window, keep))
-    matched = scratch.keep(matched.where("size(runs) > 0"), "matched")
+    matched = scratch.keep(_sharded(usual, window, keep).where("size(runs) > 0"), "matched")
+    if not sizes.isEmpty():
+        hot_ones = scratch.keep(_grouped(scratch, regions.join(sizes, "hash", "left_semi"), window, keep), "matched-hot")
+        matched = matched.unionByName(hot_ones)
+        scratch.drop("windows", "twice", "bytes", "classes")
     where = where.join(regions.select(*region, "n", "fk", "ft", "fs"), region).join(matched, region, "left")
     is_first = (F.col("k") == F.col("fk")) & (F.col("t") == F.col("ft")) & (F.col("start") == F.col("fs"))
     every = F.col("n") > 1 if keep == "none" else ~is_first
@@ -236,8 +313,7 @@ def _found(scratch: Scratch, docs: DataFrame, window: int, gram: int, keep: str,
     starts = where.select("k", "t", own.alias("own")).where("own is not null")
     starts = starts.groupBy("k", "t").agg(F.flatten(F.collect_list("own")).alias("starts"))
     starts = scratch.keep(starts, "starts")
-    for name in ("regions", "hot", "where", "matched"):
-        scratch.drop(name)
+    scratch.drop("regions", "hot", "where", "matched", "matched-hot")
     return starts
 
 
@@ -257,7 +333,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, g
             kinds = [pa.int64()] * 3 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(cols, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    marked = _keyed(docs).join(starts, ["k", "t"], "left").select("doc_id", "text", "starts")
+    marked = keyed(docs).join(starts, ["k", "t"], "left").select("doc_id", "text", "starts")
     return marked.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
@@ -288,6 +364,7 @@ def trimmed(spark: SparkSession, docs: DataFrame, window: int = WINDOW, gram: in
     return rows.join(starts, ["k", "t"], "left").select("row", "starts").mapInArrow(run, schema)
 
 
-def digest_rows(cut: DataFrame) -> DataFrame:
-    """The kept bytes as a digest."""
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+def digest_rows(cut: DataFrame, text: bool = False) -> DataFrame:
+    """The kept bytes as a digest, and with ``text`` as text too; a character that a cut splits is U+FFFD there."""
+    out = cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
+    return out if text else out.drop("text")
