@@ -79,13 +79,20 @@ def _regions(marked: DataFrame, window: int, gram: int) -> DataFrame:
                 row = np.searchsorted(texts.offsets, lo, "right") - 1
                 content = [texts.data[x:y].tobytes() for x, y in zip(lo.tolist(), (hi + window).tolist())]
                 digest = np.frombuffer(b"".join([hashlib.blake2b(c, digest_size=16).digest() for c in content]), np.int64).reshape(-1, 2)
-                take = pa.array(a + row)
+                # equal regions of a text are one row, so that a text of one repeated word is no hot key
+                order = np.lexsort((lo, digest[:, 1], digest[:, 0], row))
+                new = np.ones(len(order), bool)
+                new[1:] = (row[order][1:] != row[order][:-1]) | (digest[order][1:] != digest[order][:-1]).any(1)
+                first = np.flatnonzero(new)
+                some = order[first]
+                found = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array((lo - texts.offsets[row])[order]))
+                take = pa.array(a + row[some])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(lo - texts.offsets[row]), pa.array(values[anchor].view(np.int64)), *(pa.array(digest[:, i]) for i in (0, 1)), pa.array(content, pa.binary())],
-                    ["k", "t", "start", "hash", "r1", "r2", "content"],
+                    [batch.column(0).take(take), batch.column(1).take(take), found, pa.array(values[anchor[some]].view(np.int64)), *(pa.array(digest[some, i]) for i in (0, 1)), pa.array([content[i] for i in some.tolist()], pa.binary())],
+                    ["k", "t", "places", "hash", "r1", "r2", "content"],
                 )
 
-    return marked.select("k", "t", "text", "places").mapInArrow(run, "k long, t long, start long, hash long, r1 long, r2 long, content binary")
+    return marked.select("k", "t", "text", "places").mapInArrow(run, "k long, t long, places array<long>, hash long, r1 long, r2 long, content binary")
 
 
 class SuffixOrder:
@@ -290,10 +297,10 @@ def _found(scratch: Scratch, docs: DataFrame, window: int, gram: int, keep: str,
     spots = scratch.keep(spots, "spots")
     scratch.drop("anchors", "shared")
     region = ["hash", "r1", "r2"]
-    regions = spots.groupBy(*region).agg(F.count("*").alias("n"), F.min(F.struct("k", "t", "start")).alias("first"), F.first("content").alias("content"))
+    regions = spots.groupBy(*region).agg(F.sum(F.size("places")).alias("n"), F.min(F.struct("k", "t", F.col("places")[0].alias("start"))).alias("first"), F.first("content").alias("content"))
     regions = regions.select(*region, "n", F.col("first.k").alias("fk"), F.col("first.t").alias("ft"), F.col("first.start").alias("fs"), "content")
     regions = scratch.keep(regions, "regions")
-    where = scratch.keep(spots.select("k", "t", "start", *region, (F.length("content") - window + 1).cast("long").alias("windows")), "where")
+    where = scratch.keep(spots.select("k", "t", "places", *region, (F.length("content") - window + 1).cast("long").alias("windows")), "where")
     scratch.drop("spots")
     sizes = regions.groupBy("hash").agg(F.count("*").alias("different"))
     sizes = scratch.keep(sizes.where(f"different > {hot}").select("hash"), "hot")
@@ -306,11 +313,11 @@ def _found(scratch: Scratch, docs: DataFrame, window: int, gram: int, keep: str,
         matched = matched.unionByName(hot_ones)
         scratch.drop("windows", "twice", "bytes", "classes")
     where = where.join(regions.select(*region, "n", "fk", "ft", "fs"), region).join(matched, region, "left")
-    is_first = (F.col("k") == F.col("fk")) & (F.col("t") == F.col("ft")) & (F.col("start") == F.col("fs"))
-    every = F.col("n") > 1 if keep == "none" else ~is_first
-    own = F.when(every, F.array(F.lit(0).cast("long"), F.col("windows"))).otherwise(F.col("runs"))
-    own = F.transform(own, lambda x: x + F.col("start"))
-    starts = where.select("k", "t", own.alias("own")).where("own is not null")
+    is_first = lambda p: (F.col("k") == F.col("fk")) & (F.col("t") == F.col("ft")) & (p == F.col("fs"))
+    every = (lambda p: F.col("n") > 1) if keep == "none" else (lambda p: ~is_first(p))
+    runs = F.coalesce("runs", F.array().cast("array<long>"))
+    own = F.flatten(F.transform("places", lambda p: F.when(every(p), F.array(p, p + F.col("windows"))).otherwise(F.transform(runs, lambda x: x + p))))
+    starts = where.select("k", "t", own.alias("own")).where("size(own) > 0")
     starts = starts.groupBy("k", "t").agg(F.flatten(F.collect_list("own")).alias("starts"))
     starts = scratch.keep(starts, "starts")
     scratch.drop("regions", "hot", "where", "matched", "matched-hot")
