@@ -1,9 +1,10 @@
 """WARC archives: writing from a page table, and reading by boundary-chain verification (operator 9).
 
 Reading splits files at every magic ``WARC/1.0``, also at those inside payloads. Each task emits, for
-every candidate record, its offset and the offset where its successor must begin. Pointer jumping from
-the start of each file then keeps just the candidates that the chain of boundaries reaches, so a magic
-inside a payload is no record. Offsets need no scan of their own: a task knows the bytes its split
+every candidate record, its offset and the offset where its successor must begin. Inside a split, chains
+are followed to where they leave it; pointer jumping from the start of each file over these few ways
+out finds where the chain enters each split, and from there it keeps just the candidates that it
+reaches, so a magic inside a payload is no record. Offsets need no scan of their own: a task knows the bytes its split
 held, and sums over the splits of a file place them.
 """
 
@@ -12,11 +13,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, cleaned
 
 # The format.
 MAGIC = "WARC/1.0\r\n"
@@ -41,8 +43,12 @@ def write(pages: DataFrame, path: str, least: int = LEAST_REVISIT, date: str = D
     url = F.regexp_replace(F.col("url"), "[\r\n]+", "") if "url" in pages.columns else F.lit(None).cast("string")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
     rows = rows.withColumns({"n": F.octet_length("html"), "digest": F.sha1(F.col("html").cast("binary"))})
-    keepers = rows.where(f"n >= {least}").groupBy("digest", "n").agg(F.max("page_id").alias("keeper"))
+    keepers = rows.where(f"n >= {least}").groupBy("digest", "n").agg(F.max("page_id").alias("keeper"), F.count("*").alias("met")).where("met > 1").drop("met")
+    scratch = Scratch(pages.sparkSession, "warc-write")
+    # as tables of their own, so that the joins may split a payload with very many copies
+    keepers = scratch.keep(keepers, "keepers")
     revisits = rows.select("page_id", "digest", "n").join(keepers, ["digest", "n"]).where("page_id < keeper").select("page_id", "digest", "keeper").distinct()
+    revisits = scratch.keep(revisits, "revisits")
     rows = rows.join(revisits, ["page_id", "digest"], "left")
     again = F.col("keeper").isNotNull()
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -62,8 +68,9 @@ def write(pages: DataFrame, path: str, least: int = LEAST_REVISIT, date: str = D
         F.when(again, "").otherwise(F.col("html")),
         F.lit("\r\n\r"),  # the text writer ends each row with the line feed that is still missing
     )
-    record_rows = rows.select(record.alias("value"))
-    record_rows.write.option("lineSep", "\n").option("compression", "none").text(path)
+    with cleaned(pages.sparkSession):
+        rows.select(record.alias("value")).write.option("lineSep", "\n").option("compression", "none").text(path)
+    scratch.drop("keepers", "revisits")
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -144,22 +151,67 @@ def _candidates(lines: DataFrame) -> DataFrame:
     return lines.mapInArrow(run, _CANDIDATE)
 
 
+def _ways_out(chain: DataFrame) -> DataFrame:
+    """Of every candidate, the offset where the chain from it leaves its split: file, offset, out."""
+
+    def run(split: pa.Table) -> pa.Table:
+        split = split.sort_by("offset")
+        offset = split["offset"].to_numpy()
+        out = offset + split["total"].to_numpy()
+        at = np.minimum(np.searchsorted(offset, out), len(offset) - 1)
+        to = np.where(offset[at] == out, at, -1)
+        while (to >= 0).any():
+            inside = to >= 0
+            out, to = np.where(inside, out[to], out), np.where(inside, to[to], -1)
+        return pa.table({"file": split["file"], "offset": offset, "out": out})
+
+    return chain.groupBy("file", "block").applyInArrow(run, "file string, offset long, out long")
+
+
+def _followed(chain: DataFrame) -> DataFrame:
+    """Candidates on the chain from the first ``entered`` one of each split: file, offset."""
+
+    def run(split: pa.Table) -> pa.Table:
+        split = split.sort_by("offset")
+        offset = split["offset"].to_numpy()
+        after = offset + split["total"].to_numpy()
+        at = np.minimum(np.searchsorted(offset, after), len(offset) - 1)
+        to = np.where(offset[at] == after, at, -1).tolist()
+        i, reached = split["entered"].to_pylist().index(True), []
+        while i >= 0:
+            reached.append(i)
+            i = to[i]
+        return split.select(["file", "offset"]).take(pa.array(reached))
+
+    some = chain.where("entered").select("file", "block").distinct()
+    return chain.join(some, ["file", "block"], "left_semi").groupBy("file", "block").applyInArrow(run, "file string, offset long")
+
+
 def _reached(scratch: Scratch, candidates: DataFrame) -> DataFrame:
-    """(file, offset) of the candidates on the chain from each file's start."""
-    jumps = scratch.keep(candidates.where("total is not null").select("file", "offset", (F.col("offset") + F.col("total")).alias("next")), "jump-0")
-    reached = scratch.keep(candidates.where("offset = 0").select("file", "offset"), "reach-0")
+    """(file, offset) of the candidates (file, block, offset, total) on the chain from each file's start."""
+    chain = candidates.where("total is not null")
+    ways = scratch.keep(_ways_out(chain), "ways")
+    # only a file's start and where ways lead to can be entered: a few places of each split
+    doors = ways.select("file", F.col("out").alias("offset")).unionByName(ways.select("file", F.lit(0).cast("long").alias("offset"))).distinct()
+    jumps = scratch.keep(ways.join(doors, ["file", "offset"]).select("file", "offset", F.col("out").alias("next")), "jump-0")
+    scratch.drop("ways")
+    reached = scratch.keep(jumps.where("offset = 0").select("file", "offset"), "reach-0")
     n = reached.count()
-    for i in range(1, MAX_ROUNDS):
+    for i in range(1, MAX_ROUNDS + 1):
         ahead = reached.join(jumps, ["file", "offset"]).select("file", F.col("next").alias("offset"))
-        reached = scratch.keep(reached.unionByName(ahead.join(candidates.select("file", "offset"), ["file", "offset"], "left_semi")).distinct(), f"reach-{i}")
-        if (now := reached.count()) == n:
+        reached = scratch.keep(reached.unionByName(ahead).distinct(), f"reach-{i}")
+        now = reached.count()
+        scratch.drop(f"reach-{i - 1}")
+        if now == n:
             break
         n = now
         second = jumps.select("file", F.col("offset").alias("next"), F.col("next").alias("after"))
         jumps = scratch.keep(jumps.join(second, ["file", "next"]).select("file", "offset", F.col("after").alias("next")), f"jump-{i}")
-        scratch.drop(f"reach-{i - 1}")
         scratch.drop(f"jump-{i - 1}")
-    return reached
+    else:
+        raise RuntimeError(f"chains are not followed to their ends after {MAX_ROUNDS} rounds")
+    entered = chain.join(reached.withColumn("entered", F.lit(True)), ["file", "offset"], "left").withColumn("entered", F.coalesce("entered", F.lit(False)))
+    return scratch.keep(_followed(entered), "reached")
 
 
 def _assembled(lines: DataFrame, places: DataFrame) -> DataFrame:
@@ -194,7 +246,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     sizes = sizes.select("file", "block", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))
     placed = found.join(sizes, ["file", "block"]).withColumn("offset", F.col("base") + F.col("at") - len(MAGIC)).where("offset >= 0")
     placed = scratch.keep(placed, "placed")
-    reached = _reached(scratch, placed.select("file", "offset", "total"))
+    scratch.drop("candidates")
+    reached = _reached(scratch, placed.select("file", "block", "offset", "total"))
     records = placed.join(reached, ["file", "offset"]).where("total is not null")
     out = records.where("whole").select("page_id", "type", "refers", "bytes", "digest")
     broken = records.where("not whole").select("file", F.col("offset").alias("record"))
