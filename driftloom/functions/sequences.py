@@ -59,3 +59,14 @@ def is_protein(sequence: Column) -> Column:
 def fixed_slice(sequence: Column, start: int = 17, length: int = 327) -> Column:
     """The stretch from ``start`` (from 0)."""
     return F.substring(sequence, start + 1, length)
+
+
+def frame_candidates(sequence: Column, least: int = 1) -> Column:
+    """Different proteins of the three frames, without those shorter than ``least`` or with an inner stop, in order."""
+    proteins = F.array(*[translate(sequence, f) for f in range(3)])
+    return F.array_sort(F.array_distinct(F.filter(proteins, lambda p: (F.length(p) >= least) & ~p.contains("*"))))
+
+
+def ambiguous_letters(sequence: Column) -> Column:
+    """Letters that are no residue of the plain alphabet."""
+    return F.filter(F.split(upper(sequence), ""), lambda x: ~x.rlike(f"^[{RESIDUES}]?$"))

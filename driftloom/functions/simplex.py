@@ -24,11 +24,6 @@ def normalised(value: Column, fallback: Column, part: WindowSpec) -> Column:
     return F.when(total > 0, clipped / F.when(total > 0, total)).otherwise(fallback)
 
 
-def safe_normalised(value: Column, part: WindowSpec) -> Column:
-    """Shares, all equal where the total is 0."""
-    return normalised(value, 1.0 / F.count(F.lit(1)).over(part), part)
-
-
 def centred(value: Column, part: WindowSpec) -> Column:
     return value - F.avg(value).over(part)
 
@@ -47,3 +42,13 @@ def divergence_term(observed: Column, predicted: Column) -> Column:
 def spaced(first: float, last: float, index: Column, count: Column) -> Column:
     """Equally spaced values; the first if there is just one."""
     return F.when(count > 1, first + (last - first) * index / F.when(count > 1, count - 1)).otherwise(F.lit(first))
+
+
+def log_factorial(y: Column) -> Column:
+    """ln y! of a number from 0, by Stirling's series above y + 9."""
+    z = y + 9.0
+    series = (z - 0.5) * F.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * F.pow(z, F.lit(3.0))) + 1 / (1260 * F.pow(z, F.lit(5.0)))
+    product = F.lit(1.0)
+    for i in range(1, 9):
+        product = product * (y + i)
+    return series - F.log(product)

@@ -48,7 +48,9 @@ def lineages(rows: DataFrame, value: str, field: str, k: int = 20) -> DataFrame:
 
 
 def error_counts(rows: DataFrame, message: str) -> DataFrame:
-    return rows.groupBy(error_class(F.col(message)).alias("category")).agg(F.count("*").alias("n"))
+    """Messages that aren't blank by class."""
+    some = rows.where(F.trim(F.coalesce(F.col(message), F.lit(""))) != "")
+    return some.groupBy(error_class(F.col(message)).alias("category")).agg(F.count("*").alias("n"))
 
 
 def run_changes(runs: DataFrame) -> DataFrame:

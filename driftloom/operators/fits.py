@@ -10,9 +10,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scores import correlations
+
 FEATURES = ("current_share", "escape_excess", "fitness_excess")
 LEAST_TRAINED = 3
 
@@ -128,17 +130,20 @@ def log_linear(groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]], l2: floa
     return newton(value, slope, size)
 
 
-def corrected(steps: DataFrame, features: DataFrame, columns: tuple[str, ...], objective: str = "distribution", mode: str = "relative_fitness", l2: float = 1.0, least: int = LEAST_TRAINED) -> DataFrame:
+def corrected(steps: DataFrame, features: DataFrame, columns: tuple[str, ...], objective: str = "distribution", mode: str = "relative_fitness", l2: float = 1.0, least: int = LEAST_TRAINED, weights: bool = False) -> DataFrame:
     """A base forecast bent by branch features, fitted on the windows before.
 
     ``steps`` has window_id, h, branch, base (share, or count for ``poisson``) and observed; ``features``
     has window_id, branch and ``columns`` (missing ones count as 0). In ``relative_fitness`` mode features are
     centred by the base composition of the first step and their effect grows with h; in ``static`` it does not.
+    With ``weights``, the coefficients by window and feature are returned instead, with each feature's mean and spread.
     """
     if objective not in ("top1", "distribution", "poisson") or mode not in ("relative_fitness", "static"):
         raise ValueError("unknown objective or mode")
     rows = steps.join(features.select("window_id", "branch", *columns), ["window_id", "branch"], "left").na.fill(0.0, list(columns))
     schema = "window_id int, h int, branch string, observed double, base double, value double, status string"
+    if weights:
+        schema = "window_id int, feature string, coefficient double, mean double, spread double"
 
     def design(frame: pd.DataFrame) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[pd.DataFrame]]:
         raw, parts = [], []
@@ -155,7 +160,7 @@ def corrected(steps: DataFrame, features: DataFrame, columns: tuple[str, ...], o
         test, train = group[~group["train"]], group[group["train"]]
         names = ["window_id", "h", "branch", "observed", "base"]
         if train["window_id"].nunique() < least:
-            return test[names].assign(value=test["base"], status="too few earlier windows")
+            return pd.DataFrame(columns=["window_id", "feature", "coefficient", "mean", "spread"]) if weights else test[names].assign(value=test["base"], status="too few earlier windows")
         raw, parts = design(train)
         every = np.concatenate([x for x, _ in raw])
         groups = []
@@ -165,6 +170,8 @@ def corrected(steps: DataFrame, features: DataFrame, columns: tuple[str, ...], o
                 o = (np.arange(len(o)) == o.argmax()).astype(float)
             groups.append((base if objective == "poisson" else np.log(np.maximum(base, 1e-12)), own, o))
         b = log_linear(groups, l2) if objective == "poisson" else offset_multinomial(groups, l2)
+        if weights:
+            return pd.DataFrame({"window_id": int(test["window_id"].iloc[0]), "feature": columns, "coefficient": b, "mean": every.mean(0), "spread": every.std(0)})
         out = []
         for (x, h), step in zip(*design(test)):
             bent = (standardised(x, every) * h[:, None]) @ b
@@ -176,6 +183,64 @@ def corrected(steps: DataFrame, features: DataFrame, columns: tuple[str, ...], o
     return rolling(rows).groupBy("test_id").applyInPandas(run, schema)
 
 
+def corrected_sets(steps: DataFrame, features: DataFrame, sets: dict[str, tuple[str, ...]], objective: str = "distribution", mode: str = "relative_fitness", l2: float = 1.0, least: int = LEAST_TRAINED) -> DataFrame:
+    """Corrections with several sets of features, one below the other by ``model``; an empty set leaves the base as it is.
+
+    Windows with too few earlier ones are left out, so that all models are judged on the same ones.
+    """
+    before = steps.select("window_id").distinct().withColumn("earlier", F.dense_rank().over(Window.orderBy("window_id")) - 1)  # a row for each window
+    tests = before.where(F.col("earlier") >= least).select("window_id")
+    out = None
+    for model, columns in sets.items():
+        if columns:
+            own = corrected(steps, features, columns, objective, mode, l2, least).select("window_id", "h", "branch", "observed", "value")
+        else:
+            own = steps.select("window_id", "h", "branch", "observed", F.col("base").alias("value"))
+        own = own.withColumn("model", F.lit(model))
+        out = own if out is None else out.unionByName(own)
+    return out.join(F.broadcast(tests), "window_id", "left_semi")
+
+
+def rolling_sets(rows: DataFrame, sets: dict[str, tuple[str, ...]], l2: float = 1.0, least: int = LEAST_TRAINED, floors: dict[str, float] | None = None) -> DataFrame:
+    """Shares of the horizon predicted from a log-share offset and sets of features, fitted on the windows before.
+
+    ``rows`` has window_id, branch, offset, observed (share) and the features; ``floors`` are the least
+    coefficients of some. Returns model, window_id, branch, observed and value.
+    """
+    columns = sorted({c for own in sets.values() for c in own})
+    schema = "model string, window_id int, branch string, observed double, value double"
+
+    def groups(frame: pd.DataFrame, own: tuple[str, ...], by: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        return [(w["offset"].to_numpy(float), standardised(w[list(own)].to_numpy(float), by), w["observed"].to_numpy(float)) for _, w in frame.groupby("window_id")]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["window_id", "branch"])
+        test, train = group[~group["train"]], group[group["train"]]
+        if train["window_id"].nunique() < least:
+            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+        out = []
+        for model, own in sets.items():
+            by = train[list(own)].to_numpy(float)
+            floor = np.array([(floors or {}).get(c, -np.inf) for c in own])
+            b = offset_multinomial(groups(train, own, by), l2, floor) if own else np.zeros(0)
+            offset, x, _ = groups(test, own, by)[0]
+            out.append(test[["window_id", "branch", "observed"]].assign(model=model, value=_softmax(offset + x @ b)))
+        return pd.concat(out)[[c.split()[0] for c in schema.split(", ")]]
+
+    return rolling(rows.select("window_id", "branch", "offset", "observed", *columns)).groupBy("test_id").applyInPandas(run, schema)
+
+
+def change_metrics(predictions: DataFrame, column: str = "predicted") -> DataFrame:
+    """One row: rows, cutoffs, mean absolute error and rank correlation of predicted share changes, and how often the leader is met."""
+    rows = predictions.where(F.col(column).isNotNull()).select("window_id", "branch", "current_share", "next_share", "share_change", F.col(column).alias("p"))
+    leader = lambda c: F.min_by("branch", F.struct(-F.round(c, 9), "branch"))
+    hits = rows.groupBy("window_id").agg((leader(F.col("current_share") + F.col("p")) == leader(F.col("next_share"))).alias("hit"))
+    key = rows.withColumns({"k": F.lit(1), "p9": F.round("p", 9), "c9": F.round("share_change", 9)})
+    related = correlations(key, ["k"], "p9", "c9").select("spearman")
+    sums = rows.agg(F.count("*").alias("n_rows"), F.countDistinct("window_id").alias("cutoffs"), F.avg(F.abs(F.col("p") - F.col("share_change"))).alias("share_change_mae"))
+    return sums.crossJoin(related).crossJoin(hits.agg(F.count_if("hit").alias("top1_hits")))  # one row each
+
+
 def logistic_trend(counts: DataFrame, horizon: int, lookback: int = 26, l2: float = 1e-2, tau: float = 2.7 / 14) -> DataFrame:
     """Multinomial logistic trends of branches over bins: shares with 95 % bands, and growth advantages.
 

@@ -72,3 +72,33 @@ def resolve_unique(records: DataFrame, lookups: list[tuple[str, DataFrame, str]]
     out = records.select("record_id").join(sums, "record_id", "left")
     status = F.when(F.col("hits") == 1, "unique").when(F.col("hits") > 1, "ambiguous").when(F.col("hits") == 0, "unscored").otherwise("missing")
     return out.select("record_id", status.alias("status"), F.when(F.col("hits") == 1, F.col("sequence")).alias("sequence"))
+
+
+def complete_join(left: DataFrame, right: DataFrame, keys: list[str], value: str, validate: str = "many_to_one") -> DataFrame:
+    """A left join that fails when a row has no partner; ``value`` is a column of the right side that is never null."""
+    require_columns(right, *keys, value)
+    rows = checked_join(left, right, keys, "left", validate)
+    return rows.withColumn(value, F.when(F.col(value).isNull(), F.raise_error("a row has no partner").cast(dict(rows.dtypes)[value])).otherwise(F.col(value)))
+
+
+def agreeing_join(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Partners by ``keys`` whose ``columns`` must be equal on both sides, else an error; rows without a partner are an error too."""
+    marked = right.select(*keys, *[F.col(c).alias(f"right_{c}") for c in columns], *[c for c in right.columns if c not in {*keys, *columns}], F.lit(True).alias("met"))
+    rows = checked_join(left, marked, keys, "left", "one_to_one")
+    same = F.col("met").isNotNull()
+    for c in columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"right_{c}"))
+    first = columns[0]
+    checked = F.when(same, F.col(first)).otherwise(F.raise_error("two tables disagree about a row").cast(dict(rows.dtypes)[first]))
+    return rows.withColumn(first, checked).drop("met", *[f"right_{c}" for c in columns])
+
+
+def occurrences(rows: DataFrame, key: str) -> DataFrame:
+    """Every key once with how often it occurs."""
+    return rows.groupBy(key).agg(F.count("*").alias("source_weight"))
+
+
+def value_sets(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """Of each key, how many different values it has, and the value if there is just one."""
+    sets = rows.where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key).agg(F.count_distinct(value).alias("values"), F.min(value).alias("least"))
+    return sets.select(key, "values", F.when(F.col("values") == 1, F.col("least")).alias("only"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,45 +16,42 @@ from ..functions.simplex import over
 
 
 def seats(sizes: dict[int, int], panel: int, strata: int) -> dict[int, int]:
-    """Seats of each stratum: equal parts, the remainder to the first ones, spare seats to the largest rest."""
-    base, extra = divmod(panel, strata)
-    out = {s: min(n, base + (s < extra)) for s, n in sizes.items()}
-    spare = min(panel, sum(sizes.values())) - sum(out.values())
-    while spare > 0:
-        open_ = [s for s in sizes if out[s] < sizes[s]]
-        best = max(open_, key=lambda s: (sizes[s] - out[s], -s))
-        out[best] += 1
-        spare -= 1
-    return out
+    """Seats of each stratum: dealt round by round, and those that small strata can't take to the largest rests.
+
+    A stratum with a rest of r asks for a further seat r times, with r, r - 1, … for its urgency; the
+    most urgent askings are met, the earlier stratum first among equals.
+    """
+    dealt = {s: min(n, (panel - s + strata - 1) // strata) for s, n in sizes.items()}
+    spare = min(panel, sum(sizes.values())) - sum(dealt.values())
+    asking = ((sizes[s] - taken - i, -s) for s, taken in dealt.items() for i in range(min(sizes[s] - taken, spare)))
+    met = Counter(-s for _, s in heapq.nlargest(spare, asking))
+    return {s: taken + met[s] for s, taken in dealt.items()}
 
 
 def coreset(strains: pd.DataFrame, size: int, outlying: float = 0.25) -> pd.DataFrame:
     """``size`` of the strains (sequence, weight, date, query_id), each with the weight of those nearest to it.
 
-    The heaviest comes first; most others maximise distance times the root of the weight, the last
-    share ``outlying`` distance alone. Weights add up to 1.
+    A local form of what ``panel`` does in Spark, for one stratum. Every round takes the strain with the
+    most pull: first the weight, then distance times the root of the weight, in the last rounds (a share
+    of ``outlying``) distance alone. A strain belongs to the first taken one nearest to it; weights add up to 1.
     """
-    rows = strains.sort_values(["weight", "date", "query_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-    if size < 1 or rows.empty:
-        return rows.iloc[:0].assign(reference_weight=0.0)
-    if len(rows) <= size:
-        return rows.assign(reference_weight=rows["weight"] / rows["weight"].sum())
-    letters = np.array([list(s.encode()) for s in rows["sequence"]], dtype=np.uint8)
-    weight = rows["weight"].to_numpy(float)
-    apart = lambda i: (letters != letters[i]).sum(1).astype(float)
-    sentinels = min(size - 1, int(round(size * outlying)))
-    chosen = [0]
-    distances = [apart(0)]
-    nearest = distances[0].copy()
-    for i in range(1, size):
-        score = nearest * np.sqrt(weight) if i < size - sentinels else nearest.copy()
-        score[chosen] = -1
-        chosen.append(int(score.argmax()))
-        distances.append(apart(chosen[-1]))
-        nearest = np.minimum(nearest, distances[-1])
-    owner = np.stack(distances, 1).argmin(1)
-    mass = np.bincount(owner, weights=weight, minlength=size)
-    return rows.iloc[chosen].reset_index(drop=True).assign(reference_weight=mass / mass.sum())
+    pool = strains.sort_values(["weight", "date", "query_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+    mass = pool["weight"].to_numpy(float)
+    if len(pool) <= max(size, 0):
+        return pool.assign(reference_weight=mass / mass.sum() if len(pool) else mass)
+    letters = np.frombuffer("".join(pool["sequence"]).encode("ascii"), np.uint8).reshape(len(pool), -1)
+    plain = size - min(size - 1, round(size * outlying)) if size > 0 else 0
+    near, owner, taken = np.full(len(pool), np.inf), np.zeros(len(pool), int), []
+    for place in range(size):
+        pull = mass.copy() if not taken else near * (np.sqrt(mass) if place < plain else 1.0)
+        pull[taken] = -np.inf
+        taken.append(int(pull.argmax()))
+        far = np.count_nonzero(letters != letters[taken[-1]], axis=1)
+        owner[far < near] = place
+        near = np.minimum(near, far)
+    own = np.zeros(max(size, 0))
+    np.add.at(own, owner, mass if taken else 0.0)
+    return pool.iloc[taken].reset_index(drop=True).assign(reference_weight=own / own.sum() if taken else own)
 
 
 def panel(strains: DataFrame, cutoffs: DataFrame, size: int, months: int = 6, years: int = 3, outlying: float = 0.25) -> DataFrame:
@@ -61,17 +60,42 @@ def panel(strains: DataFrame, cutoffs: DataFrame, size: int, months: int = 6, ye
     Seats are dealt by the strata's sizes, a row each. Strains are chosen as by ``coreset``, one in every
     stratum at a time, from all its strains; only the chosen ones reach the driver. ``query_id`` is a key.
     """
+    spans = _spans(cutoffs, years)
+    rows = strains.join(F.broadcast(spans), (F.col("date") >= F.col("past_start")) & (F.col("date") < F.col("past_end")))  # a row for each window
+    return _chosen(rows, size, months, years, outlying)
+
+
+def past_panel(instances: DataFrame, cutoffs: DataFrame, size: int, months: int = 6, years: int = 3, outlying: float = 0.25) -> DataFrame:
+    """A panel for each cutoff from what was observed before it: instances (query_id, sequence, date), one for each observation.
+
+    A strain weighs as often as it was observed in the ``years`` before the recent half-year, and has
+    the date of its last observation there; strains observed in the recent half-year are left out.
+    """
+    spans = _spans(cutoffs, years).join(cutoffs.select("window_id", "recent_end"), "window_id")
+    by_day = instances.groupBy("query_id", "sequence", "date").agg(F.count("*").alias("n"))
+    hits = by_day.join(F.broadcast(spans), F.col("date").between(F.col("past_start"), F.col("recent_end")))  # a row for each window
+    before = F.col("date") < F.col("past_end")
+    sums = hits.groupBy("window_id", "past_start", "past_end", "query_id", "sequence").agg(
+        F.sum(F.when(before, F.col("n"))).cast("double").alias("weight"), F.max(F.when(before, F.col("date"))).alias("date"), F.count_if(~before).alias("current")
+    )
+    return _chosen(sums.where("weight > 0 and current = 0"), size, months, years, outlying)
+
+
+def _spans(cutoffs: DataFrame, years: int) -> DataFrame:
+    return cutoffs.select("window_id", F.add_months("recent_start", -12 * years).alias("past_start"), F.col("recent_start").alias("past_end"))
+
+
+def _chosen(rows: DataFrame, size: int, months: int, years: int, outlying: float) -> DataFrame:
+    """The panels of candidates (window_id, past_start, query_id, sequence, date, weight)."""
     strata = -(-12 * years // months)
     if size < strata:
         raise ValueError("the panel needs a seat for each stratum")
-    spans = cutoffs.select("window_id", F.add_months("recent_start", -12 * years).alias("past_start"), F.col("recent_start").alias("past_end"))
-    rows = strains.join(F.broadcast(spans), (F.col("date") >= F.col("past_start")) & (F.col("date") < F.col("past_end")))  # a row for each window
     stratum = F.least(F.floor(F.months_between("date", "past_start") / months), F.lit(strata - 1)).cast("int")
     rows = rows.withColumn("stratum", stratum)
     sizes = rows.groupBy("window_id", "stratum").agg(F.count("*").alias("n"))
     counted = sizes.groupBy("window_id").agg(F.map_from_entries(F.collect_list(F.struct("stratum", "n"))).alias("sizes")).collect()
     dealt = [(r["window_id"], s, n, r["sizes"][s]) for r in counted for s, n in seats(r["sizes"], size, strata).items()]
-    group, spark = ["window_id", "stratum"], strains.sparkSession
+    group, spark = ["window_id", "stratum"], rows.sparkSession
     wanted = {(w, t): n for w, t, n, _ in dealt if n}
     pools = {(w, t): pool for w, t, _, pool in dealt}
     few = [k for k, n in wanted.items() if pools[k] <= n]

@@ -83,14 +83,22 @@ def ranked(rows: DataFrame, key: str, value: str, last: str) -> DataFrame:
     return numbered.withColumn("rank", F.col("own") + F.col("before")).drop("part", "own", "k", "at", "before")
 
 
-def weighted_summary(pairs: DataFrame, keys: list[str], value: str = "distance", weight: str = "weight") -> DataFrame:
-    """Weighted mean and lower empirical quantiles, range and number of references of each query."""
+def weighted_summary(pairs: DataFrame, keys: list[str], value: str = "distance", weight: str = "weight", digits: int | None = None) -> DataFrame:
+    """Weighted mean and lower empirical quantiles, range and number of references of each query.
+
+    With ``digits``, for values of so many digits and whole weights, sums are exact and the mean is rounded once.
+    """
     part = Window.partitionBy(*keys)
     ordered = part.orderBy(value, "reference_id").rowsBetween(Window.unboundedPreceding, 0)
     rows = pairs.withColumns({"cum": F.sum(weight).over(ordered), "total": F.sum(weight).over(part)})
     quantile = lambda q: F.min(F.when(F.col("cum") >= q * F.col("total") - 1e-12, F.col(value)))
+    mean = F.sum(F.col(weight) * F.col(value)) / F.sum(weight)
+    if digits is not None:
+        units = F.sum(F.col(weight).cast("long") * F.round(F.col(value) * 10**digits).cast("long"))
+        whole = F.sum(F.col(weight).cast("long"))
+        mean = F.call_function("div", 2 * units + whole, 2 * whole) / float(10**digits)
     return rows.groupBy(*keys).agg(
-        (F.sum(F.col(weight) * F.col(value)) / F.sum(weight)).alias("mean"),
+        mean.alias("mean"),
         quantile(0.5).alias("p50"),
         quantile(0.1).alias("p10"),
         quantile(0.9).alias("p90"),
@@ -121,3 +129,53 @@ def with_ranks(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 def correlations(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Pearson and Spearman correlation of each key; null for fewer than 3 pairs or no spread."""
     return with_ranks(rows, keys, x, y).groupBy(*keys).agg(pearson(x, y).alias("pearson"), pearson("rx", "ry").alias("spearman"), F.count("*").alias("pairs"))
+
+
+def overview(rows: DataFrame, *numbers: str, time: str) -> DataFrame:
+    """One row: count, least, most and mean of each number, first and last time."""
+    parts = [F.count("*").alias("n")]
+    for c in numbers:
+        parts += [F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"), F.avg(c).alias(f"mean_{c}")]
+    return rows.agg(*parts, F.min(time).alias(f"first_{time}"), F.max(time).alias(f"last_{time}"))
+
+
+def once_each(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The mean of repeated scores of a key."""
+    return rows.groupBy(*keys).agg(F.avg(value).alias(value))
+
+
+def coverage(rows: DataFrame, wanted: DataFrame, value: str) -> DataFrame:
+    """Of each cutoff: summaries, different queries, panel size, mean and lower and upper decile of a value, and whether all wanted ones are there.
+
+    ``wanted`` has window_id and ``instances``; cutoffs that it lacks are left out.
+    """
+    sums = rows.groupBy("window_id").agg(
+        F.count("*").alias("summaries"), F.countDistinct("query_id").alias("queries"), F.min("panel_size").alias("panel_size"), F.avg(value).alias("mean"),
+        F.expr(f"percentile({value}, 0.1)").alias("p10"), F.expr(f"percentile({value}, 0.9)").alias("p90"), F.max("scored_at").alias("scored_at"),
+    )
+    return sums.join(wanted, "window_id").withColumn("complete", F.col("summaries") == F.col("instances"))
+
+
+def registry(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Each query once (its first row by record_index), with the embedding it may reuse, or one of its own to be made.
+
+    ``known`` has sequence and embedding_id; the first one by name serves a sequence.
+    """
+    first = rows.groupBy("query_id").agg(F.min_by(F.struct("record_index", "sequence"), "record_index").alias("r")).select("query_id", "r.*")
+    held = known.groupBy("sequence").agg(F.min("embedding_id").alias("held"))
+    source = F.when(F.col("held").isNotNull(), "reused").otherwise("new")
+    return first.join(held, "sequence", "left").select("query_id", "record_index", F.coalesce("held", "query_id").alias("embedding_id"), source.alias("embedding_source"))
+
+
+def require_same_parameters(stored: dict, wanted: dict) -> None:
+    """Refuse to go on with a score table that other parameters made."""
+    if changed := sorted(k for k in stored.keys() | wanted.keys() if stored.get(k) != wanted.get(k)):
+        raise ValueError(f"the table was made with other values of {', '.join(changed)}")
+
+
+def annual_work(instances: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """Queries of the year before each cutoff, each once with its last instance (by date, then record_index)."""
+    spans = cutoffs.select("window_id", "annual_start", "annual_end")
+    hits = instances.join(F.broadcast(spans), F.col("collection_date").between(F.col("annual_start"), F.col("annual_end")))  # a row for each window
+    last = F.max(F.struct("collection_date", "record_index")).alias("last")
+    return hits.groupBy("window_id", "query_id").agg(last, F.count("*").alias("n")).select("window_id", "query_id", "last.*", "n")

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequences import upper
-from ..functions.simplex import over
 
 
 def keep_first(records: DataFrame) -> DataFrame:
     """The first record of each non-empty sequence, by record_index."""
     filled = records.where("sequence <> ''").withColumn("sha", F.sha2(F.col("sequence").cast("binary"), 256))
-    firsts = filled.groupBy("sha").agg(F.min("record_index").alias("record_index"))
-    return filled.join(firsts, ["sha", "record_index"], "left_semi").select("record_index", "header", "sequence", "sha")
+    first = F.min_by(F.struct("record_index", "header", "sequence"), "record_index").alias("first")
+    return filled.groupBy("sha").agg(first).select("first.*", "sha")
 
 
 def prepare(records: DataFrame, tag: str = "|HA|", least: int = 560, tag_first: bool = False) -> DataFrame:
@@ -52,24 +51,3 @@ def nucleotide_like(records: DataFrame, first: int = 100, share: float = 0.97) -
     return some.agg(letters.alias("nucleotide_letters"), F.sum(F.length("sequence")).alias("letters")).withColumn(
         "is_nucleotide", F.coalesce(F.try_divide("nucleotide_letters", "letters") >= share, F.lit(False))
     )
-
-
-def ranked_pairs(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Pairs of two tables within a key."""
-    return left.join(right, key)
-
-
-def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key by ``order``, whose last column decides ties."""
-    rank = F.row_number().over(over(*keys).orderBy(*[F.desc(c) for c in order]))
-    return rows.withColumn("rank", rank).where("rank = 1").drop("rank")
-
-
-def earliest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    rank = F.row_number().over(over(*keys).orderBy(*order))
-    return rows.withColumn("rank", rank).where("rank = 1").drop("rank")
-
-
-def numbered(rows: DataFrame, *order: object) -> DataFrame:
-    """A total rank. One ordered list of all rows is what this returns; use it on results, not on scans."""
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))

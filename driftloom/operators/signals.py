@@ -85,3 +85,35 @@ def bridge(start: DataFrame, end: DataFrame, steps: int) -> DataFrame:
     both = start.select("branch", F.col("share").alias("a")).join(end.select("branch", F.col("share").alias("b")), "branch", "full_outer").na.fill(0.0, ["a", "b"])
     rows = both.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(steps))))
     return rows.select("h", "branch", (F.col("a") + (F.col("b") - F.col("a")) * F.col("h") / steps).alias("share"))
+
+
+def gated(features: DataFrame, threshold: float) -> DataFrame:
+    """Fitness excess only of branches farther than a threshold, and the product of positive escape and fitness."""
+    return features.withColumns({
+        "gated_fitness_excess": F.when(F.col("mean_distance") > threshold, F.col("fitness_excess")).otherwise(0.0),
+        "escape_fitness_interaction": F.greatest("escape_excess", F.lit(0.0)) * F.col("fitness_excess"),
+    })
+
+
+def with_features(rows: DataFrame, features: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Rows with a branch's features, missing ones 0, and whether it has any (``bio_available``)."""
+    held = features.select("window_id", "branch", *columns).withColumn("bio_available", F.lit(1.0))
+    return rows.join(held, ["window_id", "branch"], "left").na.fill(0.0, [*columns, "bio_available"])
+
+
+def signal_overview(correlations: DataFrame, leaders: DataFrame, truth: str, guesses: tuple[str, ...]) -> DataFrame:
+    """One row: mean correlations over the windows that have one, and how often each guess names the true leader."""
+    means = correlations.agg(F.avg("pearson").alias("mean_pearson"), F.avg("spearman").alias("mean_spearman"), F.count("*").alias("windows"))
+    hits = leaders.agg(*[F.count_if(F.col(g) == F.col(truth)).alias(f"{g}_hits") for g in guesses])
+    return means.crossJoin(hits)  # one row each
+
+
+def without_windows(rows: DataFrame, excluded: DataFrame) -> DataFrame:
+    """Rows of the windows that aren't excluded."""
+    return rows.join(excluded.select("window_id").distinct(), "window_id", "left_anti")
+
+
+def window_overview(counts: DataFrame) -> DataFrame:
+    """Non-empty bins of the history and of the holdout of every window, and the records held out."""
+    bins = lambda c: F.count_distinct(F.when(c, F.col("bin")))
+    return counts.where("n > 0").groupBy("window_id").agg(bins(F.col("bin") < 0).alias("history_bins"), bins(F.col("bin") >= 0).alias("holdout_bins"), F.sum(F.when(F.col("bin") >= 0, F.col("n")).otherwise(0)).alias("holdout_records"))

@@ -18,7 +18,7 @@ def _label(*columns: str) -> str:
 
 
 _BRANCH = _label("subclade", "clade", "legacy")
-_STATUS = "case when trim(coalesce({0}, '')) = '' then 'blank' when lower(trim({0})) in ('unassigned', 'unknown') then 'unassigned' else 'assigned' end"
+_STATUS = "case when trim(coalesce({0}, '')) = '' then 'blank' when lower(trim({0})) = 'unassigned' then 'unassigned' else 'assigned' end"
 _BIN = "cast(floor(datediff('day', date '1998-01-01', {0}) / 14.0) as integer)"
 _HDR = f"""{_OBS}, hdr as (
     select obs_id, concat_ws('|', 'A/' || legacy || '/' || obs_id || '/' || year(collection_date), 'EPI_ISL_' || obs_id, 'H1N1', legacy, clade, subclade,
@@ -30,9 +30,12 @@ _SEQ = """seqs as (
     select doc_id as record_index, 'doc' || doc_id || case when doc_id % 5 = 0 then '|NA|' else '|HA|' end || lang || '|' || source as header, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') as sequence
     from documents
 )"""
-_FIXED = """fixed as (
-    select doc_id as record_index, lang, substr(regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^A-Z]', '', 'g'), 1, 64) as sequence
-    from documents where length(regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^A-Z]', '', 'g')) >= 64
+_FIXED = """letters as (
+    select doc_id, lang, regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^A-Z]', '', 'g') as letters from documents
+), pieces as (
+    select doc_id, lang, letters, cast(unnest(range(length(letters) // 64)) as integer) as piece from letters
+), fixed as (
+    select doc_id as record_index, piece, lang, substr(letters, piece * 64 + 1, 64) as sequence from pieces
 )"""
 _SPANS = """windows as (
     select i as window_id, cast(date '1997-01-01' + to_months(6 * i) as date) as s, cast(date '1997-01-01' + to_months(6 * i + 6) - interval 1 day as date) as e
@@ -199,7 +202,7 @@ _SIGNAL = f"""{_PARTIAL}, before as (
     select *, next_share - previous_share as share_change from signal
 )"""
 _DIST = f"{_SPANS}, {_COARSE}, dist as (select *, (obs_id * 7919 % 1009) / 100.0 as distance from coarse)"
-_WORDS = "['', 'Unable to align: seed', 'Frame shift found', 'too many missing sites', 'premature stop codon', 'gene S failed to translate', 'unknown problem', '  ']"
+_WORDS = "['', 'Unable to align: alignment failed', 'Unknown nucleotide in read', 'gene is too short', 'Unable to find start', 'translation of gene S failed', 'another problem', '  ']"
 
 
 def _audit(fields: list[str]) -> str:
@@ -254,14 +257,14 @@ ORACLE_SQL: dict[str, str] = {
     "seq_sha_identity": f"with {_SEQ} select record_index, 'SEQ_' || substr(sha256(sequence), 1, 20) as query_id from seqs",
     "hash_shard_owner": f"""with {_SEQ}, d as (select record_index, sha256(header) as s from seqs)
         select record_index, cast(list_reduce(list_prepend(0::bigint, [cast(('0x' || substr(s, 1 + 4 * i, 4)) as bigint) for i in range(16)]), lambda a, x: (a * 65536 + x) % 7) as bigint) as shard from d""",
-    "translate_codons": f"with {_FIXED}, t as (select record_index, translate(sequence, 'EINORSHLDU', 'ACGTACGTAC') as nt from fixed) select record_index, {_frame(0)}, {_frame(1)}, {_frame(2)} from t",
+    "translate_codons": f"with {_FIXED}, t as (select record_index, piece, translate(sequence, 'EINORSHLDU', 'ACGTACGTAC') as nt from fixed) select record_index, piece, {_frame(0)}, {_frame(1)}, {_frame(2)} from t",
     "consensus_by_position": f"""with {_FIXED}, l as (select lang, unnest(range(64)) as pos, sequence from fixed), c as (select lang, pos, substr(sequence, pos + 1, 1) as letter, count(*) as n from l group by all),
         b as (select * from c qualify row_number() over (partition by lang, pos order by n desc, letter) = 1) select lang, string_agg(letter, '' order by pos) as consensus from b group by lang""",
     "position_diversity": f"""with {_FIXED}, l as (select unnest(range(64)) as pos, sequence from fixed)
         select cast(pos as integer) as pos, count(distinct substr(sequence, pos + 1, 1)) as letters, count(*) as n, count(distinct substr(sequence, pos + 1, 1)) = 1 as unchanged from l group by pos""",
-    "hamming_to_consensus": f"""with {_FIXED}, l as (select record_index, lang, unnest(range(64)) as pos, sequence from fixed), c as (select lang, pos, substr(sequence, pos + 1, 1) as letter, count(*) as n from l group by all),
+    "hamming_to_consensus": f"""with {_FIXED}, l as (select record_index, piece, lang, unnest(range(64)) as pos, sequence from fixed), c as (select lang, pos, substr(sequence, pos + 1, 1) as letter, count(*) as n from l group by all),
         b as (select * from c qualify row_number() over (partition by lang, pos order by n desc, letter) = 1)
-        select record_index, cast(sum(case when substr(sequence, l.pos + 1, 1) <> letter then 1 else 0 end) as integer) as distance from l join b on b.lang = l.lang and b.pos = l.pos group by record_index""",
+        select record_index, piece, cast(sum(case when substr(sequence, l.pos + 1, 1) <> letter then 1 else 0 end) as integer) as distance from l join b on b.lang = l.lang and b.pos = l.pos group by record_index, piece""",
     "valid_residue_count": f"""with {_SEQ} select record_index, cast(length(regexp_replace(sequence, '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g')) as integer) as valid,
         regexp_full_match(sequence, '[ACDEFGHIKLMNPQRSTVWYXBZUOJ]+') as is_protein from seqs""",
     "length_distribution": f"with {_SEQ} select cast(length(sequence) as integer) as length, count(*) as n from seqs group by all",
@@ -284,9 +287,9 @@ ORACLE_SQL: dict[str, str] = {
               left join l x on x.folder = n.folder and x.run = left_run and x.name = n.name left join l y on y.folder = n.folder and y.run = right_run and y.name = n.name)
         select *, count(*) as n from j group by all""",
     "error_categories": f"""with m as (select lower({_WORDS}[1 + o_orderkey % 8]) as m from orders)
-        select case when trim(m) = '' then 'none' when m like '%unable to align%' or m like '%alignment%' or m like '%seed%' then 'alignment'
-               when m like '%frame shift%' or m like '%frameshift%' then 'frame_shift' when m like '%missing%' then 'missing_data' when m like '%stop codon%' then 'stop_codon'
-               when m like '%translat%' or m like '%codon%' or m like '%gene%' then 'translation' else 'other' end as category, count(*) as n from m group by all""",
+        select case when m like '%unknown nucleotide%' then 'unknown_nucleotide' when m like '%extracted gene sequence is empty%' or m like '%unable to find start%' then 'gene_not_found_or_empty'
+               when m like '%too short%' then 'sequence_or_gene_too_short' when m like '%translation%' then 'translation_error' when m like '%alignment%' then 'alignment_error' else 'other' end as category,
+               count(*) as n from m where trim(m) <> '' group by all""",
     "repeated_keys": """with c as (select l_orderkey || '-' || l_linenumber as k, count(*) as c from lineitem group by all)
         select cast(sum(c) as bigint) as n_rows, cast(sum(c - 1) as bigint) as duplicate_rows, max(c) as largest from c""",
     "cutoff_table": f"""with {_SPANS}, {_COARSE} select spans.*, (select count(*) from coarse where d between recent_start and recent_end) as recent_instances,
@@ -322,7 +325,7 @@ ORACLE_SQL: dict[str, str] = {
                round(ln(recent_count + 0.5) - ln(previous_count + 0.5), 6) as log_count_growth, round(ln(rs + 1e-9) - ln(ps + 1e-9), 6) as log_share_growth,
                round(ln(q) - ln(1 - q), 6) as logit_presence, round(coalesce(growth, 0), 6) as composition_slope
         from g left join c_b2_g using (window_id, branch)""",
-    "surrogate_scores": f"with {_FIXED} select record_index, round(length(regexp_replace(sequence, '[^AVILMFWY]', '', 'g')) / length(sequence), 6) as score from fixed",
+    "surrogate_scores": f"with {_FIXED} select record_index, piece, round(length(regexp_replace(sequence, '[^AVILMFWY]', '', 'g')) / length(sequence), 6) as score from fixed",
     "metrics_six_model": f"with {_EVAL} select {_DETAIL} from metrics",
     "top1_accuracy": f"with {_EVAL} select model, window_id, round(top1_accuracy, 6) as top1_accuracy from top1",
     "rolling_six_model_detail": f"with {_EVAL} select {_DETAIL}, round(top1_accuracy, 6) as top1_accuracy from detail",
@@ -356,10 +359,11 @@ ORACLE_SQL: dict[str, str] = {
         f as (select window_id, branch, count(*) as n from dist join spans on d between target_start and target_end group by all)
         select window_id, branch, scored, round(m, 4) as mean_distance, round(md, 4) as median_distance, round(m - a, 4) as excess, round(m - b, 4) as excess_previous, coalesce(n, 0) as next_count
         from r join y using (window_id) left join p using (window_id) left join f using (window_id, branch) where scored >= 10""",
-    "pair_weighted_summary": """with e as (select vec_id, label, [x::double for x in embedding] as v from embeddings), r as (select vec_id, label, v, (1 + vec_id % 3)::double as w from e where vec_id % 20 = 0),
+    "pair_weighted_summary": """with e as (select vec_id, label, [x::double for x in embedding] as v from embeddings),
+        r as (select vec_id, label, v, 1 + vec_id % 3 as w from e qualify row_number() over (partition by label order by vec_id) <= 64),
         p as (select e.vec_id as q, r.vec_id as ref, r.w, round(sqrt(list_sum([(e.v[i] - r.v[i]) * (e.v[i] - r.v[i]) for i in range(1, 65)])), 6) as x from e join r using (label)),
         c as (select *, sum(w) over (partition by q order by x, ref rows unbounded preceding) as cum, sum(w) over (partition by q) as total from p)
-        select q as query_id, round(sum(w * x) / sum(w), 6) as mean, min(case when cum >= 0.5 * total - 1e-12 then x end) as p50, min(case when cum >= 0.1 * total - 1e-12 then x end) as p10,
-               min(case when cum >= 0.9 * total - 1e-12 then x end) as p90, min(x) as least, max(x) as most, count(*) as panel_size from c group by q""",
+        select q as query_id, cast((2 * sum(w * cast(round(x * 1000000) as bigint)) + sum(w)) // (2 * sum(w)) as bigint) / 1000000.0 as mean, min(case when cum >= 0.5 * total - 1e-12 then x end) as p50,
+               min(case when cum >= 0.1 * total - 1e-12 then x end) as p10, min(case when cum >= 0.9 * total - 1e-12 then x end) as p90, min(x) as least, max(x) as most, count(*) as panel_size from c group by q""",
     "score_resume_antijoin": "select doc_id, lang from documents anti join labels using (doc_id)",
 }

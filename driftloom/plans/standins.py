@@ -60,10 +60,18 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fixed_sequences(spark: SparkSession, sf_dir: str, length: int = 64) -> DataFrame:
-    """Sequences of one length: the first letters A to Z of each document that has enough."""
+    """Sequences of one length: the letters A to Z of each document in pieces in a row, a last shorter rest left out."""
     letters = F.regexp_replace(upper(F.col("text")), "[^A-Z]", "")
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_index"), "lang", letters.alias("letters"))
-    return rows.where(F.length("letters") >= length).select("record_index", "lang", F.substring("letters", 1, length).alias("sequence"))
+    pieces = F.sequence(F.lit(0), F.floor(F.length("letters") / F.lit(length)).cast("int") - 1)
+    cut = rows.where(F.length("letters") >= length).withColumn("piece", F.explode(pieces))
+    return cut.select("record_index", "piece", "lang", F.substring("letters", F.col("piece") * length + 1, F.lit(length)).alias("sequence"))
+
+
+def letter_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as records of capital letters, all of each text."""
+    rows = sequences(spark, sf_dir)
+    return rows.select("record_index", "header", F.regexp_replace("sequence", "[^A-Z]", "").alias("sequence"))
 
 
 def half_years(spark: SparkSession) -> DataFrame:

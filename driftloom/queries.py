@@ -113,7 +113,7 @@ def hash_shard_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def translate_codons(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = standins.fixed_sequences(spark, sf_dir).withColumn("nt", F.translate("sequence", "EINORSHLDU", "ACGTACGTAC"))
-    return rows.select("record_index", *[sequences.translate(F.col("nt"), f).alias(f"frame{f}") for f in range(3)])
+    return rows.select("record_index", "piece", *[sequences.translate(F.col("nt"), f).alias(f"frame{f}") for f in range(3)])
 
 
 def consensus_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +127,7 @@ def position_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hamming_to_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = standins.fixed_sequences(spark, sf_dir)
     both = rows.join(F.broadcast(sequence_tables.consensus(rows, "lang")), "lang")  # a row for each language
-    return both.select("record_index", sequences.hamming(F.col("sequence"), F.col("consensus")).alias("distance"))
+    return both.select("record_index", "piece", sequences.hamming(F.col("sequence"), F.col("consensus")).alias("distance"))
 
 
 def valid_residue_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +174,7 @@ def audit_run_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def error_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey") % 8
-    words = ["", "Unable to align: seed", "Frame shift found", "too many missing sites", "premature stop codon", "gene S failed to translate", "unknown problem", "  "]
+    words = ["", "Unable to align: alignment failed", "Unknown nucleotide in read", "gene is too short", "Unable to find start", "translation of gene S failed", "another problem", "  "]
     message = F.element_at(F.array(*[F.lit(w) for w in words]), k.cast("int") + 1)
     return audit.error_counts(standins.table(spark, sf_dir, "orders").select(message.alias("m")), "m")
 
@@ -247,13 +247,14 @@ def changepoint_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leading hundred of each branch, a top-k report."""
     rows = standins.coarse(spark, sf_dir)
     rank = F.row_number().over(over("branch").orderBy(F.desc("score"), "obs_id"))
     return rows.select("branch", "obs_id", "score", rank.alias("rank")).where("rank <= 100")
 
 
 def score_ranking_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ranks; ``score_ranking`` ends at 100, as its SQL does."""
+    """Every row with its rank."""
     return scores.ranked(standins.coarse(spark, sf_dir), "branch", "score", "obs_id").select("branch", "obs_id", "score", "rank")
 
 
@@ -308,17 +309,22 @@ def distance_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(signals.distance_signal(rows, rows, standins.cutoffs(spark)), 4)
 
 
+#: References of a label: its first vectors, a panel of this size as pair scores have.
+PANEL = 64
+
+
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = standins.table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    refs = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("reference_id"), "label", F.col("v").alias("r"), (1 + F.col("vec_id") % 3).cast("double").alias("weight"))
-    both = e.join(refs, "label")
+    rank = F.row_number().over(over("label").orderBy("vec_id"))
+    refs = e.withColumn("rank", rank).where(f"rank <= {PANEL}").select(F.col("vec_id").alias("reference_id"), "label", F.col("v").alias("r"), (1 + F.col("vec_id") % 3).cast("double").alias("weight"))
+    both = e.join(refs, "label")  # at most PANEL rows for each vector
     squares = F.zip_with("v", "r", lambda a, b: (a - b) * (a - b))
     distance = F.round(F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)), 6)
     return both.select("label", F.col("vec_id").alias("query_id"), "reference_id", "weight", distance.alias("distance"))
 
 
 def pair_weighted_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(scores.weighted_summary(_pairs(spark, sf_dir), ["query_id"]))
+    return _rounded(scores.weighted_summary(_pairs(spark, sf_dir), ["query_id"], digits=6))
 
 
 def score_resume_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,16 +361,27 @@ def mlr_point_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(fits.logistic_trend(standins.window_counts(spark, sf_dir), 12), 5)
 
 
-def coreset_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _strains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of documents as strains with a date and a weight."""
     rows = standins.fixed_sequences(spark, sf_dir)
     day = F.date_add(F.lit(standins.TRAIN_START), (F.col("record_index") * 37 % 1500).cast("int"))
-    strains = rows.select(F.col("record_index").alias("query_id"), "sequence", day.alias("date"), (1 + F.col("record_index") % 5).cast("double").alias("weight"))
-    return _rounded(panels.panel(strains, standins.cutoffs(spark), 30))
+    key = F.col("record_index") * 100_000 + F.col("piece")
+    return rows.select(key.alias("query_id"), "sequence", day.alias("date"), (1 + F.col("record_index") % 5).cast("double").alias("weight"))
+
+
+def coreset_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(panels.panel(_strains(spark, sf_dir), standins.cutoffs(spark), 30))
+
+
+def past_strain_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each different piece is a strain; it was observed wherever a document has it."""
+    rows = _strains(spark, sf_dir).withColumn("query_id", F.xxhash64("sequence"))
+    return _rounded(panels.past_panel(rows, standins.cutoffs(spark), 30))
 
 
 def surrogate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = standins.fixed_sequences(spark, sf_dir)
-    return rows.join(scores.scored(rows), "sequence").select("record_index", F.round("score", 6).alias("score"))
+    return rows.join(scores.scored(rows), "sequence").select("record_index", "piece", F.round("score", 6).alias("score"))
 
 
 def count_trend_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -386,6 +403,6 @@ for _f in (
     window_aligned_counts, unique_accession_join, frozen_panel_inequality, past_strain_antijoin, instance_expansion_unique_hit, metrics_six_model,
     top1_accuracy, rolling_six_model_detail, rolling_six_model_summary, window_wins, changepoint_diagnostics, score_ranking, score_ranking_all, score_completeness,
     score_summary_by_year_clade, score_by_date_bin, branch_signal_window, signal_correlations, signal_leaders, branch_features, distance_signal,
-    pair_weighted_summary, score_resume_antijoin, ridge_share_change, mlr_point_forecast, coreset_panel, surrogate_scores, count_trend_features,
+    pair_weighted_summary, score_resume_antijoin, ridge_share_change, mlr_point_forecast, coreset_panel, past_strain_panel, surrogate_scores, count_trend_features,
 ):
     QUERIES[_f.__name__] = _f

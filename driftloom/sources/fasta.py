@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequences import hash_owner, upper
 
+# The fields of an isolate's header.
 ISOLATE_FIELDS = (
     "virus_name", "isolate_id", "type", "passage_details", "lineage", "clade", "collection_date", "submitter", "sample_id_provider",
     "sample_id_submitting_lab", "last_modified", "originating_lab", "submitting_lab", "gene_name", "protein_accession_no",
@@ -52,10 +53,26 @@ def isolate_headers(records: DataFrame) -> DataFrame:
     """Headers of exactly 15 pipe fields as columns, with the collection date as a date."""
     fields = F.split("header", r"\|")
     checked = F.when(F.size(fields) == len(ISOLATE_FIELDS), fields).otherwise(F.raise_error("a header has not 15 fields").cast("array<string>"))
-    rows = records.select(checked.alias("f")).select(*[F.col("f")[i].alias(c) for i, c in enumerate(ISOLATE_FIELDS)])
+    rows = records.select(checked.alias("f")).select(*[F.trim(F.col("f")[i]).alias(c) for i, c in enumerate(ISOLATE_FIELDS)])
     return rows.withColumn("collection_date", F.try_to_date("collection_date", "yyyy-MM-dd"))
 
 
+def read_two_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``header`` and ``sequence`` of files that strictly have a header line and one sequence line by turns; anything else is an error."""
+    rows = spark.read.option("lineSep", "\n>").text(path)
+    body = F.regexp_replace(F.regexp_replace("value", "^>", ""), "\n$", "")
+    cut = F.split(body, "\n")
+    checked = F.when((F.size(cut) == 2) & ~F.get(cut, 1).startswith(">"), cut).otherwise(F.raise_error("a record has not one header and one sequence line").cast("array<string>"))
+    return rows.select(checked.alias("f")).select(F.col("f")[0].alias("header"), F.col("f")[1].alias("sequence"))
+
+
+def lookup(records: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Records whose sequence is in ``wanted`` (column ``sequence``), each sequence once, by its first record."""
+    first = F.min_by(F.struct("record_index", "header"), "record_index").alias("first")
+    found = records.join(wanted.select("sequence").distinct(), "sequence", "left_semi").groupBy("sequence").agg(first)
+    return found.select("first.*", "sequence")
+
+
 def _lines(records: DataFrame) -> DataFrame:
     return records.select(F.concat(F.lit(">"), F.translate("header", " ", "_"), F.lit("\n"), F.col("sequence")).alias("value"))
 

@@ -54,6 +54,25 @@ def import_sqlite(spark: SparkSession, database: str, query: str, schema: T.Stru
     return spark.read.parquet(path)
 
 
+def read_columns(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
+    """Some columns (name to type) of comma-separated tables with a header; others are not parsed. Values that don't fit are null."""
+    rows = spark.read.option("header", True).option("escape", '"').option("multiLine", False).csv(path)
+    require_columns(rows, *columns)
+    return rows.select(*[F.col(f"`{c}`").try_cast(t).alias(c) for c, t in columns.items()])
+
+
+def write_csv(rows: DataFrame, path: str, overwrite: bool = False) -> None:
+    """A comma-separated table with a header in every part."""
+    rows.write.mode("overwrite" if overwrite else "errorifexists").option("header", True).option("escape", '"').csv(path)
+
+
+def merge_shards(spark: SparkSession, pattern: str, columns: dict[str, str], key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of all shard tables, and a row with how many repeat a key of an earlier one."""
+    rows = read_columns(spark, pattern, columns)
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    return rows, counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated"))
+
+
 def wide_counts(rows: DataFrame, branches: list[str]) -> DataFrame:
     """Bins x branches as a table with a column for each of ``branches``, in their order."""
     wide = rows.groupBy("bin_start").pivot("branch", branches).agg(F.sum("n"))
