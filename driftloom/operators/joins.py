@@ -100,5 +100,5 @@ def occurrences(rows: DataFrame, key: str) -> DataFrame:
 
 def value_sets(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Of each key, how many different values it has, and the value if there is just one."""
-    sets = rows.where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key).agg(F.count_distinct(value).alias("values"), F.min(value).alias("least"))
-    return sets.select(key, "values", F.when(F.col("values") == 1, F.col("least")).alias("only"))
+    sets = rows.where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key).agg(F.count_distinct(value).alias("n_values"), F.min(value).alias("least"))
+    return sets.select(key, "n_values", F.when(F.col("n_values") == 1, F.col("least")).alias("one_value"))
