@@ -334,6 +334,7 @@ def groups(spark: SparkSession, vectors: DataFrame) -> DataFrame:
             before = None
             for i in range(1, ROUNDS + 1):
                 graph = scratch.keep(_best(graph.unionByName(_joined(graph, live, i))), f"graph-{attempt}-{i}")
+                scratch.drop(f"graph-{attempt}-{i - 1}")
                 now = graph.where(f"cosine >= {THRESHOLD}").count()
                 if before is not None and now <= before * 1.001:
                     break
