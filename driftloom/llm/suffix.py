@@ -269,6 +269,25 @@ def _grouped(scratch: Scratch, regions: DataFrame, window: int, keep: str) -> Da
     return hits.groupBy(*region).agg(F.flatten(F.collect_list(run)).alias("runs"))
 
 
+def _merged(starts: DataFrame) -> DataFrame:
+    """The runs of each text in order, those that touch made one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for own in spans(batch.column(2)):
+                begin, end = own[::2], own[1::2]
+                order = np.argsort(begin, kind="stable")
+                begin, end = begin[order], np.maximum.accumulate(end[order])
+                apart = np.flatnonzero(begin[1:] > end[:-1])
+                out.append(np.stack([begin[np.append(0, apart + 1)], end[np.append(apart, len(end) - 1)]], 1).ravel())
+            edges = np.cumsum([0, *map(len, out)]).astype(np.int32)
+            flat = np.concatenate(out) if out else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))], ["k", "t", "starts"])
+
+    return starts.mapInArrow(run, "k long, t long, starts array<long>")
+
+
 def _left(column: pa.Array, starts: pa.Array, window: int) -> Iterator[tuple[int, int, int, bytes]]:
     """(bytes, removed, runs, bytes left) of each text without what its repeated windows cover."""
     flat, edges = starts.values.to_numpy(), starts.offsets.to_numpy()
@@ -319,7 +338,7 @@ def _found(scratch: Scratch, docs: DataFrame, window: int, gram: int, keep: str,
     own = F.flatten(F.transform("places", lambda p: F.when(every(p), F.array(p, p + F.col("windows"))).otherwise(F.transform(runs, lambda x: x + p))))
     starts = where.select("k", "t", own.alias("own")).where("size(own) > 0")
     starts = starts.groupBy("k", "t").agg(F.flatten(F.collect_list("own")).alias("starts"))
-    starts = scratch.keep(starts, "starts")
+    starts = scratch.keep(_merged(starts), "starts")
     scratch.drop("regions", "hot", "where", "matched", "matched-hot")
     return starts
 
