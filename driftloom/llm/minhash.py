@@ -302,16 +302,17 @@ def groups(spark: SparkSession, docs: DataFrame, part: int = 80, whole: int = 10
     base = scratch.keep(_signed(texts, size, bands), "base")
     nodes = base.where("doc_id is not null and n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
     nodes = scratch.keep(nodes, "nodes")
-    own = base.withColumnRenamed("doc_id", "node").join(nodes, ["k1", "k2", "node"])
+    # both sides of these joins grow with the texts, so they are merged at every size
+    own = base.withColumnRenamed("doc_id", "node").join(nodes.hint("merge"), ["k1", "k2", "node"])
     signed = scratch.keep(own.select(F.col("node").alias("id"), "n_shingles", "signature", "bands"), "signed")
     entries = signed.select("id", F.posexplode("bands").alias("place", "bucket"))
     shared = entries.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("others")).where("low < high")
     shared = scratch.keep(shared.select("bucket", "others"), "shared")
-    entries = scratch.keep(entries.join(shared, "bucket"), "entries")
+    entries = scratch.keep(entries.join(shared.hint("merge"), "bucket"), "entries")
     scratch.drop("shared")
     known = scratch.keep(entries.groupBy("id").agg(F.sum("others").alias("met")), "known")
     wanted = known.select(F.col("id").alias("doc_id"))
-    sets = scratch.keep(_sets(texts.join(wanted, "doc_id"), size), "sets")
+    sets = scratch.keep(_sets(texts.join(wanted.hint("merge"), "doc_id"), size), "sets")
     signatures = signed.select("id", "signature", "n_shingles")
     again = base.join(nodes, ["k1", "k2"]).select("doc_id", "node")
     several = again.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")

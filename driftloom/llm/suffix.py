@@ -32,7 +32,7 @@ from .textkernel import Texts, blocks, byte_windows, least_places
 WINDOW = 400
 GRAM = 32
 #: Bytes of regions for each shard, about, and different regions of an anchor from which they are hot.
-SHARD_BYTES = 1_000_000
+SHARD_BYTES = 600_000
 HOT_REGIONS = 4_000
 
 
@@ -309,10 +309,10 @@ def _found(scratch: Scratch, docs: DataFrame, window: int, gram: int, keep: str,
         raise ValueError("keep is 'first' or 'none'")
     rows = keyed(docs)
     anchors = scratch.keep(_anchors(rows, window, gram), "anchors")
-    # a table of its own, so that the join may split a hash with very many places
+    # both sides grow with the texts, so joins are merged at every size; a table of its own, so that one may split a hash with very many places
     shared = scratch.keep(anchors.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "shared")
-    places = anchors.join(shared, "hash").groupBy("k", "t").agg(F.collect_set("place").alias("places"))
-    spots = _regions(rows.join(places, ["k", "t"]), window, gram)
+    places = anchors.join(shared.hint("merge"), "hash").groupBy("k", "t").agg(F.collect_set("place").alias("places"))
+    spots = _regions(rows.join(places.hint("merge"), ["k", "t"]), window, gram)
     spots = scratch.keep(spots, "spots")
     scratch.drop("anchors", "shared")
     region = ["hash", "r1", "r2"]
@@ -359,7 +359,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, g
             kinds = [pa.int64()] * 3 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(cols, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    marked = keyed(docs).join(starts, ["k", "t"], "left").select("doc_id", "text", "starts")
+    marked = keyed(docs).join(starts.hint("merge"), ["k", "t"], "left").select("doc_id", "text", "starts")
     return marked.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
@@ -387,7 +387,7 @@ def trimmed(spark: SparkSession, docs: DataFrame, window: int = WINDOW, gram: in
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     rows = rows.select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-1)).alias("k"), F.xxhash64("row.text").alias("t"))
-    return rows.join(starts, ["k", "t"], "left").select("row", "starts").mapInArrow(run, schema)
+    return rows.join(starts.hint("merge"), ["k", "t"], "left").select("row", "starts").mapInArrow(run, schema)
 
 
 def digest_rows(cut: DataFrame, text: bool = False) -> DataFrame:

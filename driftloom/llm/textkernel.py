@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 #: Longest stretch of bytes hashed in numpy, eight at a time; longer ones go through BLAKE2.
 CHAINED = 64
 _GAP = np.zeros(256, bool)
