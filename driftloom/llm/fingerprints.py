@@ -57,8 +57,11 @@ class FingerprintIndex:
         """Add a batch (hash, k, t and n, how often document (k, t) has it); the candidates it makes: hash, k, t.
 
         Candidates are the rows of the batch whose hash it has twice or an earlier run has, and the
-        rows of earlier runs whose hash it has. Null hashes are left out.
+        rows of earlier runs whose hash it has. Null hashes are left out. Without ``k`` and ``t`` the
+        document is null, without ``n`` each row counts once; all batches have the same columns.
         """
+        absent = {"k": F.lit(None).cast("long"), "t": F.lit(None).cast("long"), "n": F.lit(1).cast("long")}
+        rows = rows.withColumns({c: v for c, v in absent.items() if c not in rows.columns})
         older = [name for _, name in self.runs]
         batch = self.spark.table(self._write(rows.where("hash is not null"), 0))
         own = batch.groupBy("hash").agg(F.sum("n").alias("met"))
