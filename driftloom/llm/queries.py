@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, neighbours, packing, quality, substring, suffix, toxicity, warc
+from . import bpe, langid, minhash, neighbours, packing, prefixtrie, quality, substring, suffix, toxicity, warc
 
 #: Which public vocabulary the tokenising queries use; its place is asked for on every machine.
 VOCABULARY = "byte_bpe_50k.json"
@@ -69,6 +69,10 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest_rows(suffix.remove_repeats(spark, _table(spark, sf_dir, "documents"), keep="none"), text=True)
 
 
+def op12_prefixtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.rebuilt_nodes(spark, _table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_toxicity": op2_toxicity,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
     "op10_suffix": op10_suffix,
+    "op12_prefixtrie": op12_prefixtrie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -165,4 +170,37 @@ ORACLE_SQL: dict[str, str] = {
                case when p.page_id < k.keeper then k.keeper end as refers_to
         from p left join k on p.digest = k.digest and p.n = k.n
     """,
+    "op12_prefixtrie": """
+        with turns as (
+            select conv_id, list(sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) order by turn nulls first, coalesce(role, ''), sha256(coalesce(text, ''))) as own,
+                   list(strlen(coalesce(text, '')) order by turn nulls first, coalesce(role, ''), sha256(coalesce(text, ''))) as own_bytes
+            from conversations where conv_id is not null group by conv_id
+        ), heads as (
+            select conv_id, own, own_bytes, conv_id - conv_id % 5 as first,
+                   cast(xor(list_reduce(list_prepend(4294967295::ubigint, range(0, 8 * strlen(conv_id::varchar))::ubigint[]), lambda s, i:
+                       case when (case when i % 8 = 0 then xor(s, ascii(substr(conv_id::varchar, (i // 8 + 1)::bigint, 1))::ubigint) else s end) % 2 = 1
+                            then xor((case when i % 8 = 0 then xor(s, ascii(substr(conv_id::varchar, (i // 8 + 1)::bigint, 1))::ubigint) else s end) >> 1, 3988292384::ubigint)
+                            else (case when i % 8 = 0 then xor(s, ascii(substr(conv_id::varchar, (i // 8 + 1)::bigint, 1))::ubigint) else s end) >> 1 end), 4294967295::ubigint) % 9 as bigint) as h
+            from turns
+        ), rebuilt as (
+            select a.conv_id, list_concat(coalesce(b.own, [])[1 : h], a.own[h + 1 :]) as path, list_concat(coalesce(b.own_bytes, [])[1 : h], a.own_bytes[h + 1 :]) as bytes
+            from heads a left join turns b on b.conv_id = a.first
+        ), members as (
+            select conv_id, d, path[1 : d] as node, case when d > 0 then path[1 : d - 1] end as above, case when d > 0 then bytes[d] else 0 end as own, d = len(path) as ends
+            from (select *, unnest(range(0, len(path) + 1)) as d from rebuilt)
+        ), nodes as (
+            select node, any_value(above) as above, any_value(d) as depth, min(conv_id) as conv_id, count(*) as n_convs, (count(*) - 1) * any_value(own) as saved,
+                   sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '')) as ends_sha256
+            from members group by node
+        ), children as (
+            select above as node, count(*) as n_children from nodes where above is not null group by above
+        ), known as (
+            select nodes.*, coalesce(n_children, 0) as n_children from nodes left join children using (node)
+        ), below as (
+            select node[1 : d] as node, sum(saved) as saved_tokens, sum((n_children = 0)::int) as n_leaves
+            from (select node, saved, n_children, unnest(range(0, depth + 1)) as d from known) group by node[1 : d]
+        )
+        select k.conv_id, k.depth, up.conv_id as parent_conv_id, k.n_convs, k.n_children, cast(n_leaves as bigint) as n_leaves, cast(saved_tokens as bigint) as saved_tokens, k.ends_sha256
+        from known k join below using (node) left join nodes up on up.node = k.above
+    """,
 }
