@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, neighbours, packing, prefixtrie, quality, substring, suffix, toxicity, warc
+from . import bpe, langid, minhash, neighbours, packing, prefixtrie, quality, substring, suffix, toxicity, vectorcodes, warc
 
 #: Which public vocabulary the tokenising queries use; its place is asked for on every machine.
 VOCABULARY = "byte_bpe_50k.json"
@@ -73,6 +73,10 @@ def op12_prefixtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.rebuilt_nodes(spark, _table(spark, sf_dir, "conversations"))
 
 
+def op13_vectorcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.codes(spark, _table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_toxicity": op2_toxicity,
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_suffix": op10_suffix,
     "op12_prefixtrie": op12_prefixtrie,
+    "op13_vectorcodes": op13_vectorcodes,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -203,4 +208,43 @@ ORACLE_SQL: dict[str, str] = {
         select k.conv_id, k.depth, up.conv_id as parent_conv_id, k.n_convs, k.n_children, cast(n_leaves as bigint) as n_leaves, cast(saved_tokens as bigint) as saved_tokens, k.ends_sha256
         from known k join below using (node) left join nodes up on up.node = k.above
     """,
+    "op13_vectorcodes": """
+        with kept as materialized (
+            select row_number() over (order by vec_id nulls last) - 1 as r, vec_id, label, list_transform(embedding, lambda x: cast(floor(256 * x::double) as bigint)) as v
+            from embeddings where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), parts as materialized (
+            select r, p, v[1 + p * len(v) // 16 : (p + 1) * len(v) // 16] as x from (select r, v, unnest(range(0, 16)) as p from kept)
+        ), book0 as materialized (
+            select p, r as i, x from parts where r < 64
+        ), codes1 as materialized (
+            select r, p, x, min(dist * 64 + i) as best
+            from (select r, parts.p, parts.x, i, cast(list_sum(list_transform(range(1, len(parts.x) + 1), lambda j: (parts.x[j] - book0.x[j]) * (parts.x[j] - book0.x[j]))) as bigint) as dist
+                  from parts join book0 on book0.p = parts.p) group by r, p, x
+        ), book1 as materialized (
+            select book0.p, book0.i, coalesce(f.x, book0.x) as x
+            from book0 left join (
+                select p, i, list((s - ((s % n) + n) % n) // n order by j) as x
+                from (select p, best % 64 as i, j, cast(sum(x[j]) as bigint) as s, count(*) as n from (select *, unnest(range(1, len(x) + 1)) as j from codes1) group by p, best % 64, j)
+                group by p, i) f on f.p = book0.p and f.i = book0.i
+        ), codes2 as materialized (
+            select r, p, x, min(dist * 64 + i) as best
+            from (select r, parts.p, parts.x, i, cast(list_sum(list_transform(range(1, len(parts.x) + 1), lambda j: (parts.x[j] - book1.x[j]) * (parts.x[j] - book1.x[j]))) as bigint) as dist
+                  from parts join book1 on book1.p = parts.p) group by r, p, x
+        ), book2 as materialized (
+            select book1.p, book1.i, coalesce(f.x, book1.x) as x
+            from book1 left join (
+                select p, i, list((s - ((s % n) + n) % n) // n order by j) as x
+                from (select p, best % 64 as i, j, cast(sum(x[j]) as bigint) as s, count(*) as n from (select *, unnest(range(1, len(x) + 1)) as j from codes2) group by p, best % 64, j)
+                group by p, i) f on f.p = book1.p and f.i = book1.i
+        ), codes3 as materialized (
+            select r, p, x, min(dist * 64 + i) as best
+            from (select r, parts.p, parts.x, i, cast(list_sum(list_transform(range(1, len(parts.x) + 1), lambda j: (parts.x[j] - book2.x[j]) * (parts.x[j] - book2.x[j]))) as bigint) as dist
+                  from parts join book2 on book2.p = parts.p) group by r, p, x
+        ), coded as (
+            select r, string_agg(printf('%02x', best % 64), '' order by p) as code, cast(sum(best // 64) as bigint) as error from codes3 group by r
+        )
+        select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+               (select sha256(string_agg(x[j]::varchar, ',' order by p, i, j)) from (select *, unnest(range(1, len(x) + 1)) as j from book2)) as codebooks_sha256
+        from kept join coded using (r)
+    """,
 }
