@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, neighbours, packing, prefixtrie, quality, substring, suffix, toxicity, vectorcodes, warc
+from . import bpe, langid, minhash, neighbours, packing, partitions, prefixtrie, quality, substring, suffix, toxicity, vectorcodes, warc
 
 #: Which public vocabulary the tokenising queries use; its place is asked for on every machine.
 VOCABULARY = "byte_bpe_50k.json"
@@ -69,6 +69,10 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest_rows(suffix.remove_repeats(spark, _table(spark, sf_dir, "documents"), keep="none"), text=True)
 
 
+def op11_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partitions.search(spark, _table(spark, sf_dir, "embeddings"))
+
+
 def op12_prefixtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.rebuilt_nodes(spark, _table(spark, sf_dir, "conversations"))
 
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
     "op10_suffix": op10_suffix,
+    "op11_partitions": op11_partitions,
     "op12_prefixtrie": op12_prefixtrie,
     "op13_vectorcodes": op13_vectorcodes,
 }
