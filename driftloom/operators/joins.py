@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -74,23 +74,36 @@ def resolve_unique(records: DataFrame, lookups: list[tuple[str, DataFrame, str]]
     return out.select("record_id", status.alias("status"), F.when(F.col("hits") == 1, F.col("sequence")).alias("sequence"))
 
 
-def complete_join(left: DataFrame, right: DataFrame, keys: list[str], value: str, validate: str = "many_to_one") -> DataFrame:
-    """A left join that fails when a row has no partner; ``value`` is a column of the right side that is never null."""
-    require_columns(right, *keys, value)
-    rows = checked_join(left, right, keys, "left", validate)
-    return rows.withColumn(value, F.when(F.col(value).isNull(), F.raise_error("a row has no partner").cast(dict(rows.dtypes)[value])).otherwise(F.col(value)))
+def _held(rows: DataFrame, condition: Column, message: str) -> DataFrame:
+    """The rows, with an error if one doesn't hold: a filter on all of them, which no choice of columns takes out."""
+    return rows.where(F.assert_true(condition, message).isNull())
+
+
+def complete_join(left: DataFrame, right: DataFrame, keys: list[str], value: str | None = None, validate: str = "many_to_one", at_once: bool = False) -> DataFrame:
+    """A left join that fails when a row has no partner, or with ``value`` one whose value is null.
+
+    The check is a filter, so counts and single columns are checked too; rows that a later filter leaves
+    out need not be. With ``at_once`` an anti-join checks all rows before anything is returned.
+    """
+    require_columns(right, *keys, *([value] if value else []))
+    if at_once and not left.join(right.where(F.col(value).isNotNull()) if value else right, keys, "left_anti").isEmpty():
+        raise ValueError("a row has no partner")
+    rows = checked_join(left, right.withColumn("__met", F.lit(True)), keys, "left", validate)
+    met = F.col("__met").isNotNull()
+    return _held(rows, met & F.col(value).isNotNull() if value else met, "a row has no partner").drop("__met")
 
 
 def agreeing_join(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Partners by ``keys`` whose ``columns`` must be equal on both sides, else an error; rows without a partner are an error too."""
-    marked = right.select(*keys, *[F.col(c).alias(f"right_{c}") for c in columns], *[c for c in right.columns if c not in {*keys, *columns}], F.lit(True).alias("met"))
+    """Partners by ``keys`` whose ``columns`` must be equal on both sides, else an error; rows without a partner are an error too.
+
+    The check is a filter, as in ``complete_join``.
+    """
+    marked = right.select(*keys, *[F.col(c).alias(f"__right_{c}") for c in columns], *[c for c in right.columns if c not in {*keys, *columns}], F.lit(True).alias("__met"))
     rows = checked_join(left, marked, keys, "left", "one_to_one")
-    same = F.col("met").isNotNull()
+    same = F.col("__met").isNotNull()
     for c in columns:
-        same = same & F.col(c).eqNullSafe(F.col(f"right_{c}"))
-    first = columns[0]
-    checked = F.when(same, F.col(first)).otherwise(F.raise_error("two tables disagree about a row").cast(dict(rows.dtypes)[first]))
-    return rows.withColumn(first, checked).drop("met", *[f"right_{c}" for c in columns])
+        same = same & F.col(c).eqNullSafe(F.col(f"__right_{c}"))
+    return _held(rows, same, "two tables disagree about a row").drop("__met", *[f"__right_{c}" for c in columns])
 
 
 def occurrences(rows: DataFrame, key: str) -> DataFrame:

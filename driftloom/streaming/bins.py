@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from ..sources.store import ScoreStore
+
 
 def stream_bins(records: DataFrame, time: str, branch: str, first: date, days: int = 14, late: str = "2 days", key: str | None = None) -> DataFrame:
     """Counts of each tumbling bin and branch of a stream; bins are those of the batch plan from ``first``.
@@ -23,10 +25,10 @@ def stream_bins(records: DataFrame, time: str, branch: str, first: date, days: i
     return counts.select(F.to_date("w.start").alias("bin_start"), "branch", "n")
 
 
-def ingest_scores(scores: DataFrame, path: str, key: str) -> DataStreamWriter:
-    """Write each micro-batch over the partitions of ``key`` that it has, so that a repeated batch changes nothing."""
+def ingest_scores(scores: DataFrame, store: ScoreStore) -> DataStreamWriter:
+    """Merge each micro-batch into a score table by key: a repeated batch changes nothing, and no other key is touched."""
 
     def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+        store.upsert(batch)
 
     return scores.writeStream.foreachBatch(put)
