@@ -74,7 +74,7 @@ def resolve_unique(records: DataFrame, lookups: list[tuple[str, DataFrame, str]]
     return out.select("record_id", status.alias("status"), F.when(F.col("hits") == 1, F.col("sequence")).alias("sequence"))
 
 
-def _held(rows: DataFrame, condition: Column, message: str) -> DataFrame:
+def held(rows: DataFrame, condition: Column, message: str) -> DataFrame:
     """The rows, with an error if one doesn't hold: a filter on all of them, which no choice of columns takes out."""
     return rows.where(F.assert_true(condition, message).isNull())
 
@@ -90,7 +90,7 @@ def complete_join(left: DataFrame, right: DataFrame, keys: list[str], value: str
         raise ValueError("a row has no partner")
     rows = checked_join(left, right.withColumn("__met", F.lit(True)), keys, "left", validate)
     met = F.col("__met").isNotNull()
-    return _held(rows, met & F.col(value).isNotNull() if value else met, "a row has no partner").drop("__met")
+    return held(rows, met & F.col(value).isNotNull() if value else met, "a row has no partner").drop("__met")
 
 
 def agreeing_join(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -103,7 +103,7 @@ def agreeing_join(left: DataFrame, right: DataFrame, keys: list[str], columns: l
     same = F.col("__met").isNotNull()
     for c in columns:
         same = same & F.col(c).eqNullSafe(F.col(f"__right_{c}"))
-    return _held(rows, same, "two tables disagree about a row").drop("__met", *[f"__right_{c}" for c in columns])
+    return held(rows, same, "two tables disagree about a row").drop("__met", *[f"__right_{c}" for c in columns])
 
 
 def occurrences(rows: DataFrame, key: str) -> DataFrame:

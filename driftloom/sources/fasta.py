@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequences import hash_owner, upper
+from ..operators.joins import held
+from .lines import numbered
 
 # The fields of an isolate's header.
 ISOLATE_FIELDS = (
@@ -14,39 +16,37 @@ ISOLATE_FIELDS = (
 )
 
 
-def read_fasta(spark: SparkSession, path: str, on_orphan: str = "error", on_empty: str = "keep", id_only: bool = False) -> DataFrame:
+def _records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Text from one header to the next; what stands before the first header of a file has no number."""
+    return numbered(spark, path, "\n>", skip_first=~F.col("value").rlike("^\ufeff?\\s*>"))
+
+
+def read_fasta(spark: SparkSession, path: str | list[str], on_orphan: str = "error", on_empty: str = "keep", id_only: bool = False) -> DataFrame:
     """``record_index``, ``header`` and ``sequence`` of the records of one or more files.
 
     Files are split at line starts with ``>``, so a record is one row however it is wrapped, and large
     files are read by many tasks. Blank lines and white space inside sequences go, letters are made
     upper case, a byte-order mark is ignored. Sequence lines before the first header are an error or
-    dropped; records without sequence are kept, dropped or an error. ``record_index`` counts up in
-    file order and leaves gaps between tasks. With ``id_only`` the header ends at its first blank.
+    dropped; records without sequence are kept, dropped or an error. ``record_index`` is 0 to the number
+    of records less one, by path and place, at any split size; a dropped empty record keeps its number.
+    With ``id_only`` the header ends at its first blank.
     """
     if on_orphan not in ("error", "drop") or on_empty not in ("error", "keep", "drop"):
         raise ValueError("on_orphan is error or drop, on_empty is error, keep or drop")
-    rows = spark.read.option("lineSep", "\n>").text(path)
-    rows = rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("record_index"))
-    # a row for each file: where its first record is
-    firsts = rows.where("block = 0").groupBy("file").agg(F.min("record_index").alias("record_index")).select("record_index", F.lit(True).alias("first"))
-    text = F.regexp_replace(F.regexp_replace(F.col("value"), "^\ufeff", ""), "\r", "")
-    rows = rows.join(firsts, "record_index", "left").select("record_index", text.alias("text"), F.coalesce("first", F.lit(False)).alias("first"))
-    marked = F.when(F.col("first"), F.regexp_extract("text", r"(?s)^\s*>(.*)$", 1)).otherwise(F.col("text"))
-    orphan = F.col("first") & ~F.col("text").rlike(r"(?s)^\s*(>.*)?$")
+    rows = _records(spark, path)
     if on_orphan == "error":
-        rows = rows.withColumn("text", F.when(orphan, F.raise_error("a sequence line stands before the first header").cast("string")).otherwise(F.col("text")))
-    rows = rows.where(~orphan & ~(F.col("first") & (F.trim("text") == ""))).withColumn("record", marked)
+        rows = held(rows, F.col("number").isNotNull() | F.col("value").rlike("^\ufeff?\\s*$"), "a sequence line stands before the first header")
+    text = F.regexp_replace(F.col("value"), "\r", "")
+    record = F.when(F.col("first"), F.regexp_replace(text, "^\ufeff?\\s*>", "")).otherwise(text)
+    rows = rows.where("number is not null").select(F.col("number").alias("record_index"), record.alias("record"))
     header = F.trim(F.substring_index("record", "\n", 1))
     body = F.when(F.instr("record", "\n") > 0, F.substring(F.col("record"), F.instr("record", "\n") + 1, F.length("record"))).otherwise("")
-    sequence = upper(F.regexp_replace(body, r"\s+", ""))
     if id_only:
         header = F.coalesce(F.nullif(F.regexp_extract(header, r"^(\S+)", 1), F.lit("")), F.concat(F.lit("sequence_"), F.col("record_index").cast("string")))
-    out = rows.select("record_index", header.alias("header"), sequence.alias("sequence"))
+    out = rows.select("record_index", header.alias("header"), upper(F.regexp_replace(body, r"\s+", "")).alias("sequence"))
     if on_empty == "drop":
         return out.where("sequence <> ''")
-    if on_empty == "error":
-        return out.withColumn("sequence", F.when(F.col("sequence") == "", F.raise_error("a record has no sequence").cast("string")).otherwise(F.col("sequence")))
-    return out
+    return held(out, F.col("sequence") != "", "a record has no sequence") if on_empty == "error" else out
 
 
 def isolate_headers(records: DataFrame) -> DataFrame:
@@ -57,13 +57,20 @@ def isolate_headers(records: DataFrame) -> DataFrame:
     return rows.withColumn("collection_date", F.try_to_date("collection_date", "yyyy-MM-dd"))
 
 
-def read_two_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``header`` and ``sequence`` of files that strictly have a header line and one sequence line by turns; anything else is an error."""
-    rows = spark.read.option("lineSep", "\n>").text(path)
-    body = F.regexp_replace(F.regexp_replace("value", "^>", ""), "\n$", "")
-    cut = F.split(body, "\n")
-    checked = F.when((F.size(cut) == 2) & ~F.get(cut, 1).startswith(">"), cut).otherwise(F.raise_error("a record has not one header and one sequence line").cast("array<string>"))
-    return rows.select(checked.alias("f")).select(F.col("f")[0].alias("header"), F.col("f")[1].alias("sequence"))
+def read_two_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``record_index``, ``header`` and ``sequence`` of files that strictly have a header line and one sequence line by turns.
+
+    Anything else is an error: a first line without ``>``, a second sequence line, a blank line, a header
+    without a line after it. Lines may end with CR and LF; a sequence line may be empty.
+    """
+    rows = _records(spark, path)
+    text = F.regexp_replace(F.regexp_replace("value", "\r\n", "\n"), "\r$", "")
+    text = F.when(F.col("first"), F.regexp_replace(text, "^>", "")).otherwise(text)
+    # the last record has the line end that parts the others
+    cut = F.split(F.when(F.col("last"), F.regexp_replace(text, "\n\\z", "")).otherwise(text), "\n")
+    right = F.col("number").isNotNull() & (~F.col("first") | F.col("value").startswith(">"))
+    rows = held(rows.select("number", cut.alias("cut"), right.alias("right")), F.col("right") & (F.size("cut") == 2), "a record has not one header and one sequence line")
+    return rows.select(F.col("number").alias("record_index"), F.col("cut")[0].alias("header"), F.col("cut")[1].alias("sequence"))
 
 
 def lookup(records: DataFrame, wanted: DataFrame) -> DataFrame:

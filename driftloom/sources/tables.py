@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import json
 import math
-import sqlite3
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.labels import branch_label, first_date
 from ..operators.joins import require_columns
+from .lines import numbered
 
 BRANCH_COLUMNS = {"subclade": "subclade", "clade": "clade", "legacy": "legacy-clade"}
 
@@ -35,23 +34,10 @@ def read_annotations(spark: SparkSession, path: str, mode: str = "nextclade", re
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of all tables under a path with their file and place: ``line`` 0 is the header of a file read by one task."""
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.tsv").text(path, wholetext=True)
-    text = F.regexp_replace(F.regexp_replace("value", "^﻿", ""), "\r", "")
-    return rows.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.regexp_replace(text, "\n$", ""), "\n")).alias("line", "value"))
-
-
-def import_sqlite(spark: SparkSession, database: str, query: str, schema: T.StructType | str, path: str, batch: int = 100_000) -> DataFrame:
-    """Rows of a query on a SQLite file, written as Parquet in batches and read back: the file is a local, one-time import."""
-    with sqlite3.connect(f"file:{database}?mode=ro", uri=True) as db:
-        cursor = db.execute(query)
-        mode = "overwrite"
-        while rows := cursor.fetchmany(batch):
-            spark.createDataFrame(rows, schema).write.mode(mode).parquet(path)
-            mode = "append"
-        if mode == "overwrite":
-            spark.createDataFrame([], schema).write.mode(mode).parquet(path)
-    return spark.read.parquet(path)
+    """Lines of all tables under a path with their file and place: ``line`` 0 is the header of a file, read by many tasks."""
+    rows = numbered(spark, path, glob="*.tsv")
+    text = F.when(F.col("line") == 0, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value"))
+    return rows.select("file", "line", text.alias("value"))
 
 
 def read_columns(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
