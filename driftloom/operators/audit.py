@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import error_class, label_status
 from ..functions.simplex import over
+from .quantiles import quantiles
 
 
 def long_statuses(rows: DataFrame, fields: list[str]) -> DataFrame:
@@ -34,9 +35,10 @@ def top_values(rows: DataFrame, fields: list[str], k: int = 20) -> DataFrame:
 
 def metric_summary(rows: DataFrame, field: str, metric: str) -> DataFrame:
     """Count, median and mean of a metric by status, to 6 digits."""
-    return rows.groupBy(label_status(F.col(field)).alias("status")).agg(
-        F.count(metric).alias("n"), F.round(F.expr(f"percentile({metric}, 0.5)"), 6).alias("median"), F.round(F.avg(metric), 6).alias("mean")
-    )
+    own = rows.select(label_status(F.col(field)).alias("status"), F.col(metric).alias("value"))
+    sums = own.groupBy("status").agg(F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    found = quantiles(own, ["status"], "value", {"median": 0.5}).select("status", F.round("median", 6).alias("median"))
+    return sums.join(found, "status", "left").select("status", "n", "median", "mean")
 
 
 def lineages(rows: DataFrame, value: str, field: str, k: int = 20) -> DataFrame:

@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.simplex import over
+from ..sources.shared import folder
+from .quantiles import quantiles
 
 
 class Scorer(Protocol):
@@ -70,16 +71,18 @@ def by_year_and_clade(rows: DataFrame) -> DataFrame:
 def ranked(rows: DataFrame, key: str, value: str, last: str) -> DataFrame:
     """Every row with its ``rank`` in ``key`` by falling ``value``, then ``last``, the unique key.
 
-    Rows are sorted in ranges, numbered inside them, and moved by the counts of the ranges before, so
-    that no key is sorted in one task.
+    Rows are written in sorted ranges, numbered inside them, and moved by the counts of the ranges before,
+    so that no key is sorted in one task.
     """
-    order = [F.col(key), F.desc(value), F.col(last)]
-    sorted_ = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    spark, order = rows.sparkSession, [F.col(key), F.desc(value), F.col(last)]
+    sorted_, path = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), folder(rows.sparkSession, "ranked")
+    sorted_.write.parquet(path)
+    sorted_ = spark.read.schema(sorted_.schema).parquet(path)
     before = F.sum("n").over(Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     # a row for each range and key, at most the ranges and keys together
     counts = sorted_.groupBy(key, "part").agg(F.count("*").alias("n")).select(F.col(key).alias("k"), F.col("part").alias("at"), F.coalesce(before, F.lit(0)).alias("before"))
     own = F.row_number().over(Window.partitionBy("part", key).orderBy(F.desc(value), last))
-    numbered = sorted_.withColumn("own", own).join(F.broadcast(counts), F.col(key).eqNullSafe(F.col("k")) & (F.col("part") == F.col("at")))
+    numbered = sorted_.withColumn("own", own).join(counts, F.col(key).eqNullSafe(F.col("k")) & (F.col("part") == F.col("at")))
     return numbered.withColumn("rank", F.col("own") + F.col("before")).drop("part", "own", "k", "at", "before")
 
 
@@ -150,9 +153,9 @@ def coverage(rows: DataFrame, wanted: DataFrame, value: str) -> DataFrame:
     ``wanted`` has window_id and ``instances``; cutoffs that it lacks are left out.
     """
     sums = rows.groupBy("window_id").agg(
-        F.count("*").alias("summaries"), F.countDistinct("query_id").alias("queries"), F.min("panel_size").alias("panel_size"), F.avg(value).alias("mean"),
-        F.expr(f"percentile({value}, 0.1)").alias("p10"), F.expr(f"percentile({value}, 0.9)").alias("p90"), F.max("scored_at").alias("scored_at"),
-    )
+        F.count("*").alias("summaries"), F.countDistinct("query_id").alias("queries"), F.min("panel_size").alias("panel_size"), F.avg(value).alias("mean"), F.max("scored_at").alias("scored_at")
+    )
+    sums = sums.join(quantiles(rows, ["window_id"], value, {"p10": 0.1, "p90": 0.9}).drop("n"), "window_id", "left")
     return sums.join(wanted, "window_id").withColumn("complete", F.col("summaries") == F.col("instances"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.simplex import over
+from .quantiles import quantiles
 
 
 def _in_range(rows: DataFrame, spans: DataFrame, first: str, last: str) -> DataFrame:
@@ -26,9 +27,9 @@ def score_signal(records: DataFrame, spans: DataFrame, least: int = 10) -> DataF
     """
     before = branch_counts(records, spans, "recent_start", "recent_end", "previous_count")
     after = branch_counts(records, spans, "target_start", "target_end", "next_count")
-    stats = _in_range(records.where("score is not null"), spans, "recent_start", "recent_end").groupBy("window_id", "branch").agg(
-        F.count("score").alias("scored"), F.avg("score").alias("mean_score"), F.expr("percentile(score, 0.5)").alias("median_score"), F.max("score").alias("max_score")
-    )
+    own = _in_range(records.where("score is not null"), spans, "recent_start", "recent_end")
+    stats = own.groupBy("window_id", "branch").agg(F.count("score").alias("scored"), F.avg("score").alias("mean_score"), F.max("score").alias("max_score"))
+    stats = stats.join(quantiles(own, ["window_id", "branch"], "score", {"median_score": 0.5}).drop("n"), ["window_id", "branch"], "left")
     rows = before.join(after, ["window_id", "branch"], "full_outer").join(stats, ["window_id", "branch"], "full_outer")
     rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("previous_count", "next_count")})
     part = over("window_id")
@@ -53,7 +54,8 @@ def distance_signal(scored: DataFrame, records: DataFrame, spans: DataFrame, lea
     if baseline not in ("annual", "recent"):
         raise ValueError("baseline is 'annual' or 'recent'")
     recent = _in_range(scored, spans, "recent_start", "recent_end")
-    stats = recent.groupBy("window_id", "branch").agg(F.count("distance").alias("scored"), F.avg("distance").alias("mean_distance"), F.expr("percentile(distance, 0.5)").alias("median_distance"))
+    stats = recent.groupBy("window_id", "branch").agg(F.count("distance").alias("scored"), F.avg("distance").alias("mean_distance"))
+    stats = stats.join(quantiles(recent, ["window_id", "branch"], "distance", {"median_distance": 0.5}).drop("n"), ["window_id", "branch"], "left")
     whole = _in_range(scored, spans, f"{baseline}_start", f"{baseline}_end").groupBy("window_id").agg(F.avg("distance").alias("overall"))
     earlier = _in_range(scored, spans, "previous_half_start", "previous_half_end").groupBy("window_id").agg(F.avg("distance").alias("earlier"))
     after = branch_counts(records, spans, "target_start", "target_end", "next_count")

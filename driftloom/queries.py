@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions import labels, sequences
 from .functions.simplex import over
 from .operators import audit, fits, joins, panels, scores, sequence_tables, signals
+from .operators.quantiles import quantiles
 from .plans import evaluate, forecast, standins, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -275,8 +276,10 @@ def score_summary_by_year_clade(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score_by_date_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = standins.coarse(spark, sf_dir)
     index = windows.bin_index(F.col("collection_date"), F.lit(ORIGIN))
-    stats = rows.groupBy(index.alias("bin")).agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.expr("percentile(score, array(0.1, 0.5, 0.9))").alias("q"))
-    return _rounded(stats.select("bin", "n", "mean", F.col("q")[0].alias("q10"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q90")), 4)
+    binned = rows.withColumn("bin", index)
+    means = binned.groupBy("bin").agg(F.count("*").alias("n"), F.avg("score").alias("mean"))
+    found = quantiles(binned, ["bin"], "score", {"q10": 0.1, "median": 0.5, "q90": 0.9}).drop("n")
+    return _rounded(means.join(found, "bin"), 4)
 
 
 def branch_signal_window(spark: SparkSession, sf_dir: str) -> DataFrame:
