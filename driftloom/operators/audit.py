@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.labels import error_class, label_status
+from ..functions.labels import error_class, label_status, stripped
 from ..functions.simplex import over
 from .quantiles import quantiles
 
 
 def long_statuses(rows: DataFrame, fields: list[str]) -> DataFrame:
     """A row for each field of each record: field, value, status."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.trim(F.coalesce(F.col(c), F.lit(""))).alias("value"), label_status(F.col(c)).alias("status")) for c in fields]))
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), stripped(F.coalesce(F.col(c), F.lit(""))).alias("value"), label_status(F.col(c)).alias("status")) for c in fields]))
     return rows.select(pairs.alias("p")).select("p.*")
 
 
