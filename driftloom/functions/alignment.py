@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,43 +11,75 @@ from pyspark.sql import functions as F
 MATCH, MISMATCH, OPEN, EXTEND = 2, -1, -5, -1
 
 
-def aligned(sequence: str, reference: str) -> str:
-    """The letters of ``sequence`` at the places of ``reference``, ``-`` where a gap stands.
+#: Cells of all tables that are filled at once, and the value of a state that can't be reached.
+CELLS = 1 << 24
+_LOST = -(1 << 28)
+_PAIR, _EXTRA, _GAP = 0, 1, 2
+
+
+def _first_best(options: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The largest values, and the name of the first option that has them."""
+    best, name = options[0][1].copy(), np.full(options[0][1].shape, options[0][0], np.uint8)
+    for other, values in options[1:]:
+        better = values > best
+        best[better], name[better] = values[better], other
+    return best, name
+
 
-    The best global alignment with affine gaps; among equal ones a pair goes before a letter left out of
-    the sequence, and that before a gap in it, seen from the end.
+def aligned_batch(sequences: list[str], reference: str) -> list[str]:
+    """The letters of each sequence at the places of ``reference``, ``-`` where a gap stands.
+
+    The best global alignments with affine gaps; among equal ones a pair goes before a letter left out of
+    the sequence, and that before a gap in it, seen from the end. A cell needs only the two diagonals
+    before its own, so the same diagonal of all sequences is filled at once, and all are traced at once.
     """
-    lost = float("-inf")
-    n, m = len(reference), len(sequence)
-    # best score of the first i and j letters that ends in a pair, in a gap of the sequence, or of the reference
-    pair = [[lost] * (m + 1) for _ in range(n + 1)]
-    gap = [[lost] * (m + 1) for _ in range(n + 1)]
-    extra = [[lost] * (m + 1) for _ in range(n + 1)]
-    pair[0][0] = 0
-    for i in range(n + 1):
-        for j in range(m + 1):
-            if i and j:
-                pair[i][j] = max(pair[i - 1][j - 1], gap[i - 1][j - 1], extra[i - 1][j - 1]) + (MATCH if reference[i - 1] == sequence[j - 1] else MISMATCH)
-            if i:
-                gap[i][j] = max(pair[i - 1][j] + OPEN, extra[i - 1][j] + OPEN, gap[i - 1][j] + EXTEND)
-            if j:
-                extra[i][j] = max(pair[i][j - 1] + OPEN, gap[i][j - 1] + OPEN, extra[i][j - 1] + EXTEND)
-    out = ["-"] * n
-    i, j = n, m
-    at = max((pair, extra, gap), key=lambda t: t[n][m])
-    while i or j:
-        score = at[i][j]
-        if at is pair:
-            out[i - 1] = sequence[j - 1]
-            i, j = i - 1, j - 1
-            at = max((pair, extra, gap), key=lambda t: t[i][j])
-        elif at is gap:
-            i -= 1
-            at = next((t for t, cost in ((pair, OPEN), (extra, OPEN), (gap, EXTEND)) if t[i][j] + cost == score), gap)
-        else:
-            j -= 1
-            at = next((t for t, cost in ((pair, OPEN), (gap, OPEN), (extra, EXTEND)) if t[i][j] + cost == score), extra)
-    return "".join(out)
+    sizes = np.array([len(s) for s in sequences])
+    n, m, count = len(reference), int(sizes.max(initial=0)), len(sequences)
+    letters = np.zeros((count, m + 1), np.int32)
+    for k, s in enumerate(sequences):
+        letters[k, : len(s)] = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<i4")
+    target = np.frombuffer(reference.encode("utf-32-le", "surrogatepass"), "<i4")
+    lost = lambda: np.full((count, n + 1), _LOST, np.int32)
+    # states of a diagonal by the place in the reference: a pair, a letter left out, a gap
+    older, old = [lost() for _ in range(3)], [lost() for _ in range(3)]
+    old[_PAIR][:, 0] = 0
+    ways = np.zeros((n + m + 1, 3, count, n + 1), np.uint8)
+    ends = np.full((3, count), _LOST, np.int32)
+    for d in range(n + m + 1):
+        if d:
+            now = [lost() for _ in range(3)]
+            low, high = max(0, d - m), min(n, d)
+            i = np.arange(max(low, 1), min(high, d - 1) + 1)  # cells with a letter of both
+            if len(i):
+                best, ways[d, _PAIR][:, i] = _first_best([(s, older[s][:, i - 1]) for s in (_PAIR, _EXTRA, _GAP)])
+                now[_PAIR][:, i] = best + np.where(target[i - 1] == letters[:, d - i - 1], MATCH, MISMATCH)
+            i = np.arange(low, min(high, d - 1) + 1)  # a letter of the sequence is left out
+            if len(i):
+                now[_EXTRA][:, i], ways[d, _EXTRA][:, i] = _first_best([(_PAIR, old[_PAIR][:, i] + OPEN), (_GAP, old[_GAP][:, i] + OPEN), (_EXTRA, old[_EXTRA][:, i] + EXTEND)])
+            i = np.arange(max(low, 1), high + 1)  # a gap in the sequence
+            if len(i):
+                now[_GAP][:, i], ways[d, _GAP][:, i] = _first_best([(_PAIR, old[_PAIR][:, i - 1] + OPEN), (_EXTRA, old[_EXTRA][:, i - 1] + OPEN), (_GAP, old[_GAP][:, i - 1] + EXTEND)])
+            older, old = old, now
+        done = np.flatnonzero(sizes + n == d)
+        for s in range(3):
+            ends[s, done] = old[s][done, n]
+    out = np.full((count, n), ord("-"), np.int32)
+    i, j = np.full(count, n), sizes.copy()
+    state = _first_best([(s, ends[s]) for s in (_PAIR, _EXTRA, _GAP)])[1]
+    live = np.arange(count)
+    while len(live := live[(i[live] > 0) | (j[live] > 0)]):
+        now = state[live]
+        state[live] = ways[i[live] + j[live], now, live, i[live]]
+        paired = live[now == _PAIR]
+        out[paired, i[paired] - 1] = letters[paired, j[paired] - 1]
+        i[live] -= now != _EXTRA
+        j[live] -= now != _GAP
+    return [row.tobytes().decode("utf-32-le", "surrogatepass") for row in out]
+
+
+def aligned(sequence: str, reference: str) -> str:
+    """One sequence, as ``aligned_batch`` aligns it."""
+    return aligned_batch([sequence], reference)[0]
 
 
 def project(rows: DataFrame, reference: str) -> DataFrame:
@@ -54,6 +87,16 @@ def project(rows: DataFrame, reference: str) -> DataFrame:
 
     @F.pandas_udf("string")
     def onto(sequences: pd.Series) -> pd.Series:
-        return sequences.map(lambda s: aligned(s, reference))
+        out = np.empty(len(sequences), object)
+        # sequences of near lengths together, as many as CELLS allows
+        order = np.argsort(sequences.str.len().to_numpy(), kind="stable")
+        at = 0
+        while at < len(order):
+            longest = len(sequences.iloc[order[min(at + 511, len(order) - 1)]])
+            step = int(np.clip(CELLS // (3 * (len(reference) + 1) * (len(reference) + longest + 1)), 1, 512))
+            own = order[at : at + step]
+            out[own] = aligned_batch([sequences.iloc[k] for k in own], reference)
+            at += step
+        return pd.Series(out)
 
     return rows.select("sequence").where("sequence is not null").distinct().withColumn("projected", onto("sequence"))
