@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequences import upper
+from .strains import position_counts
 
 
 def keep_first(records: DataFrame) -> DataFrame:
@@ -32,16 +33,15 @@ def duplicate_groups(records: DataFrame) -> DataFrame:
 
 def consensus(sequences: DataFrame, group: str, gap: str = "-") -> DataFrame:
     """The most frequent letter of every position of each group, gaps left out, ties by letter."""
-    letters = sequences.select(group, F.posexplode(F.split("sequence", "")).alias("pos", "letter")).where(F.col("letter") != gap)
-    counts = letters.groupBy(group, "pos", "letter").agg(F.count("*").alias("n"))
+    counts = position_counts(sequences, [group], "sequence").where(F.col("letter") != gap)
     best = counts.groupBy(group, "pos").agg(F.min_by("letter", F.struct(-F.col("n"), F.col("letter"))).alias("letter"))
     return best.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "letter"))), lambda x: x["letter"]), "").alias("consensus"))
 
 
 def diversity(sequences: DataFrame) -> DataFrame:
     """Different letters at every position, and whether it never changes."""
-    letters = sequences.select(F.posexplode(F.split("sequence", "")).alias("pos", "letter"))
-    return letters.groupBy("pos").agg(F.countDistinct("letter").alias("letters"), F.count("*").alias("n")).withColumn("unchanged", F.col("letters") == 1)
+    counts = position_counts(sequences, [], "sequence")
+    return counts.groupBy("pos").agg(F.count("*").alias("letters"), F.sum("n").alias("n")).withColumn("unchanged", F.col("letters") == 1)
 
 
 def nucleotide_like(records: DataFrame, first: int = 100, share: float = 0.97) -> DataFrame:

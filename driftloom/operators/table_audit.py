@@ -18,13 +18,13 @@ BLANK = "<blank>"
 TOP = 20
 
 
-def counters(spark: SparkSession, path: str) -> DataFrame:
+def counters(spark: SparkSession, path: str, glob: str = "*.tsv") -> DataFrame:
     """``file``, ``section``, ``field``, ``value``, ``status`` and ``n``, from one aggregate over the lines of all tables under ``path``.
 
     Every line gives an entry for each section that it counts in; a name is an entry too, so repeated
     names come out of the same aggregate. Empty lines don't count; quoted cells may hold tabs, not line ends.
     """
-    lines = read_lines(spark, path).where("value <> ''").select("file", "line", cells(F.col("value")).alias("cells"))
+    lines = read_lines(spark, path, glob).where("value <> ''").select("file", "line", cells(F.col("value")).alias("cells"))
     # a row for each file
     names = lines.where("line = 0").select("file", F.col("cells").alias("names"))
     rows = lines.where("line > 0").join(names, "file")

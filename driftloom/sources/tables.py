@@ -33,9 +33,9 @@ def read_annotations(spark: SparkSession, path: str, mode: str = "nextclade", re
     return rows.withColumns({"collection_date": first_date(F.col("seqName")), "branch": branch_label(mode)})
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, glob: str = "*.tsv") -> DataFrame:
     """Lines of all tables under a path with their file and place: ``line`` 0 is the header of a file, read by many tasks."""
-    rows = numbered(spark, path, glob="*.tsv")
+    rows = numbered(spark, path, glob=glob)
     text = F.when(F.col("line") == 0, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value"))
     return rows.select("file", "line", text.alias("value"))
 
