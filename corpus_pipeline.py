@@ -44,7 +44,10 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ids = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n_rows"))
     kept = Scratch(spark, "distinct").keep(ids, "kept")
     doc_id = F.col("doc_id").cast("long")
-    own = docs.join(kept.select(F.col("doc_id").alias("__kept_id")).hint("merge"), doc_id == F.col("__kept_id"), "left_semi").unionByName(docs.where(doc_id.isNull()))
+    name = "kept_id"
+    while name in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    own = docs.join(kept.select(F.col("doc_id").alias(name)).hint("merge"), doc_id == F.col(name), "left_semi").unionByName(docs.where(doc_id.isNull()))
     if kept.where("n_rows > 1").isEmpty():
         return own
     return own.where(doc_id.isNotNull()).dropDuplicates(["doc_id", "text"]).unionByName(own.where(doc_id.isNull()))
