@@ -37,8 +37,9 @@ HASHES = 256
 MISS = 1e-6
 POSTERIOR_MISS = 1e-5
 STEP = 16
-#: Members of a bucket compared with others at once.
+#: Members of a bucket compared with others at once, and shingles of all of them, about, where sets are compared.
 BLOCK = 256
+SHINGLES = 1 << 18
 
 
 def bands_for(similarity: float, miss: float = MISS) -> int:
@@ -176,11 +177,14 @@ class Rule(NamedTuple):
 def _cells(entries: DataFrame, *columns: str) -> DataFrame:
     """Lists of the members of each two blocks of a bucket that hold different components (``i`` is the first block).
 
-    Blocks of the largest component come after the others and meet only these.
+    Blocks of the largest component come after the others and meet only these. Blocks with full sets are
+    smaller where texts are long, so that a list has a bounded size but for single texts.
     """
-    sizes = entries.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"))
-    sizes = sizes.select("bucket", F.col("main.component").alias("main"), F.ceil((F.col("all") - F.col("main.n")) / BLOCK).alias("small"), F.ceil(F.col("main.n") / BLOCK).alias("large"))
+    sizes = entries.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    sizes = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component", "w")).alias("main"), F.sum("n").alias("all"), F.sum("w").alias("all_w"))
+    blocks_of = lambda n, w: F.ceil(F.greatest(n / BLOCK, w / SHINGLES) if "shingles" in columns else n / BLOCK)
+    small = blocks_of(F.col("all") - F.col("main.n"), F.col("all_w") - F.col("main.w"))
+    sizes = sizes.select("bucket", F.col("main.component").alias("main"), small.alias("small"), blocks_of(F.col("main.n"), F.col("main.w")).alias("large"))
     own = entries.join(sizes, "bucket").withColumn("apart", F.col("component") != F.col("main"))
     block = F.when(F.col("apart"), F.pmod(F.xxhash64("id"), "small")).otherwise(F.col("small") + F.pmod(F.xxhash64("id"), "large"))
     last = F.when(F.col("apart"), F.col("small") + F.col("large")).otherwise(F.col("small")) - 1

@@ -97,5 +97,7 @@ def test_pipeline_on_a_small_folder(spark, tmp_path):
     assert names == ["language", "toxicity", "minhash", "suffix", "packing"] and corpus_pipeline.ORACLE_SQL is None
     ids = {x["doc_id"] for x in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()}
     assert ids == set(range(41))
+    named = docs.withColumns({"__kept_id": F.lit(1), "kept_id": F.lit(2), "_kept_id": F.lit(3)})
+    assert corpus_pipeline.distinct(spark, named.where(F.col("doc_id") >= 40), str(tmp_path)).columns == named.columns
     out = corpus_pipeline.distinct(spark, docs.where(F.col("doc_id") >= 40), str(tmp_path))
     assert out.columns == docs.columns and {x["doc_id"] for x in out.collect()} == {40, 42, 43}

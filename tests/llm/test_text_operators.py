@@ -62,8 +62,10 @@ def test_minhash_matches_brute_force(spark, docs):
             assert r["component_id"] == root(r["doc_id"]) and r["kept"] == (r["doc_id"] == r["component_id"])
 
 
-def test_minhash_blocks_of_large_buckets(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 3)
+@pytest.mark.parametrize(("block", "shingles"), [(3, 1 << 18), (256, 60)])
+def test_minhash_blocks_of_large_buckets(spark, monkeypatch, block, shingles):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "SHINGLES", shingles)
     base = prose(5, 300).split()
     rows = []
     for i in range(24):
