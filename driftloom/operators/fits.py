@@ -65,24 +65,66 @@ def ridge(train: np.ndarray, target: np.ndarray, test: np.ndarray, alpha: float)
     return np.column_stack([np.ones(len(test)), standardised(test, train)]) @ beta
 
 
+def _window_sums(rows: DataFrame, columns: tuple[str, ...], target: str) -> DataFrame:
+    """Of each window, over its rows without nulls: count, sums and products of the columns and the target, less their overall means."""
+    names = [*columns, target]
+    whole = F.lit(True)
+    for c in names:
+        whole = whole & F.col(c).isNotNull()
+    centres = rows.where(whole).agg(*[F.avg(c).alias(f"m_{c}") for c in names])
+    shifted = rows.crossJoin(F.broadcast(centres)).select("window_id", whole.alias("whole"), *[(F.col(c) - F.col(f"m_{c}")).alias(c) for c in names], *[f"m_{c}" for c in names])  # one row
+    sums = [F.sum(F.when(F.col("whole"), F.col(c))).alias(f"s_{c}") for c in names]
+    products = [F.sum(F.when(F.col("whole"), F.col(c) * F.col(d))).alias(f"p_{c}_{d}") for i, c in enumerate(names) for d in names[i:]]
+    return shifted.groupBy("window_id").agg(F.count_if("whole").alias("n"), *sums, *products, *[F.max(f"m_{c}").alias(f"m_{c}") for c in names])
+
+
+def ridge_fits(features: DataFrame, columns: tuple[str, ...], target: str, alpha: float = 1.0, least: int = LEAST_TRAINED) -> DataFrame:
+    """``window_id``, ``train_windows``, ``status`` and ``fit`` (intercept, then a slope for each column) of a ridge regression on all windows before.
+
+    Windows are summed up once; running sums over the windows before are all that a fit needs, so no row is
+    used twice. Columns are standardised by their training rows, the intercept has no penalty.
+    """
+    names = [*columns, target]
+    sums = _window_sums(features.select("window_id", *names), columns, target)
+    held = ["n", *[f"s_{c}" for c in names], *[f"p_{c}_{d}" for i, c in enumerate(names) for d in names[i:]]]
+    before = Window.orderBy("window_id").rowsBetween(Window.unboundedPreceding, -1)  # a row for each window
+    running = sums.select("window_id", *[F.coalesce(F.sum(c).over(before), F.lit(0)).cast("double").alias(c) for c in held], F.count("*").over(before).alias("train_windows"), *[f"m_{c}" for c in names])
+    schema = "window_id int, train_windows int, status string, fit array<double>"
+    k = len(columns)
+
+    def solved(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_dict("records"):
+                n, windows = r["n"], int(r["train_windows"])
+                if windows < least or n <= k:
+                    out.append((int(r["window_id"]), windows, "too few earlier windows", None))
+                    continue
+                mean = np.array([r[f"s_{c}"] for c in names]) / n
+                cross = np.array([[r[f"p_{min(i, j, key=names.index)}_{max(i, j, key=names.index)}"] for j in names] for i in names])
+                moments = cross / n - np.outer(mean, mean)
+                variance = np.diag(moments)[:k]
+                flat = variance <= 1e-12 * np.maximum(np.diag(cross)[:k] / n, 1e-300)
+                scale = np.where(flat, 1.0, np.sqrt(np.maximum(variance, 0)))
+                x = np.where(flat[:, None] | flat[None], 0.0, n * moments[:k, :k] / np.outer(scale, scale))
+                y = np.where(flat, 0.0, n * moments[:k, k] / scale)
+                slopes = np.linalg.solve(x + alpha * np.eye(k), y) / scale
+                centre = mean + np.array([r[f"m_{c}"] for c in names])
+                out.append((int(r["window_id"]), windows, "ok", [float(centre[k] - slopes @ centre[:k]), *slopes.tolist()]))
+            yield pd.DataFrame(out, columns=["window_id", "train_windows", "status", "fit"])
+
+    return running.mapInPandas(solved, schema)
+
+
 def ridge_share_change(features: DataFrame, alpha: float = 1.0, least: int = LEAST_TRAINED, columns: tuple[str, ...] = FEATURES) -> DataFrame:
-    """Share changes predicted from the windows before; ``status`` tells why a window has none."""
+    """Share changes predicted from the windows before; ``status`` tells why a window has none. Rows with a null column have no prediction."""
     need = ["window_id", "branch", "share_change", "current_share", "next_share", *[c for c in columns if c != "current_share"]]
-    schema = "window_id int, branch string, current_share double, next_share double, share_change double, predicted double, train_windows int, status string"
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        test, train = group[~group["train"]], group[group["train"]]
-        windows = train["window_id"].nunique()
-        train = train.dropna(subset=[*columns, "share_change"])
-        out = test[["window_id", "branch", "current_share", "next_share", "share_change"]].assign(predicted=np.nan, train_windows=windows, status="ok")
-        whole = test[list(columns)].notna().all(axis=1).to_numpy()
-        if windows < least or len(train) <= len(columns):
-            return out.assign(status="too few earlier windows")
-        if whole.any():
-            out.loc[whole, "predicted"] = ridge(train[list(columns)].to_numpy(float), train["share_change"].to_numpy(float), test.loc[whole, list(columns)].to_numpy(float), alpha)
-        return out
-
-    return rolling(features.select(*need)).groupBy("test_id").applyInPandas(run, schema)
+    rows = features.select(*need)
+    both = rows.join(ridge_fits(rows, columns, "share_change", alpha, least), "window_id")
+    predicted = F.get("fit", F.lit(0))
+    for i, c in enumerate(columns):
+        predicted = predicted + F.get("fit", F.lit(i + 1)) * F.col(c)
+    return both.select("window_id", "branch", "current_share", "next_share", "share_change", predicted.alias("predicted"), "train_windows", "status")
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import folder
+from ..sources.shared import written
 
 #: Queries and references of a block, and points of a distribution that leave a block.
 QUERIES = 256
@@ -115,12 +115,6 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], ["key", "query_id", "target", "weight", "low", "high", "done"])
 
 
-def _written(df: DataFrame, label: str) -> DataFrame:
-    path = folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def summaries(queries: DataFrame, references: DataFrame, distance: Distance = euclidean) -> DataFrame:
     """``key``, ``query_id``, ``mean``, ``p50``, ``p10``, ``p90``, ``least``, ``most`` and ``panel_size`` of each query.
 
@@ -131,10 +125,10 @@ def summaries(queries: DataFrame, references: DataFrame, distance: Distance = eu
     references = references.select("key", F.xxhash64("reference_id").alias("h"), F.col("weight").cast("long").alias("weight"), "v")
     sizes = references.groupBy("key").agg(F.ceil(F.count("*") / REFERENCES).alias("blocks"))
     lists = references.join(sizes, "key").groupBy("key", F.pmod("h", "blocks").alias("block")).agg(F.collect_list(F.struct("weight", "v")).alias("own"))
-    lists = _written(lists, "references")
-    sizes = _written(lists.groupBy("key").agg(F.count("*").alias("blocks"), F.collect_list("block").alias("names")), "panels")
+    lists = written(lists, "references")
+    sizes = written(lists.groupBy("key").agg(F.count("*").alias("blocks"), F.collect_list("block").alias("names")), "panels")
     grouped = queries.join(sizes.select("key"), "key", "left_semi").groupBy("key").agg(F.ceil(F.count("*") / QUERIES).alias("groups"))
-    asked = _written(queries.join(grouped, "key").select("key", "query_id", "v", F.pmod(F.xxhash64("query_id"), "groups").alias("group")), "queries")
+    asked = written(queries.join(grouped, "key").select("key", "query_id", "v", F.pmod(F.xxhash64("query_id"), "groups").alias("group")), "queries")
     whole = [F.struct(F.lit(i).alias("target"), F.lit(_LEAST).alias("low"), F.lit(_MOST).alias("high")) for i in (-1, *range(len(QUANTILES)))]
     open_ = asked.withColumn("intervals", F.array(*whole))
     shares = F.array(*[F.lit(q) for q in QUANTILES.values()])
@@ -142,7 +136,7 @@ def summaries(queries: DataFrame, references: DataFrame, distance: Distance = eu
     for i in range(ROUNDS):
         groups = open_.groupBy("key", "group").agg(F.collect_list(F.struct("query_id", "v", "intervals")).alias("asked")).join(sizes, "key")
         pairs = groups.withColumn("block", F.explode("names")).join(lists, ["key", "block"]).select("key", "asked", "own")
-        parts = _written(pairs.mapInArrow(partial(_summed, distance), _PART), "summaries")
+        parts = written(pairs.mapInArrow(partial(_summed, distance), _PART), "summaries")
         if i == 0:
             sums = parts.where("target < 0").groupBy("key", "query_id").agg(
                 F.sum("n").alias("panel_size"), F.sum("weight").alias("weight"), F.sum("moment").alias("moment"), F.min("low").alias("least"), F.max("high").alias("most")
@@ -150,7 +144,7 @@ def summaries(queries: DataFrame, references: DataFrame, distance: Distance = eu
         # a summary for each block of the panel, of POINTS points at most
         ways = parts.where("target >= 0").groupBy("key", "query_id", "target").agg(F.sum("weight").alias("weight"), F.collect_list(F.struct("below", "points")).alias("blocks"))
         ways = ways.select("key", "query_id", "target", "weight", F.element_at(shares, F.col("target") + 1).alias("share"), "blocks")
-        state = _written(ways.mapInArrow(_merged, "key string, query_id long, target int, weight long, low long, high long, done boolean"), "quantiles")
+        state = written(ways.mapInArrow(_merged, "key string, query_id long, target int, weight long, low long, high long, done boolean"), "quantiles")
         own = state.where("done").select("key", "query_id", "target", "high")
         found = own if found is None else found.unionByName(own)
         rest = state.where("not done")

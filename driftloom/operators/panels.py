@@ -8,11 +8,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.simplex import over
+from ..sources.shared import written
+
+#: Rounds after which the nearest distances are written, so that a round compares with so many centres at most.
+KEPT = 8
 
 
 def seats(sizes: dict[int, int], panel: int, strata: int) -> dict[int, int]:
@@ -28,37 +31,15 @@ def seats(sizes: dict[int, int], panel: int, strata: int) -> dict[int, int]:
     return {s: taken + met[s] for s, taken in dealt.items()}
 
 
-def coreset(strains: pd.DataFrame, size: int, outlying: float = 0.25) -> pd.DataFrame:
-    """``size`` of the strains (sequence, weight, date, query_id), each with the weight of those nearest to it.
-
-    A local form of what ``panel`` does in Spark, for one stratum. Every round takes the strain with the
-    most pull: first the weight, then distance times the root of the weight, in the last rounds (a share
-    of ``outlying``) distance alone. A strain belongs to the first taken one nearest to it; weights add up to 1.
-    """
-    pool = strains.sort_values(["weight", "date", "query_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-    mass = pool["weight"].to_numpy(float)
-    if len(pool) <= max(size, 0):
-        return pool.assign(reference_weight=mass / mass.sum() if len(pool) else mass)
-    letters = np.frombuffer("".join(pool["sequence"]).encode("ascii"), np.uint8).reshape(len(pool), -1)
-    plain = size - min(size - 1, round(size * outlying)) if size > 0 else 0
-    near, owner, taken = np.full(len(pool), np.inf), np.zeros(len(pool), int), []
-    for place in range(size):
-        pull = mass.copy() if not taken else near * (np.sqrt(mass) if place < plain else 1.0)
-        pull[taken] = -np.inf
-        taken.append(int(pull.argmax()))
-        far = np.count_nonzero(letters != letters[taken[-1]], axis=1)
-        owner[far < near] = place
-        near = np.minimum(near, far)
-    own = np.zeros(max(size, 0))
-    np.add.at(own, owner, mass if taken else 0.0)
-    return pool.iloc[taken].reset_index(drop=True).assign(reference_weight=own / own.sum() if taken else own)
-
-
 def panel(strains: DataFrame, cutoffs: DataFrame, size: int, months: int = 6, years: int = 3, outlying: float = 0.25) -> DataFrame:
     """A panel for each cutoff: strains (query_id, sequence, date, weight; equal lengths) in strata of ``months``.
 
-    Seats are dealt by the strata's sizes, a row each. Strains are chosen as by ``coreset``, one in every
-    stratum at a time, from all its strains; only the chosen ones reach the driver. ``query_id`` is a key.
+    Seats are dealt by the strata's sizes, a row each. In every stratum strains are taken one at a time, from
+    all its strains: first the heaviest, then the one whose distance to the nearest taken one, times the root
+    of its weight, is largest; in the last rounds, a share of ``outlying``, the distance alone counts. Among
+    equals the heavier, then the earlier one comes first. ``reference_weight`` is the weight of the strains
+    nearest to a taken one, the first taken among equals, as a share of the panel. Only taken strains reach
+    the driver. ``query_id`` is a key.
     """
     spans = _spans(cutoffs, years)
     rows = strains.join(F.broadcast(spans), (F.col("date") >= F.col("past_start")) & (F.col("date") < F.col("past_end")))  # a row for each window
@@ -99,26 +80,29 @@ def _chosen(rows: DataFrame, size: int, months: int, years: int, outlying: float
     wanted = {(w, t): n for w, t, n, _ in dealt if n}
     pools = {(w, t): pool for w, t, _, pool in dealt}
     few = [k for k, n in wanted.items() if pools[k] <= n]
-    rows = rows.select(*group, "query_id", "sequence", "date", "weight").persist(StorageLevel.DISK_ONLY)
+    state = written(rows.select(*group, "query_id", "sequence", "date", "weight", F.lit(float("inf")).alias("nearest"), F.lit(0).alias("owner")), "panel")
     chosen: dict[tuple, list] = {k: [] for k in wanted}
-    try:
-        if few:
-            keys = spark.createDataFrame(few, "window_id int, stratum int")
-            for r in rows.join(F.broadcast(keys), group).collect():  # at most as many as there are seats
-                chosen[r["window_id"], r["stratum"]].append(r)
-        sentinels = {k: min(n - 1, int(round(n * outlying))) for k, n in wanted.items()}
-        for i in range(max(wanted.values(), default=0)):
-            due = {k: [r["sequence"] for r in chosen[k]] for k, n in wanted.items() if i < n and k not in few}
-            if not due:
-                break
-            plain = {k for k in due if i >= wanted[k] - sentinels[k]}
-            taken = {k: {r["query_id"] for r in chosen[k]} for k in due}
-            for r in _farthest(rows, due, plain, taken).collect():  # a row for each window and stratum
-                chosen[r["window_id"], r["stratum"]].append(r["best"])
-        near = _nearest(rows, {k: [r["sequence"] for r in c] for k, c in chosen.items() if k not in few})
-        mass = {(r["window_id"], r["stratum"], r["owner"]): r["mass"] for r in near.groupBy(*group, "owner").agg(F.sum("weight").alias("mass")).collect()}
-    finally:
-        rows.unpersist()
+    if few:
+        keys = spark.createDataFrame(few, "window_id int, stratum int")
+        for r in state.join(F.broadcast(keys), group).collect():  # at most as many as there are seats
+            chosen[r["window_id"], r["stratum"]].append(r)
+    sentinels = {k: min(n - 1, int(round(n * outlying))) for k, n in wanted.items()}
+    known = {k: 0 for k in wanted if k not in few}
+    fresh = lambda: {k: (known[k], [r["sequence"] for r in chosen[k][known[k] :]]) for k in known}
+    for i in range(max(wanted.values(), default=0)):
+        due = [k for k in known if i < wanted[k]]
+        if not due:
+            break
+        plain = {k for k in due if i >= wanted[k] - sentinels[k]}
+        taken = {k: {r["query_id"] for r in chosen[k]} for k in due}
+        for r in _farthest(state, fresh(), plain, taken).collect():  # a row for each window and stratum
+            chosen[r["window_id"], r["stratum"]].append(r["best"])
+        if (i + 1) % KEPT == 0:
+            # distances to the strains taken since are kept
+            state = written(_nearest(state, fresh()), "panel")
+            known = {k: len(chosen[k]) for k in known}
+    near = _nearest(state, fresh()).where(F.col("nearest") < float("inf"))
+    mass = {(r["window_id"], r["stratum"], r["owner"]): r["mass"] for r in near.groupBy(*group, "owner").agg(F.sum("weight").alias("mass")).collect()}
     out = []
     for k, c in chosen.items():
         own = [float(r["weight"]) if k in few else mass.get((*k, i), 0.0) for i, r in enumerate(c)]
@@ -128,31 +112,32 @@ def _chosen(rows: DataFrame, size: int, months: int, years: int, outlying: float
     return found.withColumn("reference_weight", F.col("reference_weight") / total)
 
 
-def _nearest(rows: DataFrame, centres: dict[tuple, list[str]]) -> DataFrame:
-    """Rows of the groups in ``centres``, with the place of the nearest centre and its distance (1 without centres)."""
-    letters = {k: np.array([list(s.encode()) for s in c], dtype=np.uint8) for k, c in centres.items()}
+def _nearest(rows: DataFrame, centres: dict[tuple, tuple[int, list[str]]]) -> DataFrame:
+    """Rows with the distance of the nearest centre and its place, after some more centres: the first one's place and their sequences."""
+    letters = {k: (first, np.array([list(s.encode()) for s in c], dtype=np.uint8)) for k, (first, c) in centres.items() if c}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for key, own in batch.groupby(["window_id", "stratum"]):
                 if key not in letters:
+                    yield own
                     continue
-                nearest, owner = np.ones(len(own)), np.zeros(len(own), dtype=np.int32)
-                if len(letters[key]):
-                    held = np.array([list(s.encode()) for s in own["sequence"]], dtype=np.uint8)
-                    apart = np.stack([(held != c).sum(1) for c in letters[key]], 1)
-                    nearest, owner = apart.min(1).astype(float), apart.argmin(1).astype(np.int32)
-                yield own.assign(nearest=nearest, owner=owner)
+                first, places = letters[key]
+                held = np.array([list(s.encode()) for s in own["sequence"]], dtype=np.uint8)
+                apart = np.stack([(held != c).sum(1) for c in places], 1)
+                nearer = apart.min(1) < own["nearest"]
+                yield own.assign(nearest=np.where(nearer, apart.min(1), own["nearest"]), owner=np.where(nearer, first + apart.argmin(1), own["owner"]).astype(np.int32))
 
     return rows.mapInPandas(run, "window_id int, stratum int, query_id long, sequence string, date date, weight double, nearest double, owner int")
 
 
-def _farthest(rows: DataFrame, centres: dict[tuple, list[str]], plain: set[tuple], taken: dict[tuple, set]) -> DataFrame:
-    """The next strain of each group, ties as in ``coreset``: the first heaviest one, then the highest score."""
+def _farthest(rows: DataFrame, centres: dict[tuple, tuple[int, list[str]]], plain: set[tuple], taken: dict[tuple, set]) -> DataFrame:
+    """The next strain of each group in ``taken``: the first heaviest one, then the one of most pull."""
     spark = rows.sparkSession
-    about = [(*k, bool(c), k in plain, sorted(taken[k])) for k, c in centres.items()]
+    about = [(*k, bool(ids), k in plain, sorted(ids)) for k, ids in taken.items()]
     about = spark.createDataFrame(about, "window_id int, stratum int, begun boolean, plain boolean, taken array<long>")
-    near = _nearest(rows, centres).join(F.broadcast(about), ["window_id", "stratum"]).where(~F.array_contains("taken", F.col("query_id")))
+    near = _nearest(rows.join(F.broadcast(about.select("window_id", "stratum")), ["window_id", "stratum"]), centres)
+    near = near.join(F.broadcast(about), ["window_id", "stratum"]).where(~F.array_contains("taken", F.col("query_id")))
     score = F.when(~F.col("begun"), 0.0).when(F.col("plain"), F.col("nearest")).otherwise(F.col("nearest") * F.sqrt("weight"))
     order = F.struct(score, F.col("weight"), -F.unix_date("date"), -F.col("query_id"))
     return near.groupBy("window_id", "stratum").agg(F.max_by(F.struct("query_id", "sequence", "date", "weight"), order).alias("best"))

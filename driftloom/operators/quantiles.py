@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import folder
+from ..sources.shared import written
 
 #: Values that are sorted in one place at most, and the relative accuracy of the sketch.
 SORTED = 10_000
@@ -22,12 +22,6 @@ GRID = 256
 ROUNDS = 12
 
 
-def _written(df: DataFrame) -> DataFrame:
-    path = folder(df.sparkSession, "quantiles")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _joined(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     """An inner join by ``keys`` in which nulls are equal; the other side's keys go."""
     named = other.withColumnsRenamed({k: f"__k{i}" for i, k in enumerate(keys)})
@@ -63,7 +57,7 @@ def _found(base: DataFrame, keys: list[str], shares: dict[str, float]) -> DataFr
             found.append(_between(F.col("__s"), F.floor(rank), F.col("n") - 1, rank - F.floor(rank)).alias(name))
         return grouped.where("n > 0").select(*keys, "n", *found)
     names = list(shares)
-    base = _written(base)
+    base = written(base, "quantiles")
     slack, margin = 4 / ACCURACY, 2 * GRID // ACCURACY + 1
     asked = [min(1.0, max(0.0, p + d)) for p in shares.values() for d in (-slack, slack)]
     sketch = base.groupBy(*keys).agg(F.count("*").alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"), F.percentile_approx("__v", asked, ACCURACY).alias("a"))
@@ -74,7 +68,7 @@ def _found(base: DataFrame, keys: list[str], shares: dict[str, float]) -> DataFr
         high = F.col("hi") if p >= 1 - slack else F.get("a", F.lit(2 * i + 1))
         brackets.append(F.struct(F.lit(i).alias("i"), F.floor(rank).alias("k"), (rank - F.floor(rank)).alias("part"), low.alias("low"), high.alias("high")))
     # a row for each group and quantile
-    state = _written(sketch.select(*keys, "n", "lo", "hi", F.explode(F.array(*brackets)).alias("b")).select(*keys, "n", "lo", "hi", "b.*"))
+    state = written(sketch.select(*keys, "n", "lo", "hi", F.explode(F.array(*brackets)).alias("b")).select(*keys, "n", "lo", "hi", "b.*"), "brackets")
     point = [*keys, "i"]
     for _ in range(ROUNDS):
         inside = (F.col("__v") >= F.col("low")) & (F.col("__v") <= F.col("high"))
@@ -82,7 +76,7 @@ def _found(base: DataFrame, keys: list[str], shares: dict[str, float]) -> DataFr
         # a bracket that missed its rank is opened again on that side
         missed_low, missed_high = F.col("below") > F.col("k"), F.col("below") + F.col("inside") <= F.least(F.col("k") + 1, F.col("n") - 1)
         wide = ((F.col("inside") > SORTED) & (F.col("low") < F.col("high"))) | missed_low | missed_high
-        counted = _written(_joined(state, counts, point).withColumn("wide", wide))
+        counted = written(_joined(state, counts, point).withColumn("wide", wide), "brackets")
         if counted.where("wide").isEmpty():
             break
         own = _joined(base, counted.where("wide").select(*point, "low", "high"), keys).where(inside)
@@ -95,7 +89,7 @@ def _found(base: DataFrame, keys: list[str], shares: dict[str, float]) -> DataFr
             F.when(missed_low, F.col("lo")).when(missed_high, F.col("low")).otherwise(low).alias("low"),
             F.when(missed_high, F.col("hi")).when(missed_low, F.col("high")).otherwise(high).alias("high"),
         )
-        state = _written(closer.unionByName(counted.where("not wide").select(*closer.columns)))
+        state = written(closer.unionByName(counted.where("not wide").select(*closer.columns)), "brackets")
     else:
         raise RuntimeError(f"brackets are not small after {ROUNDS} rounds")
     # a bracket of one value, however often it is there, needs no list

@@ -98,9 +98,6 @@ def test_scores_and_panels(spark):
     assert (r["mean"], r["p50"], r["p10"], r["p90"]) == pytest.approx((0.35, 0.2, 0.1, 0.9))
     with pytest.raises(ValueError):
         scores.require_complete(spark.createDataFrame([("s", None)], "source string, score double"))
-    strains = pd.DataFrame({"sequence": ["AAAA", "AAAT", "TTTT", "GGGG"], "weight": [5.0, 1, 1, 1], "date": pd.to_datetime("2020-01-01"), "query_id": range(4)})
-    found = panels.coreset(strains, 3)
-    assert found["reference_weight"].sum() == pytest.approx(1) and "AAAA" in set(found["sequence"])
     assert panels.seats({0: 1, 1: 9, 2: 9}, 10, 3) == {0: 1, 1: 5, 2: 4}
 
 
