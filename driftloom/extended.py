@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from .functions import labels, sequences
 from .functions.alignment import project
 from .functions.simplex import over
-from .operators import fits, joins, scores, signals
+from .operators import fits, joins, posterior, scores, signals
 from .plans import evaluate, forecast, standins, windows
 from .queries import ORIGIN, _distances, _features, _partial_scores, _rounded
 from .sources import fasta, shared, tables
+from .sources.shared import cut
 from .streaming import bins
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,7 +26,7 @@ THRESHOLD = 5.0
 
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.binned(standins.coarse(spark, sf_dir), ORIGIN).select("bin_start", "branch", "n", "share").persist()
+    return cut(windows.binned(standins.coarse(spark, sf_dir), ORIGIN).select("bin_start", "branch", "n", "share"))
 
 
 def history_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,12 +39,12 @@ def single_cutoff_three_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def count_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = standins.window_counts(spark, sf_dir).repartition("window_id").persist()
+    counts = cut(standins.window_counts(spark, sf_dir).repartition("window_id"))
     return _rounded(evaluate.count_metrics(counts, forecast.all_models(counts, forecast.COUNT_MODELS)), 5)
 
 
 def horizon_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = standins.window_counts(spark, sf_dir).repartition("window_id").persist()
+    counts = cut(standins.window_counts(spark, sf_dir).repartition("window_id"))
     return _rounded(evaluate.horizon_metrics(counts, forecast.all_models(counts)))
 
 
@@ -62,6 +63,12 @@ def rolling_seven_model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluate.standings(evaluate.merged(counts, _trend(counts))), 5)
 
 
+def growth_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Growth advantages of all branches in all windows, sampled, with bands and convergence."""
+    draws = cut(posterior.posterior_draws(standins.window_counts(spark, sf_dir)))
+    return _rounded(posterior.growth_advantages(draws), 3)
+
+
 def window_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = standins.window_counts(spark, sf_dir)
     excluded = standins.cutoffs(spark).where("target_start between '1998-01-01' and '1998-12-31'")
@@ -86,7 +93,7 @@ def _steps(counts: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def _biology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals.gated(_features(spark, sf_dir), THRESHOLD).persist()
+    return cut(signals.gated(_features(spark, sf_dir), THRESHOLD))
 
 
 def _corrected_metrics(counts: DataFrame, rows: DataFrame) -> DataFrame:
@@ -96,27 +103,27 @@ def _corrected_metrics(counts: DataFrame, rows: DataFrame) -> DataFrame:
 
 def correction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two bases with five sets of features each, on the same windows."""
-    counts = standins.window_counts(spark, sf_dir).repartition("window_id").persist()
+    counts = cut(standins.window_counts(spark, sf_dir).repartition("window_id"))
     biology, out = _biology(spark, sf_dir), None
     for name, base in (("C-B2", forecast.count_renewal(counts)), ("MLR", _trend(counts))):
-        own = fits.corrected_sets(_steps(counts, base).persist(), biology, {name + k: v for k, v in CORRECTIONS.items()})
+        own = fits.corrected_sets(cut(_steps(counts, base)), biology, {name + k: v for k, v in CORRECTIONS.items()})
         out = own if out is None else out.unionByName(own)
-    return _rounded(evaluate.standings(_corrected_metrics(counts, out.persist())), 4)
+    return _rounded(evaluate.standings(_corrected_metrics(counts, cut(out))), 4)
 
 
 def correction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected counts bent by features: error and likelihood of each set."""
-    counts = standins.window_counts(spark, sf_dir).repartition("window_id").persist()
+    counts = cut(standins.window_counts(spark, sf_dir).repartition("window_id"))
     base = forecast.count_renewal(counts).select("window_id", "h", "branch", F.col("value").alias("base"))
     steps = base.join(forecast.holdout(counts).select("window_id", "h", "branch", F.col("n").cast("double").alias("observed")), ["window_id", "h", "branch"])
-    rows = fits.corrected_sets(steps.persist(), _biology(spark, sf_dir), {"C-B2" + k: v for k, v in CORRECTIONS.items()}, "poisson")
+    rows = fits.corrected_sets(cut(steps), _biology(spark, sf_dir), {"C-B2" + k: v for k, v in CORRECTIONS.items()}, "poisson")
     found = evaluate.count_metrics(counts, rows.drop("observed")).groupBy("model")
     return _rounded(found.agg(F.count("*").alias("windows"), *[F.avg(c).alias(c) for c in ("count_mae", "count_rmse", "mean_poisson_nll")]), 3)
 
 
 def correction_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coefficients of the full set by window, a column for each feature."""
-    counts = standins.window_counts(spark, sf_dir).persist()
+    counts = cut(standins.window_counts(spark, sf_dir))
     columns = CORRECTIONS[" + both"]
     found = fits.corrected(_steps(counts, forecast.count_renewal(counts)), _features(spark, sf_dir), columns, weights=True)
     return _rounded(found.groupBy("window_id").pivot("feature", list(columns)).agg(F.first("coefficient")), 4)
@@ -133,7 +140,7 @@ TREND_SETS = {
 
 def trend_feature_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of the whole horizon from the C-B2 share and sets of count and biology features, on the windows before."""
-    counts = standins.window_counts(spark, sf_dir).repartition("window_id").persist()
+    counts = cut(standins.window_counts(spark, sf_dir).repartition("window_id"))
     base = forecast.count_renewal(counts).groupBy("window_id", "branch").agg(F.sum("value").alias("value"))
     truth = forecast.holdout(counts).groupBy("window_id", "branch").agg(F.sum("n").alias("n"))
     part = over("window_id")
@@ -171,7 +178,7 @@ def score_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signal_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = signals.score_signal(_partial_scores(spark, sf_dir), standins.cutoffs(spark)).persist()
+    rows = cut(signals.score_signal(_partial_scores(spark, sf_dir), standins.cutoffs(spark)))
     leaders = signals.leaders(rows, {"next_share": False, "previous_share": False, "mean_score": True}).join(signals.leaders(rows, {"mean_score": False}), "window_id")
     rows = rows.withColumns({"mean_score": F.round("mean_score", 6), "share_change": F.round("share_change", 9)})
     found = scores.correlations(rows, ["window_id"], "mean_score", "share_change")
@@ -376,7 +383,7 @@ def stream_event_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        history_slice, single_cutoff_three_models, count_metrics, horizon_metrics, changepoint_comparison, rolling_seven_model_summary, window_overview,
+        history_slice, single_cutoff_three_models, count_metrics, horizon_metrics, changepoint_comparison, rolling_seven_model_summary, growth_posterior, window_overview,
         ridge_metrics, gated_features, correction_summary, correction_counts, correction_coefficients, trend_feature_sets, composition_bridge,
         collapsed_counts, score_overview, signal_overview, annual_work, cutoff_coverage, query_registry, value_conflicts, customer_occurrences,
         complete_scores, many_to_many_pairs, verified_zip, seeded_work, audit_headers, canonical_label_share, index_shard, ambiguous_letters, fixed_slices,

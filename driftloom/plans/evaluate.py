@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.simplex import divergence_term, log_factorial, normalised, over, share
+from ..sources.shared import cut
 from .forecast import COUNT_MODELS, SHARE_MODELS, all_models, holdout
 from .windows import BIN_DAYS
 
@@ -43,9 +44,9 @@ def backtest(counts: DataFrame, models: tuple[str, ...] = SHARE_MODELS + COUNT_M
     """Metrics of all models in all windows: one plan, keyed by window.
 
     The counts are the small end of the data (windows x bins x branches) and every model reads them,
-    so they are cached, dealt by window: window functions and aggregates of a window need no shuffle then.
+    so they are checkpointed, dealt by window: window functions and aggregates of a window need no shuffle then.
     """
-    counts = counts.repartition("window_id").persist()
+    counts = cut(counts.repartition("window_id"))
     rows = compared(counts, all_models(counts, models))
     return metrics(rows).join(top1(rows), ["model", "window_id"])
 
@@ -131,7 +132,7 @@ def merged(counts: DataFrame, extra: DataFrame, models: tuple[str, ...] = SHARE_
 
     Windows without ``extra`` forecasts (a fit failed there) are left out for all models.
     """
-    counts = counts.repartition("window_id").persist()
+    counts = cut(counts.repartition("window_id"))
     fitted = extra.select("window_id").distinct()
     rows = compared(counts, all_models(counts, models).unionByName(extra)).join(fitted, "window_id", "left_semi")
     trained = F.when(F.col("model").startswith("F-"), "frequency").otherwise("counts")

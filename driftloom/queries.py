@@ -13,6 +13,7 @@ from .functions.simplex import over
 from .operators import audit, fits, joins, panels, scores, sequence_tables, signals
 from .operators.quantiles import quantiles
 from .plans import evaluate, forecast, standins, windows
+from .sources.shared import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 ORIGIN = date(1998, 1, 1)
@@ -346,7 +347,7 @@ def ridge_share_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _corrected(objective: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        counts = standins.window_counts(spark, sf_dir).persist()
+        counts = cut(standins.window_counts(spark, sf_dir))
         base = forecast.count_renewal(counts).select("window_id", "h", "branch", F.col("value").alias("base"))
         actual = forecast.holdout(counts)
         if objective == "poisson":
