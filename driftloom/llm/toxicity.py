@@ -30,9 +30,11 @@ WIDTHS = (1, 2, 3)
 EPOCHS = 4
 BATCH = 32
 RATE = 0.05
-#: Learning documents of each class, at most about; texts longer than this aren't learned from.
+#: Learning documents of each class, at most about; texts longer than this are learned from only where a
+#: class has no others, LONG_DOCS of them.
 SAMPLE_DOCS = 3000
 SAMPLE_CHARS = 30_000
+LONG_DOCS = 32
 SCORE_THRESHOLD = 0.3
 #: Positive calibration documents that a language needs for a threshold of its own, and its range.
 OWN_THRESHOLD = 15
@@ -95,9 +97,13 @@ class Convolutions:
         return out
 
     def logits(self, rows: np.ndarray, first: np.ndarray, tables: dict[int, np.ndarray]) -> np.ndarray:
+        """Of each text, from the places at which its words begin (one, if it has none); the pad keeps the next text's words out."""
         total = np.full(len(first), self.offset, np.float64)
+        last = np.maximum(np.append(first[1:], len(rows)) - max(WIDTHS), first + 1)
+        edges = np.stack([first, last], 1).ravel()
+        edges = edges[edges <= len(rows) - max(WIDTHS)]
         for k, w in enumerate(WIDTHS):
-            most = np.maximum.reduceat(self.responses(rows, tables, w), first, axis=0)
+            most = np.maximum.reduceat(self.responses(rows, tables, w), edges, axis=0)[::2]
             total += np.maximum(most + self.bias[k], 0) @ self.last[k]
         return total
 
@@ -225,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Convol
     """Learn from ``docs.text`` by ``labels.toxic`` (rows whose label is null or neither 0 nor 1 are left out).
 
     About ``sample`` documents of each class are taken by a hash of doc_id, texts above SAMPLE_CHARS
-    left out. A document whose labels disagree counts as toxic. ``lang`` only serves the thresholds.
+    left out unless a class has no others. A document whose labels disagree counts as toxic. ``lang`` only serves the thresholds.
     """
     marked = labels.where("toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label"))
     counts = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
@@ -238,7 +244,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Convol
     texts = docs.where(f"length(text) <= {SAMPLE_CHARS}").select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang.alias("lang"))
     # ids of the sample, about two times ``sample`` rows whatever the input: the texts stay where they are
     rows = texts.join(F.broadcast(taken), "doc_id").select(F.xxhash64("doc_id", F.lit(3)).alias("order"), "text", "label", "lang")
-    got = [tuple(r)[1:] for r in sorted(rows.collect(), key=lambda r: (r["order"], r["text"]))]
+    held = rows.collect()
+    if lacking := [k for k in counts if not any(r["label"] == k for r in held)]:
+        wanted = ["order", "text", "label", "lang"]
+        long = docs.where(f"length(text) > {SAMPLE_CHARS}").select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang.alias("lang"))
+        for k in lacking:
+            own = long.join(marked.where(F.col("label") == k), "doc_id").withColumn("order", F.xxhash64("doc_id", F.lit(3)))
+            held += own.select(*wanted).orderBy("order", "text").limit(LONG_DOCS).collect()
+    got = [tuple(r)[1:] for r in sorted(held, key=lambda r: (r["order"], r["text"]))]
     kept = {k: sum(r[1] == k for r in got) for k in counts}
     return fit_texts(got, {k: n / max(kept[k], 1) for k, n in counts.items()})
 
