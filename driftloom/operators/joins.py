@@ -41,6 +41,25 @@ def frozen_panel(cutoffs: DataFrame, references: DataFrame) -> DataFrame:
     return references.join(F.broadcast(cutoffs), F.col("reference_date") < F.col("forecast_cutoff"))
 
 
+def references_before(references: DataFrame, cutoffs: DataFrame, keys: list[str], embeddings: DataFrame, subtype: str) -> DataFrame:
+    """The frozen panel of each cutoff: conditions of one subtype that were measured before it and have an embedding.
+
+    ``references`` has the keys of a condition, ``embedding_id``, ``subtype`` and ``reference_date`` (a text);
+    rows of other subtypes or without a valid date don't count. A condition has the row of its earliest
+    date, of those the smallest embedding_id.
+    """
+    dated = references.where(F.lower(F.trim("subtype")) == subtype.lower()).withColumn("reference_date", F.try_to_date("reference_date", "yyyy-MM-dd")).where("reference_date is not null")
+    held = dated.join(embeddings.select("embedding_id").distinct(), "embedding_id", "left_semi")
+    first = held.groupBy(*keys).agg(F.min(F.struct("reference_date", "embedding_id")).alias("first")).select(*keys, "first.*")
+    return frozen_panel(cutoffs.select("window_id", "forecast_cutoff"), first)
+
+
+def one_value_each(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """Every key once with its value; an error if a key stands for two values, as a shortened hash might."""
+    sums = rows.groupBy(key).agg(F.min(value).alias(value), F.max(value).alias("__most"))
+    return held(sums, F.col(value).eqNullSafe(F.col("__most")), f"a {key} stands for two values of {value}").drop("__most")
+
+
 def past_without_current(rows: DataFrame, cutoffs: DataFrame, years: int = 5) -> DataFrame:
     """Keys seen in the years before each recent half-year and not in it, with how often.
 

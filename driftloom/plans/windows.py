@@ -26,6 +26,13 @@ def half_years(spark: SparkSession, first: date, count: int) -> DataFrame:
     return rows.select("window_id", start.alias("start"), F.date_sub(F.add_months(start, 6), 1).alias("end"))
 
 
+def given(spark: SparkSession, starts: list[date]) -> DataFrame:
+    """Half-years that begin on given days: each day once, in order."""
+    rows = list(enumerate(sorted(set(starts))))
+    table = spark.createDataFrame(rows, "window_id int, start date")
+    return table.withColumn("end", F.date_sub(F.add_months("start", 6), 1))
+
+
 def cutoffs(windows: DataFrame) -> DataFrame:
     """Ranges around each window: recent half-year, past year, the half-year before, and the target."""
     start = F.col("start")

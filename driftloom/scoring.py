@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .extended_oracles import _SPANS
+from .functions import sequences
 from .functions.alignment import project
 from .operators import joins, pairs, sequence_tables, strains, table_audit
 from .oracles import _FIXED, _HDR, _SEQ
@@ -129,10 +130,28 @@ def late_event_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(counts.schema).parquet(f"{where}/out")
 
 
+def checked_query_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each different text by its derived key, of which none stands for two texts."""
+    rows = standins.sequences(spark, sf_dir)
+    keyed = rows.select(sequences.derived_key(F.col("sequence"), "Q_").alias("query_id"), F.sha2(F.col("sequence").cast("binary"), 256).alias("sha"))
+    return joins.one_value_each(keyed, "query_id", "sha")
+
+
+def references_before_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditions (customer and priority) of one subtype, dated before each cutoff, of customers that have an embedding."""
+    o = standins.table(spark, sf_dir, "orders")
+    day = F.when(F.col("o_orderkey") % 7 == 0, "unknown").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    refs = o.select("o_custkey", "o_orderpriority", F.col("o_custkey").alias("embedding_id"), F.when(F.col("o_orderkey") % 3 == 0, "H3N2").otherwise(" h1n1").alias("subtype"), day.alias("reference_date"))
+    held = standins.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("embedding_id"))
+    found = joins.references_before(refs, standins.cutoffs(spark), ["o_custkey", "o_orderpriority"], held, "H1N1")
+    return found.select("window_id", "o_custkey", "o_orderpriority", "reference_date")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         score_store_upsert, striped_pending, pair_panel_summary, fasta_numbers, fasta_first_hundred, fasta_positional_zip, audit_counters, strain_labels, aligned_pieces, late_event_bins,
+        checked_query_keys, references_before_cutoffs,
     )
 }
 
@@ -143,6 +162,12 @@ _KIND = "case when {0} = '' then 'blank' when lower({0}) = 'unassigned' then 'un
 _PART = "coalesce(nullif(trim(split_part(header, '|', {0})), ''), 'unknown')"
 
 ORACLE_SQL: dict[str, str] = {
+    "checked_query_keys": f"with {_SEQ} select distinct 'Q_' || substr(sha256(sequence), 1, 20) as query_id, sha256(sequence) as sha from seqs",
+    "references_before_cutoffs": f"""
+        with {_SPANS}, r as (
+            select o_custkey, o_orderpriority, min(cast(o_orderdate as date)) as reference_date from orders
+            where o_orderkey % 7 <> 0 and o_orderkey % 3 <> 0 and o_custkey in (select vec_id from embeddings) group by all
+        ) select window_id, o_custkey, o_orderpriority, reference_date from r join spans on reference_date < forecast_cutoff""",
     "score_store_upsert": """
         select o_orderpriority as cutoff, o_orderkey as query_id,
                case when o_orderkey % 3 = 0 then round(o_totalprice * 2, 4) when o_orderkey % 2 = 0 then round(o_totalprice, 4) when o_orderkey % 5 = 0 then round(o_totalprice * 3, 4) end as score,

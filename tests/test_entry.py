@@ -10,7 +10,8 @@ import __spark_entry__ as entry
 from driftloom.queries import QUERIES
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-FEW = ["label_fallback_nextclade", "header_fields", "bin_share_dense", "consensus_by_position", "hash_shard_owner", "audit_run_transitions", "forecast_c_b2", "changepoint_diagnostics", "signal_correlations", "past_strain_antijoin", "pair_weighted_summary"]
+FEW = ["label_fallback_nextclade", "header_fields", "bin_share_dense", "consensus_by_position", "hash_shard_owner", "audit_run_transitions", "forecast_c_b2", "changepoint_diagnostics", "signal_correlations", "past_strain_antijoin", "pair_weighted_summary",
+       "score_store_upsert", "striped_pending", "pair_panel_summary", "fasta_numbers", "fasta_positional_zip", "audit_counters", "strain_labels", "late_event_bins", "checked_query_keys", "references_before_cutoffs"]
 
 
 def plain(v):

@@ -115,3 +115,29 @@ def test_checks_stay_when_their_columns_are_not_read(spark, act):
     with pytest.raises(ValueError, match="no partner"):
         joins.complete_join(left, right, ["k"], "y", at_once=True)
     assert act(joins.complete_join(left.where("k = 1"), right.drop("x"), ["k"], "y"))
+
+
+def test_a_key_stands_for_one_value(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", None), ("b", None)], "k string, v string")
+    assert sorted(map(tuple, joins.one_value_each(df, "k", "v").collect())) == [("a", "x"), ("b", None)]
+    with pytest.raises(Exception, match="two values"):
+        joins.one_value_each(df.union(spark.createDataFrame([("a", "y")], "k string, v string")), "k", "v").count()
+
+
+def test_given_half_years_are_each_there_once(spark):
+    from datetime import date
+
+    from driftloom.plans import windows
+
+    found = windows.given(spark, [date(2021, 1, 1), date(2020, 7, 1), date(2021, 1, 1)]).orderBy("window_id").collect()
+    assert [tuple(r) for r in found] == [(0, date(2020, 7, 1), date(2020, 12, 31)), (1, date(2021, 1, 1), date(2021, 6, 30))]
+
+
+def test_references_are_frozen_before_each_cutoff(spark):
+    from datetime import date
+
+    refs = spark.createDataFrame([("p", 1, "H1N1", "2019-05-01"), ("p", 1, " h1n1 ", "2019-03-01"), ("q", 2, "H3N2", "2018-01-01"), ("r", 3, "H1N1", "2019-13-01"), ("s", 9, "H1N1", "2018-01-01"), ("t", 1, "H1N1", "2020-01-01")], "k string, embedding_id int, subtype string, reference_date string")
+    cuts = spark.createDataFrame([(0, date(2019, 3, 1)), (1, date(2020, 1, 1)), (2, date(2020, 1, 2))], "window_id int, forecast_cutoff date")
+    held = spark.createDataFrame([(1,), (1,), (2,), (3,)], "embedding_id int")
+    found = joins.references_before(refs, cuts, ["k"], held, "H1N1")
+    assert sorted((r["window_id"], r["k"], r["reference_date"]) for r in found.collect()) == [(1, "p", date(2019, 3, 1)), (2, "p", date(2019, 3, 1)), (2, "t", date(2020, 1, 1))]
