@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from driftloom.operators import fits
 from driftloom.plans import evaluate, forecast
 
+# Branch A's shares and the totals of a worked example of eight bins; the results below belong to it.
 SHARES = [0.80, 0.75, 0.70, 0.64, 0.58, 0.52, 0.46, 0.40]
 TOTALS = [20, 40, 30, 80, 50, 100, 120, 90]
 

@@ -22,9 +22,10 @@ def test_first_date_and_labels(spark):
     assert one(spark, labels.first_date(header)) == date(2021, 4, 5)
     assert one(spark, labels.first_date(F.lit("12020-01-011|2020-13-40"))) is None
     assert one(spark, labels.accession(header)) == "EPI_ISL_7"
-    rows = [("6B.1A.5a.2a", "C.1", "C"), ("6B.1A.5a.2a.1", "", "D.1"), ("6B.1", "Unassigned", "unknown")]
+    # own label rows: both columns named, the first one blank, and only the old name usable
+    rows = [("old one", "Q.7", "Q"), ("old two", " ", "R.3"), ("old three", "none", "Unassigned")]
     df = spark.createDataFrame(rows, "legacy string, subclade string, clade string")
-    assert [r[0] for r in df.select(labels.branch_label("nextclade")).collect()] == ["C.1", "D.1", "6B.1"]
+    assert [r[0] for r in df.select(labels.branch_label("nextclade")).collect()] == ["Q.7", "R.3", "old three"]
     assert [r[0] for r in df.select(labels.branch_label("legacy")).collect()] == [r[0] for r in rows]
     with pytest.raises(ValueError):
         labels.branch_label("other")
