@@ -67,7 +67,8 @@ def _summed(distance: Distance, batches: Iterator[pa.RecordBatch]) -> Iterator[p
                     before = np.concatenate([[below], upper[:-1]]) if len(upper) else upper
                     at = np.unique(np.linspace(0, len(values) - 1, min(POINTS, len(values))).astype(np.int64)) if len(values) else np.zeros(0, np.int64)
                     points = [{"d": int(x), "upto": int(u), "before": int(v)} for x, u, v in zip(values[at], upper[at], before[at])]
-                    moment = sum(int(x) * int(y) for x, y in zip(d, w)) if t["target"] < 0 else 0
+                    short = int(d[-1]) * int(upto[-1]) < 1 << 62
+                    moment = (int(d @ w) if short else sum(int(x) * int(y) for x, y in zip(d, w))) if t["target"] < 0 else 0
                     found.append((batch.column(0)[row].as_py(), query, t["target"], len(d), int(upto[-1]), moment, int(d[0]), int(d[-1]), below, points))
             columns = list(zip(*found))
             types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.decimal128(38, 0), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([(c, pa.int64()) for c in ("d", "upto", "before")]))]
@@ -125,6 +126,8 @@ def summaries(queries: DataFrame, references: DataFrame, distance: Distance = eu
     references = references.select("key", F.xxhash64("reference_id").alias("h"), F.col("weight").cast("long").alias("weight"), "v")
     sizes = references.groupBy("key").agg(F.ceil(F.count("*") / REFERENCES).alias("blocks"))
     lists = references.join(sizes, "key").groupBy("key", F.pmod("h", "blocks").alias("block")).agg(F.collect_list(F.struct("weight", "v")).alias("own"))
+    # what is compared is much more than what is read: tasks are not put together by the size of their rows
+    tasks = int(references.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = written(lists, "references")
     sizes = written(lists.groupBy("key").agg(F.count("*").alias("blocks"), F.collect_list("block").alias("names")), "panels")
     grouped = queries.join(sizes.select("key"), "key", "left_semi").groupBy("key").agg(F.ceil(F.count("*") / QUERIES).alias("groups"))
@@ -135,7 +138,8 @@ def summaries(queries: DataFrame, references: DataFrame, distance: Distance = eu
     sums, found = None, None
     for i in range(ROUNDS):
         groups = open_.groupBy("key", "group").agg(F.collect_list(F.struct("query_id", "v", "intervals")).alias("asked")).join(sizes, "key")
-        pairs = groups.withColumn("block", F.explode("names")).join(lists, ["key", "block"]).select("key", "asked", "own")
+        cells = groups.withColumn("block", F.explode("names")).repartition(tasks, "key", "block")
+        pairs = cells.join(lists.repartition(tasks, "key", "block").hint("merge"), ["key", "block"]).select("key", "asked", "own")
         parts = written(pairs.mapInArrow(partial(_summed, distance), _PART), "summaries")
         if i == 0:
             sums = parts.where("target < 0").groupBy("key", "query_id").agg(
