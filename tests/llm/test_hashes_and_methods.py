@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -87,6 +88,37 @@ def test_longest_previous_factors(window):
             assert later[p] == any(shared(q) == window for q in range(p + 1, len(starts)))
 
 
+def test_only_windows_with_a_shared_core_are_put_in_order(monkeypatch):
+    window, gram, r = 40, 8, np.random.default_rng(3)
+    common, regions = r.integers(0, 256, 200).astype(np.uint8), {}
+    for i in range(80):
+        # bytes of its own around a stretch of common ones
+        text, (a, b) = r.integers(0, 256, 200).astype(np.uint8), 100 + r.integers(4, 50, 2) * (-1, 1)
+        text[a:b] = common[a:b]
+        start, at, values = suffix._selected(textkernel.Texts(text, np.array([0, 200])), window, gram)
+        for p in np.unique(at).tolist():
+            lo, hi = start[at == p][[0, -1]].tolist()
+            content, hash_ = text[lo : hi + window].tobytes(), int(values[p].view(np.int64))
+            regions.setdefault((hash_, content), {"hash": hash_, "r1": len(regions), "r2": 0, "fk": i, "ft": 0, "fs": lo, "anchor": p - lo, "content": content})
+    cut = lambda c: [c[i : i + window] for i in range(len(c) - window + 1)]
+    seen = collections.Counter(w for x in regions.values() for w in cut(x["content"]))
+    ordered, real = [], suffix.previous_factors
+    monkeypatch.setattr(suffix, "previous_factors", lambda data, starts, window: ordered.append(len(starts)) or real(data, starts, window))
+    for keep in ("none", "first"):
+        got, first = suffix._matches(pa.Table.from_pylist(list(regions.values())), window, gram, keep).to_pylist(), set()
+        by_number = {x["r1"]: x for x in regions.values()}
+        for x in got:
+            windows = cut(by_number[x["r1"]]["content"])
+            hit = [i for a, b in zip(x["runs"][::2], x["runs"][1::2]) for i in range(a, b)]
+            assert hit == [i for i, w in enumerate(windows) if seen[w] > 1 and (keep == "none" or w in first)]
+            first.update(windows)
+    hits = sum(n for n in seen.values() if n > 1)
+    assert 0 < hits <= ordered[0] == ordered[1] < (hits + sum(seen.values())) / 2
+    alone = pa.Table.from_pylist([x for x in regions.values() if x["fk"] == 0])
+    assert suffix._matches(alone, window, gram, "none")["runs"].to_pylist() == [[]] * len(alone)
+    assert len(ordered) == 2
+
+
 def test_a_later_batch_is_held_against_the_index(spark):
     r = np.random.default_rng(8)
     text = lambda n: " ".join(f"w{i}" for i in r.integers(5000, size=n))
