@@ -61,11 +61,11 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fixed_sequences(spark: SparkSession, sf_dir: str, length: int = 64) -> DataFrame:
     """Sequences of one length: the letters A to Z of each document in pieces in a row, a last shorter rest left out."""
-    letters = F.regexp_replace(upper(F.col("text")), "[^A-Z]", "")
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_index"), "lang", letters.alias("letters"))
-    pieces = F.sequence(F.lit(0), F.floor(F.length("letters") / F.lit(length)).cast("int") - 1)
-    cut = rows.where(F.length("letters") >= length).withColumn("piece", F.explode(pieces))
-    return cut.select("record_index", "piece", "lang", F.substring("letters", F.col("piece") * length + 1, F.lit(length)).alias("sequence"))
+    letters = F.regexp_replace(upper(F.col("text")), "[^A-Z]+", "")
+    # all pieces in one go through the letters: substrings would each begin at the first letter, and a row for each piece hold them all
+    pieces = F.regexp_extract_all(letters, F.lit(f"[A-Z]{{{length}}}"), F.lit(0))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_index"), "lang", F.posexplode(pieces).alias("piece", "sequence"))
+    return rows.select("record_index", "piece", "lang", "sequence")
 
 
 def letter_records(spark: SparkSession, sf_dir: str) -> DataFrame:
