@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,21 +14,53 @@ AMINO_ACIDS = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
 RESIDUES_WIDE = "ACDEFGHIKLMNPQRSTVWYXBZUOJ"
 
+#: The place of each letter in BASES, 4 for others; and the amino acid of three places as digits to base 5.
+_BASE_OF = np.full(128, 4, np.uint8)
+for _letters in (BASES, BASES.lower(), "U", "u"):
+    _BASE_OF[list(_letters.encode())] = range(len(_letters))
+_CODONS = np.full(125, ord("X"), np.uint8)
+for _i, _acid in enumerate(AMINO_ACIDS):
+    _CODONS[_i // 16 * 25 + _i // 4 % 4 * 5 + _i % 4] = ord(_acid)
+
 
 def upper(sequence: Column) -> Column:
     """Letters a to z in upper case; others as they are, so that lengths stay."""
     return F.translate(sequence, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
+def _proteins(texts: pa.Array, frame: int, strip: str) -> pa.Array:
+    """The proteins of an array of texts, all letters of all texts at once; a text without a codon has the empty one."""
+    texts = texts.cast(pa.string()).fill_null("")
+    sizes = pc.utf8_length(texts).to_numpy().astype(np.int64)
+    joined = "".join(texts.to_pylist())
+    letters = np.frombuffer(joined.encode() if joined.isascii() else joined.encode("utf-32-le"), np.uint8 if joined.isascii() else "<u4")
+    base = _BASE_OF[np.minimum(letters, 127)]
+    at_each = _CODONS[base[:-2] * 25 + base[1:-1] * 5 + base[2:]] if len(base) > 2 else np.zeros(0, np.uint8)
+    counts = np.maximum((sizes - frame) // 3, 0)
+    first, ends = np.cumsum(sizes) - sizes + frame, np.cumsum(counts)
+    found = at_each[np.repeat(first - 3 * (ends - counts), counts) + 3 * np.arange(counts.sum())]
+    keep, left = np.ones(len(found), bool), counts.copy()
+    at = np.flatnonzero(left) if strip != "none" else np.zeros(0, np.int64)
+    while len(at):
+        last = (ends - counts + left - 1)[at]
+        stops = found[last] == ord("*")
+        keep[last[stops]] = False
+        left[at[stops]] -= 1
+        at = at[stops & (left[at] > 0)] if strip == "all" else at[:0]
+    offsets = np.append(0, np.cumsum(left)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(found[keep]))
+
+
 def translate(sequence: Column, frame: int = 0, strip: str = "one") -> Column:
-    """Amino acids of a nucleotide sequence; unknown codons are X. ``strip`` takes one, all or no stops off the end."""
-    codons = {a + b + c: AMINO_ACIDS[16 * i + 4 * j + k] for i, a in enumerate(BASES) for j, b in enumerate(BASES) for k, c in enumerate(BASES)}
-    table = F.create_map(*[F.lit(x) for pair in codons.items() for x in pair])
-    clean = F.translate(upper(sequence), "U", "T")
-    starts = F.sequence(F.lit(1 + frame), F.length(clean) - 2, F.lit(3))
-    letters = F.transform(starts, lambda i: F.coalesce(F.try_element_at(table, F.substring(clean, i, F.lit(3))), F.lit("X")))
-    protein = F.when(F.length(clean) >= 3 + frame, F.array_join(letters, "")).otherwise("")
-    return {"one": F.regexp_replace(protein, r"\*$", ""), "all": F.regexp_replace(protein, r"\*+$", ""), "none": protein}[strip]
+    """Amino acids of a nucleotide sequence; unknown codons are X. ``strip`` takes one, all or no stops off the end. A null is without codons."""
+    if strip not in ("one", "all", "none"):
+        raise KeyError(strip)
+
+    @F.arrow_udf("string")
+    def protein(texts: pa.Array) -> pa.Array:
+        return _proteins(texts, frame, strip)
+
+    return protein(sequence)
 
 
 def hash_owner(key: Column, workers: int) -> Column:
