@@ -100,13 +100,14 @@ def strain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = standins.fixed_sequences(spark, sf_dir)
     day = F.date_add(F.lit(standins.TRAIN_START), (F.col("record_index") * 37 % 2400).cast("int"))
     records = rows.select((F.col("record_index") * 100_000 + F.col("piece")).alias("record_id"), "sequence", day.alias("day"), F.concat(F.lit("EPI_"), F.col("record_index").cast("string"), F.lit("_"), F.floor(F.col("piece") / 2).cast("string")).alias("accession"), (F.col("piece") % 2 * 1.5).alias("quality"))
-    best = strains.isolates(records, "quality", "record_id")
+    # the isolates and the strains are read more than once
+    best = shared.written(strains.isolates(records, "quality", "record_id").select("record_id", "sequence", "day"), "isolates")
     spans = standins.cutoffs(spark)
     within = lambda first, last: best.join(F.broadcast(spans.select("window_id", first, last)), F.col("day").between(F.col(first), F.col(last)))
     candidates = within("recent_start", "recent_end").groupBy("window_id", "sequence").agg(F.min("record_id").alias("strain_id"), F.count("*").alias("isolates"))
     later = within("target_start", "target_end").select("window_id", "sequence")
-    found = strains.later_distance(candidates.select("window_id", "strain_id", "sequence"), later)
-    return _rounded(found.join(candidates.select("window_id", "strain_id", "isolates"), ["window_id", "strain_id"]), 6)
+    found = strains.later_distance(shared.written(candidates, "strains"), later)
+    return _rounded(found.select("window_id", "strain_id", "compared", "mean_distance", "isolates"), 6)
 
 
 def aligned_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

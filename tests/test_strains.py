@@ -41,3 +41,16 @@ def test_counts_by_place_equal_letters_one_by_one(spark):
     for g in "xy":
         places = sorted({k for h, k, c in want if h == g and c != "-"})
         assert best[g] == "".join(min((c for h, p, c in want if h == g and p == k and c != "-"), key=lambda c: (-want[g, k, c], c)) for k in places)
+
+
+def test_no_row_is_made_for_a_letter_of_a_strain(spark, monkeypatch):
+    monkeypatch.setattr(strains, "LETTERS", 300, raising=False)  # several blocks
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("ACD") for _ in range(9))
+    asked, later = [(1, i, word(), i % 4) for i in range(100)], [(1, word()) for _ in range(50)]
+    found = strains.later_distance(spark.createDataFrame(asked, "window_id int, strain_id long, sequence string, more int"), spark.createDataFrame(later, "window_id int, sequence string"))
+    assert "posexplode" not in found._jdf.queryExecution().toString()
+    for x in found.collect():
+        want = sum(sum(a != b for a, b in zip(asked[x["strain_id"]][2], t)) for _, t in later) / 50
+        assert (x["compared"], x["more"], round(x["mean_distance"], 9)) == (50, x["strain_id"] % 4, round(want, 9))
+    assert found.count() == 100
