@@ -22,11 +22,11 @@ GRID = 256
 ROUNDS = 12
 
 
-def _joined(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
-    """An inner join by ``keys`` in which nulls are equal; the other side's keys go."""
+def _joined(rows: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join by ``keys`` in which nulls are equal; the other side's keys go."""
     named = other.withColumnsRenamed({k: f"__k{i}" for i, k in enumerate(keys)})
     same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
-    both = rows.join(named, reduce(lambda a, b: a & b, same)) if keys else rows.crossJoin(named)  # without keys one group, a row for each quantile
+    both = rows.join(named, reduce(lambda a, b: a & b, same), how) if keys else rows.crossJoin(named)  # without keys one group, a row for each quantile
     return both.drop(*[f"__k{i}" for i in range(len(keys))])
 
 
@@ -70,33 +70,41 @@ def _found(base: DataFrame, keys: list[str], shares: dict[str, float]) -> DataFr
     # a row for each group and quantile
     state = written(sketch.select(*keys, "n", "lo", "hi", F.explode(F.array(*brackets)).alias("b")).select(*keys, "n", "lo", "hi", "b.*"), "brackets")
     point = [*keys, "i"]
+    v, low, high, k = F.col("__v"), F.col("low"), F.col("high"), F.col("k")
+    needed = F.least(k + 2, F.col("n"))
     for _ in range(ROUNDS):
-        inside = (F.col("__v") >= F.col("low")) & (F.col("__v") <= F.col("high"))
-        counts = _joined(base, state.select(*point, "low", "high"), keys).groupBy(*point).agg(F.count_if(F.col("__v") < F.col("low")).alias("below"), F.count_if(inside).alias("inside"))
-        # a bracket that missed its rank is opened again on that side
-        missed_low, missed_high = F.col("below") > F.col("k"), F.col("below") + F.col("inside") <= F.least(F.col("k") + 1, F.col("n") - 1)
-        wide = ((F.col("inside") > SORTED) & (F.col("low") < F.col("high"))) | missed_low | missed_high
+        inside, between = (v >= low) & (v <= high), (v > low) & (v < high)
+        counts = _joined(base, state.select(*point, "low", "high"), keys).groupBy(*point).agg(
+            F.count_if(v < low).alias("below"), F.count_if(v == low).alias("at_low"), F.count_if(between).alias("between"), F.count_if(v <= high).alias("upto")
+        )
+        # ends that many values are equal to need no list
+        missed_low, missed_high = F.col("below") > k, F.col("upto") < needed
+        wide = (F.col("between") > SORTED) | missed_low | missed_high
         counted = written(_joined(state, counts, point).withColumn("wide", wide), "brackets")
         if counted.where("wide").isEmpty():
             break
         own = _joined(base, counted.where("wide").select(*point, "low", "high"), keys).where(inside)
         grid = own.groupBy(*point).agg(F.percentile_approx("__v", [j / GRID for j in range(GRID + 1)], ACCURACY).alias("g"))
-        place = (F.col("k") - F.col("below")) / F.greatest(F.col("inside"), F.lit(1)) * GRID
-        low = F.get("g", F.greatest(F.floor(place) - margin, F.lit(0)).cast("int"))
-        high = F.get("g", F.least(F.ceil(place) + margin + 1, F.lit(GRID)).cast("int"))
-        closer = _joined(counted.where("wide"), grid, point).select(
+        place = (k - F.col("below")) / F.greatest(F.col("upto") - F.col("below"), F.lit(1)) * GRID
+        nearer_low = F.get("g", F.greatest(F.floor(place) - margin, F.lit(0)).cast("int"))
+        nearer_high = F.get("g", F.least(F.ceil(place) + margin + 1, F.lit(GRID)).cast("int"))
+        # lo and hi are sure to hold the rank and the next one; a bracket that missed one is opened up to them, and has moved them itself
+        lo = F.when(~missed_low, F.greatest("lo", "low")).when(F.col("upto") <= k, F.greatest("lo", "high")).otherwise(F.col("lo"))
+        hi = F.when(~missed_high, F.least("hi", "high")).when(F.col("below") >= needed, F.least("hi", "low")).otherwise(F.col("hi"))
+        closer = counted.where("wide").withColumns({"lo": lo, "hi": hi, "missed": missed_low | missed_high})
+        closer = _joined(closer, grid, point, "left").select(
             *point, "n", "lo", "hi", "k", "part",
-            F.when(missed_low, F.col("lo")).when(missed_high, F.col("low")).otherwise(low).alias("low"),
-            F.when(missed_high, F.col("hi")).when(missed_low, F.col("high")).otherwise(high).alias("high"),
+            F.when(F.col("missed"), F.col("lo")).otherwise(nearer_low).alias("low"),
+            F.when(F.col("missed"), F.col("hi")).otherwise(nearer_high).alias("high"),
         )
         state = written(closer.unionByName(counted.where("not wide").select(*closer.columns)), "brackets")
     else:
         raise RuntimeError(f"brackets are not small after {ROUNDS} rounds")
-    # a bracket of one value, however often it is there, needs no list
-    single = F.col("low") == F.col("high")
-    own = _joined(base, counted.where(~single).select(*point, "low", "high"), keys).where(inside)
+    own = _joined(base, counted.where("between > 0").select(*point, "low", "high"), keys).where((v > low) & (v < high))
     lists = own.groupBy(*point).agg(F.sort_array(F.collect_list("__v")).alias("__s"))
-    last = F.col("n") - 1 - F.col("below")
-    several = _joined(counted.where(~single), lists, point).withColumn("q", _between(F.col("__s"), F.col("k") - F.col("below"), last, F.col("part")))
-    every = several.select(*point, "n", "q").unionByName(counted.where(single).select(*point, "n", F.col("low").alias("q")))
+    first = F.col("below") + F.col("at_low")
+    value = lambda r: F.when(r < first, low).when(r >= first + F.col("between"), high).otherwise(F.get("__s", (r - first).cast("int")))
+    one, two = value(k), value(F.least(k + 1, F.col("n") - 1))
+    several = _joined(counted, lists, point, "left")
+    every = several.select(*point, "n", F.when(one == two, one).otherwise((1 - F.col("part")) * one + F.col("part") * two).alias("q"))
     return every.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("i") == i, F.col("q"))).alias(name) for i, name in enumerate(names)])
